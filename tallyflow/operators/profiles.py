@@ -35,25 +35,55 @@ def _name_window(profile: DataFrame) -> DataFrame:
 
 
 def _distinct_values(flows: DataFrame, by: list[str], counted: list[str]) -> DataFrame:
-    """One row per (window, address, counted column, value), with sums and a set name."""
-    sets = [[F.col(b) for b in by] + [F.col(c)] for c in counted]
-    grouping = [F.col(c) for c in by + counted]
-    which: Column = F.lit(None).cast("string")
-    for c in counted:
-        which = F.when(F.grouping(c) == 0, F.lit(c)).otherwise(which)
-    return flows.groupingSets(sets, *grouping).agg(
-        which.alias("counted"),
+    """One row per (window, address, counted column, value), with its traffic."""
+    sets = [[F.col(c) for c in [*by, name]] for name in counted]
+    return flows.groupingSets(sets, *[F.col(c) for c in by + counted]).agg(
+        F.grouping_id().alias("grouping"),
         F.sum("numBytes").alias("bytes"),
         F.sum("numPackets").alias("packets"),
     )
 
 
-def _count(column: str) -> Column:
-    return F.sum(F.when(F.col("counted") == column, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
-
-
-def _total(measure: str, column: str) -> Column:
-    return F.sum(F.when(F.col("counted") == column, F.col(measure)))
+def _in_set(counted: list[str], name: str) -> Column:
+    """Rows of the grouping set of ``name``: the only counted column not rolled up."""
+    others = sum(1 << (len(counted) - 1 - i) for i, c in enumerate(counted) if c != name)
+    return F.col("grouping") == others
+
+
+def _measures(counted: list[str], names: dict[str, str]) -> list[Column]:
+    """Distinct counts per counted column, and the sums, read off one grouping set."""
+    first = _in_set(counted, counted[-1])
+    outputs = []
+    for output, what in names.items():
+        if what in ("bytes", "packets"):
+            outputs.append(F.sum(F.when(first, F.col(what))).alias(output))
+        else:
+            outputs.append(F.count(F.when(_in_set(counted, what), F.lit(1))).alias(output))
+    return outputs
+
+
+def _approximate(names: dict[str, str]) -> list[Column]:
+    sums = {"bytes": "numBytes", "packets": "numPackets"}
+    return [
+        F.sum(sums[what]).alias(output) if what in sums else F.approx_count_distinct(what).alias(output)
+        for output, what in names.items()
+    ]
+
+
+SOURCE_FROM = {
+    "sumOfFlows": "sampledFlow",
+    "sumOfBytes": "bytes",
+    "sumOfPackets": "packets",
+    "uniqDstIPs": "dstAddr",
+    "uniqDstPorts": "dstPort",
+}
+DEST_FROM = {
+    "destSumOfFlows": "sampledFlow",
+    "destSumOfBytes": "bytes",
+    "destSumOfPackets": "packets",
+    "uniqSrcIPs": "srcAddr",
+    "uniqSrcPorts": "srcPort",
+}
 
 
 def source_profile(
@@ -61,33 +91,36 @@ def source_profile(
 ) -> DataFrame:
     """Six measures per source; one row per VLAN of the source, each with whole-source totals.
 
-    ``sumOfFlows`` counts distinct sequence numbers; NULL counts as a value. The
-    VLAN list of a source is bounded by the VLAN id space (12 bits).
+    ``sumOfFlows`` counts distinct sequence numbers; NULL counts as a value. In
+    batch the VLANs come from a second, three-column scan joined on the unique
+    (window, source). A stream cannot join two aggregates cheaply, so there the
+    VLANs are a fourth grouping set, gathered per source; the list is bounded by
+    the VLAN id space (12 bits).
     """
     flows, window = with_window(flows, seconds)
     by = window + ["srcAddr"]
+    counted = ["sampledFlow", "dstAddr", "dstPort"]
+    if not flows.isStreaming:
+        if approx:
+            totals = flows.groupBy(*by).agg(*_approximate(SOURCE_FROM))
+        else:
+            totals = _distinct_values(flows, by, counted).groupBy(*by).agg(*_measures(counted, SOURCE_FROM))
+        vlans = flows.select(*by, "vlanID").distinct().alias("vlans")
+        same = [F.col(f"totals.{c}").eqNullSafe(F.col(f"vlans.{c}")) for c in by]
+        rows = totals.alias("totals").join(vlans, same)
+        return rows.select(*[f"totals.{c}" for c in window], "vlans.vlanID", "totals.srcAddr", *SOURCE_FROM)
     if approx:
-        profile = flows.groupBy(*by).agg(
-            F.collect_set(F.struct("vlanID")).alias("vlans"),
-            F.approx_count_distinct("sampledFlow").alias("sumOfFlows"),
-            F.sum("numBytes").alias("sumOfBytes"),
-            F.sum("numPackets").alias("sumOfPackets"),
-            F.approx_count_distinct("dstAddr").alias("uniqDstIPs"),
-            F.approx_count_distinct("dstPort").alias("uniqDstPorts"),
+        totals = flows.groupBy(*by).agg(
+            F.collect_set(F.struct("vlanID")).alias("vlans"), *_approximate(SOURCE_FROM)
         )
     else:
-        values = _distinct_values(flows, by, ["sampledFlow", "dstAddr", "dstPort", "vlanID"])
-        profile = values.groupBy(*by).agg(
-            F.collect_list(F.when(F.col("counted") == "vlanID", F.struct("vlanID"))).alias("vlans"),
-            _count("sampledFlow").alias("sumOfFlows"),
-            _total("bytes", "vlanID").alias("sumOfBytes"),
-            _total("packets", "vlanID").alias("sumOfPackets"),
-            _count("dstAddr").alias("uniqDstIPs"),
-            _count("dstPort").alias("uniqDstPorts"),
+        counted = [*counted, "vlanID"]
+        mine = F.when(_in_set(counted, "vlanID"), F.struct("vlanID"))
+        totals = _distinct_values(flows, by, counted).groupBy(*by).agg(
+            F.collect_list(mine).alias("vlans"), *_measures(counted, SOURCE_FROM)
         )
-    measures = ["sumOfFlows", "sumOfBytes", "sumOfPackets", "uniqDstIPs", "uniqDstPorts"]
-    rows = profile.select(*by, F.explode("vlans").alias("vlan"), *measures)
-    return _name_window(rows.select(*window, F.col("vlan.vlanID").alias("vlanID"), "srcAddr", *measures))
+    rows = totals.select(*by, F.explode("vlans").alias("vlan"), *SOURCE_FROM)
+    return _name_window(rows.select(*window, "vlan.vlanID", "srcAddr", *SOURCE_FROM))
 
 
 def dest_profile(
@@ -97,23 +130,10 @@ def dest_profile(
     flows, window = with_window(flows, seconds)
     by = window + ["dstAddr"]
     if approx:
-        profile = flows.groupBy(*by).agg(
-            F.approx_count_distinct("sampledFlow").alias("destSumOfFlows"),
-            F.sum("numBytes").alias("destSumOfBytes"),
-            F.sum("numPackets").alias("destSumOfPackets"),
-            F.approx_count_distinct("srcAddr").alias("uniqSrcIPs"),
-            F.approx_count_distinct("srcPort").alias("uniqSrcPorts"),
-        )
-    else:
-        values = _distinct_values(flows, by, ["sampledFlow", "srcAddr", "srcPort"])
-        profile = values.groupBy(*by).agg(
-            _count("sampledFlow").alias("destSumOfFlows"),
-            _total("bytes", "srcPort").alias("destSumOfBytes"),
-            _total("packets", "srcPort").alias("destSumOfPackets"),
-            _count("srcAddr").alias("uniqSrcIPs"),
-            _count("srcPort").alias("uniqSrcPorts"),
-        )
-    return _name_window(profile)
+        return _name_window(flows.groupBy(*by).agg(*_approximate(DEST_FROM)))
+    counted = ["sampledFlow", "srcAddr", "srcPort"]
+    values = _distinct_values(flows, by, counted)
+    return _name_window(values.groupBy(*by).agg(*_measures(counted, DEST_FROM)))
 
 
 def address_sum(flows: DataFrame, key: str, measure: str, name: str, seconds: int | None = BATCH_SECONDS) -> DataFrame:
