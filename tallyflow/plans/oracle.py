@@ -95,3 +95,250 @@ SELECT windowStart, dstAddr,
        count(DISTINCT srcAddr) AS uniqSrcIPs,
        count(DISTINCT srcPort) AS uniqSrcPorts
 FROM line_flows GROUP BY windowStart, dstAddr"""
+
+# ---- history, documents, archive ----
+
+SQL["history_scan"] = SQL["source_profile"]
+SQL["map_doc_unpack"] = f"""WITH {LINE_FLOWS}, {LINE_SOURCE}
+SELECT sumOfBytes, sumOfFlows, sumOfPackets, uniqDstIPs, uniqDstPorts FROM source_rows"""
+SQL["profile_documents"] = f"""WITH {LINE_FLOWS}, {LINE_SOURCE}
+SELECT 1700000000000 AS date,
+       CAST(json_object('vlanID', vlanID, 'srcAddr', srcAddr, 'sumOfFlows', sumOfFlows,
+                        'sumOfBytes', sumOfBytes, 'sumOfPackets', sumOfPackets,
+                        'uniqDstIPs', uniqDstIPs, 'uniqDstPorts', uniqDstPorts,
+                        'date', 1700000000000) AS VARCHAR) AS json
+FROM source_rows"""
+SQL["raw_flow_daily"] = f"""WITH {EVENT_FLOWS}
+SELECT strftime(DATE '1970-01-01' + CAST(timestampStart // 86400 AS INTEGER), '%Y-%m-%d') AS "ingestDate",
+       srcAddr AS "SrcAddr", srcPort AS "SrcPort", dstAddr AS "DstAddr", dstPort AS "DstPort",
+       sampledFlow AS "SequenceNum", tcpFlags AS "TCPFlags", protocol AS "Proto",
+       timestampStart AS "TimeFlowStart", timestampEnd AS "TimeFlowEnd",
+       numBytes AS "Bytes", numPackets AS "Packets", vlanID AS "VlanId"
+FROM event_flows"""
+
+# ---- features ----
+
+FEATURE_NAMES = ["sumOfBytes", "sumOfFlows", "sumOfPackets", "uniqDstIPs", "uniqDstPorts"]
+_FLOATS = ", ".join(f"CAST(CAST({f} AS FLOAT) AS DOUBLE) AS {f}" for f in FEATURE_NAMES)
+LINE_FEATURES = f"""{LINE_FLOWS}, {LINE_SOURCE}, line_features AS (
+  SELECT windowStart, srcAddr, vlanID, {_FLOATS} FROM source_rows WHERE srcAddr <> '')"""
+
+
+def _scaled(table: str, key: str) -> str:
+    stats = ", ".join(f"stddev_samp({f}) AS d_{f}" for f in FEATURE_NAMES)
+    values = ", ".join(
+        f"round(CASE WHEN d_{f} = 0 THEN 0 ELSE {f} / d_{f} END, 6) AS {f}" for f in FEATURE_NAMES
+    )
+    return f"SELECT {key}, {values} FROM {table}, (SELECT {stats} FROM {table}) deviations"
+
+
+SQL["score_input"] = f"WITH {LINE_FLOWS}, {LINE_SOURCE} SELECT * FROM source_rows WHERE srcAddr <> ''"
+SQL["feature_cast"] = f"WITH {LINE_FEATURES} SELECT * FROM line_features"
+SQL["scaler_stats"] = f"WITH {LINE_FEATURES} " + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(stddev_samp({f}), 6) AS std FROM line_features" for f in FEATURE_NAMES
+)
+SQL["scaled_features"] = f"WITH {LINE_FEATURES} " + _scaled("line_features", "windowStart, srcAddr, vlanID")
+
+_PARTS = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {f}" for i, f in enumerate(FEATURE_NAMES))
+LABELLED = f"""labelled AS (
+  SELECT vec_id AS id,
+         CAST((embedding[1] > 0)::INT + 2 * (embedding[2] > 0)::INT + 4 * (embedding[3] > 0)::INT AS BIGINT)
+           AS prediction,
+         {_PARTS}
+  FROM embeddings)"""
+SQL["labelled_features"] = f"WITH {LABELLED} " + _scaled("labelled", "id, prediction")
+
+# ---- clustering ----
+
+_MEANS = ", ".join(f"avg({f}) AS {f}" for f in FEATURE_NAMES)
+SQL["cluster_sizes"] = f"WITH {LABELLED} SELECT prediction, count(*) AS count FROM labelled GROUP BY prediction"
+SQL["kmeans_centers"] = f"""WITH {LABELLED}
+SELECT prediction, {', '.join(f'round(avg({f}), 6) AS {f}' for f in FEATURE_NAMES)}
+FROM labelled GROUP BY prediction"""
+
+
+def _gap(a: str, b: str) -> str:
+    return " + ".join(f"({a}.{f} - {b}.{f}) * ({a}.{f} - {b}.{f})" for f in FEATURE_NAMES)
+
+
+SQL["kmeans_assign"] = f"""WITH {LABELLED},
+means AS (SELECT prediction, {_MEANS} FROM labelled GROUP BY prediction),
+ranked AS (
+  SELECT x.id, m.prediction,
+         row_number() OVER (PARTITION BY x.id ORDER BY {_gap('x', 'm')}, m.prediction) AS place
+  FROM labelled x, means m)
+SELECT id, prediction FROM ranked WHERE place = 1"""
+SQL["silhouette"] = f"""WITH {LABELLED},
+sizes AS (SELECT prediction, count(*) AS n FROM labelled GROUP BY prediction),
+sums AS (
+  SELECT x.id, x.prediction AS mine, y.prediction AS other, sum({_gap('x', 'y')}) AS total
+  FROM labelled x, labelled y GROUP BY x.id, x.prediction, y.prediction),
+parts AS (
+  SELECT id,
+         max(CASE WHEN mine = other THEN total / (n - 1) END) AS inside,
+         min(CASE WHEN mine <> other THEN total / n END) AS outside
+  FROM sums JOIN sizes ON sizes.prediction = sums.other GROUP BY id)
+SELECT round(avg((outside - inside) / greatest(outside, inside)), 6) AS silhouette FROM parts"""
+
+# ---- nearest neighbours ----
+
+
+def _hash(seed: int) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || id), 1, 8) AS BIGINT)"
+
+
+SPLIT = f"""split AS (
+  SELECT *, CASE WHEN {_hash(0)} < 3221225472 THEN 'train' ELSE 'test' END AS part FROM labelled)"""
+SQL["holdout_split"] = f"WITH {LABELLED}, {SPLIT} SELECT id, part FROM split"
+
+
+def _ranked(queries: str, rows: str, condition: str, k: int, extra: str = "") -> str:
+    """Neighbour list of every query row, by brute force."""
+    return f"""pairs AS (
+  SELECT x.id, {extra} y.id AS neighborId, y.prediction AS neighborLabel, sqrt({_gap('x', 'y')}) AS dist
+  FROM {queries} x JOIN {rows} y ON {condition}),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, neighborId) AS rank FROM pairs
+  QUALIFY rank <= {k}),
+votes AS (
+  SELECT *, CASE WHEN min(dist) OVER (PARTITION BY id) = 0 THEN CASE WHEN dist = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+                 ELSE 1 / dist END AS weight
+  FROM ranked)"""
+
+
+TEST_VOTES = f"{LABELLED}, {SPLIT}, " + _ranked(
+    "(SELECT * FROM split WHERE part = 'test')", "(SELECT * FROM split WHERE part = 'train')", "true", 36
+)
+SHARES = f"""{TEST_VOTES},
+shares AS (
+  SELECT id, neighborLabel AS Class, sum(weight) / any_value(total) AS Prob
+  FROM (SELECT *, sum(weight) OVER (PARTITION BY id) AS total FROM votes) t
+  GROUP BY id, neighborLabel HAVING sum(weight) > 0)"""
+WINNERS = f"""{SHARES},
+winners AS (
+  SELECT id, Class AS Prediction, max(Prob) OVER (PARTITION BY id) AS Probability,
+         row_number() OVER (PARTITION BY id ORDER BY round(Prob, 12) DESC, Class) AS place
+  FROM shares QUALIFY place = 1)"""
+IDENTITY = "'10.0.0.' || (id % 20) AS srcAddr, 100 + id % 3 AS vlanID"
+
+SQL["knn_neighbors"] = f"""WITH {TEST_VOTES}
+SELECT id, rank, neighborId, neighborLabel, round(dist, 6) AS dist FROM ranked"""
+SQL["knn_class_prob"] = f"WITH {SHARES} SELECT id, Class, round(Prob, 6) AS Prob FROM shares"
+SQL["knn_predict"] = f"""WITH {WINNERS}
+SELECT id, Prediction, round(Probability, 6) AS Probability FROM winners"""
+_WIDE = ", ".join(f"coalesce(max(CASE WHEN Class = {c} THEN Prob END), 0) AS p{c}" for c in range(8))
+SQL["knn_prob_wide"] = f"""WITH {SHARES}
+SELECT id, {', '.join(f'round(p{c}, 6) AS p{c}' for c in range(8))}
+FROM (SELECT id, {_WIDE} FROM shares GROUP BY id) wide"""
+SQL["knn_prob_array"] = f"""WITH {SHARES}
+SELECT id, {" || ',' || ".join(f'CAST(round(p{c} * 1000000) AS BIGINT)' for c in range(8))} AS millionths
+FROM (SELECT id, {_WIDE} FROM shares GROUP BY id) wide"""
+SQL["knn_second_class_prob"] = f"""WITH {SHARES}
+SELECT id, round(p1, 6) AS probability FROM (SELECT id, {_WIDE} FROM shares GROUP BY id) wide"""
+
+# ---- verdicts ----
+
+SQL["anomaly_verdict"] = f"""WITH {SHARES}
+SELECT id, {IDENTITY}, Class, round(Prob, 6) AS Prob FROM shares WHERE Prob > 0 AND Class IN (2, 3, 6, 7)"""
+SQL["anomaly_verdict_strict"] = f"""WITH {WINNERS}
+SELECT id, {IDENTITY}, Prediction, round(Probability, 6) AS Probability
+FROM winners WHERE Prediction IN (2, 3, 6, 7) OR Probability < 0.99"""
+SQL["anomaly_pairs"] = f"""WITH {SHARES}
+SELECT DISTINCT {IDENTITY} FROM shares WHERE Prob > 0 AND Class IN (2, 3, 6, 7)"""
+SQL["mitigation_actions"] = f"""WITH {SHARES}
+SELECT DISTINCT CAST(json_object('srcAddr', '10.0.0.' || (id % 20), 'vlanID', 100 + id % 3) AS VARCHAR) AS action
+FROM shares WHERE Prob > 0 AND Class IN (2, 3, 6, 7)"""
+_NORMAL = """SELECT DISTINCT w.Prediction AS label FROM winners w JOIN split s ON s.id = w.id
+  WHERE s.sumOfFlows < -0.1 AND s.prediction NOT IN (2, 3, 6, 7)"""
+SQL["normal_labels"] = f"WITH {WINNERS} {_NORMAL}"
+SQL["anomalous_labels"] = f"""WITH {WINNERS}
+SELECT DISTINCT prediction AS label FROM labelled WHERE prediction NOT IN ({_NORMAL})"""
+
+# ---- tuning ----
+
+FOLDED = f"""{LABELLED}, folded AS (
+  SELECT *, (row_number() OVER (PARTITION BY prediction ORDER BY id) - 1) % 10 AS fold FROM labelled)"""
+SHUFFLED = f"{LABELLED}, shuffled AS (SELECT *, {_hash(7)} % 10 AS fold FROM labelled)"
+
+
+def _curve(votes: str) -> str:
+    """Winner per row and k, from running class weights."""
+    return f"""{votes},
+running AS (
+  SELECT *, sum(weight) OVER (PARTITION BY id, neighborLabel ORDER BY rank) AS held FROM votes),
+leaders AS (
+  SELECT a.id, a.truth, a.fold, b.rank AS k,
+         arg_max(a.neighborLabel, {{'held': a.held, 'label': -a.neighborLabel}}) AS guess
+  FROM running a JOIN running b ON a.id = b.id AND a.rank <= b.rank
+  GROUP BY a.id, a.truth, a.fold, b.rank)"""
+
+
+_TRUTH = "x.prediction AS truth, 0 AS fold,"
+_TRUTH_FOLD = "x.prediction AS truth, x.fold AS fold,"
+CV_CURVE = _curve(
+    f"{FOLDED}, " + _ranked("folded", "folded", "x.fold <> y.fold", 40, _TRUTH_FOLD)
+) + """, cv_curve AS (
+  SELECT k, round(avg(accuracy), 6) AS accuracy
+  FROM (SELECT k, fold, avg(CAST(guess = truth AS DOUBLE)) AS accuracy FROM leaders GROUP BY k, fold) f
+  GROUP BY k)"""
+HOLDOUT_CURVE = _curve(
+    f"{LABELLED}, {SPLIT}, "
+    + _ranked(
+        "(SELECT * FROM split WHERE part = 'test')", "(SELECT * FROM split WHERE part = 'train')", "true", 39, _TRUTH
+    )
+) + """, holdout_curve AS (
+  SELECT k, round(avg(CAST(guess <> truth AS DOUBLE)), 6) AS error,
+         round(avg(CAST(guess = truth AS DOUBLE)), 6) AS accuracy
+  FROM leaders GROUP BY k)"""
+
+SQL["stratified_folds"] = f"WITH {FOLDED} SELECT id, prediction, fold FROM folded"
+SQL["knn_cv_curve"] = f"WITH {CV_CURVE} SELECT k, accuracy FROM cv_curve"
+SQL["best_k"] = f"WITH {CV_CURVE} SELECT k, accuracy FROM cv_curve ORDER BY accuracy DESC, k LIMIT 1"
+SQL["knn_error_curve"] = f"WITH {HOLDOUT_CURVE} SELECT k, error FROM holdout_curve"
+SQL["knn_accuracy_curve"] = f"WITH {HOLDOUT_CURVE} SELECT k, accuracy FROM holdout_curve"
+SQL["knn_holdout_accuracy"] = f"WITH {HOLDOUT_CURVE} SELECT k, accuracy FROM holdout_curve WHERE k = 36"
+
+# ---- classifier comparison ----
+
+KNN_FOLDS = f"""{SHUFFLED}, {_ranked("shuffled", "shuffled", "x.fold <> y.fold", 5, _TRUTH_FOLD)},
+counts AS (
+  SELECT id, truth, fold, neighborLabel, count(*) AS n FROM ranked GROUP BY ALL),
+guesses AS (
+  SELECT id, truth, fold, neighborLabel AS guess,
+         row_number() OVER (PARTITION BY id ORDER BY n DESC, neighborLabel) AS place
+  FROM counts QUALIFY place = 1),
+knn_folds AS (
+  SELECT 'KNN' AS model, fold, avg(CAST(guess = truth AS DOUBLE)) AS accuracy FROM guesses GROUP BY fold)"""
+SQL["clf_knn"] = f"WITH {KNN_FOLDS} SELECT model, fold, round(accuracy, 6) AS accuracy FROM knn_folds"
+SQL["fold_spread"] = f"""WITH {KNN_FOLDS}
+SELECT model, round(min(accuracy), 6) AS low, round(quantile_cont(accuracy, 0.25), 6) AS q1,
+       round(quantile_cont(accuracy, 0.5), 6) AS median, round(quantile_cont(accuracy, 0.75), 6) AS q3,
+       round(max(accuracy), 6) AS high
+FROM knn_folds GROUP BY model"""
+
+_STATS = ", ".join(f"avg(t.{f}) AS m_{f}, var_pop(t.{f}) AS v_{f}" for f in FEATURE_NAMES)
+_WIDEST = "greatest(" + ", ".join(f"var_pop(t.{f})" for f in FEATURE_NAMES) + ")"
+_LIKELY = " ".join(
+    f"- 0.5 * ln(v_{f} + eps) - 0.5 * (x.{f} - m_{f}) * (x.{f} - m_{f}) / (v_{f} + eps)" for f in FEATURE_NAMES
+)
+SQL["clf_nb"] = f"""WITH {SHUFFLED},
+folds AS (SELECT DISTINCT fold FROM shuffled),
+widest AS (
+  SELECT f.fold, 1e-9 * {_WIDEST} AS eps FROM folds f JOIN shuffled t ON t.fold <> f.fold GROUP BY f.fold),
+stats AS (
+  SELECT f.fold, t.prediction AS guess, count(*) AS n, {_STATS}
+  FROM folds f JOIN shuffled t ON t.fold <> f.fold GROUP BY f.fold, t.prediction),
+scored AS (
+  SELECT x.id, x.fold, x.prediction, s.guess, ln(s.n) {_LIKELY} AS score
+  FROM shuffled x JOIN stats s ON s.fold = x.fold JOIN widest w ON w.fold = x.fold),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, guess) AS place FROM scored QUALIFY place = 1)
+SELECT 'NB' AS model, fold, round(avg(CAST(guess = prediction AS DOUBLE)), 6) AS accuracy FROM best GROUP BY fold"""
+
+# ---- streams ----
+
+EVENT_SOURCE = SOURCE.format(flows="windowed")
+SQL["stream_source_profile"] = f"""WITH {EVENT_FLOWS},
+windowed AS (SELECT *, timestampStart // 86400 * 86400 AS windowStart FROM event_flows), {EVENT_SOURCE}
+SELECT * FROM source_rows
+WHERE windowStart + 86400 <= (SELECT max(timestampStart) - 3600 FROM event_flows)"""

@@ -7,14 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyflow.functions.columns import epoch_date
+from tallyflow.operators import (
+    classifiers,
+    clustering,
+    features,
+    profiles,
+    tuning,
+    verdict,
+    voting,
+)
 from tallyflow.operators import flows as flow_ops
-from tallyflow.operators import profiles
+from tallyflow.operators.neighbors import NeighborModel
+from tallyflow.plans.detection import detect
+from tallyflow.plans.training import train
+from tallyflow.schemas import (
+    ANOMALOUS,
+    COMPARE_FOLDS,
+    COMPARE_SEED,
+    FEATURES,
+    HOLDOUT_KS,
+    NEIGHBORS,
+)
+from tallyflow.session import materialize, new_table_path
+from tallyflow.sinks.tables import (
+    append_batch,
+    archive_rows,
+    archived_flows,
+    documents,
+    stamp,
+    write_archive,
+)
 from tallyflow.sources.stand_ins import (
     BATCH_WIDTH,
+    STREAM_WIDTH,
     flows_from_events,
     flows_from_lineitem,
+    labelled_from_embeddings,
     read_events,
 )
+from tallyflow.sources.tables import read_history, read_table_stream
+from tallyflow.streaming.jobs import start_profile_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,3 +131,349 @@ def source_profile(spark, sf_dir):
 @query
 def dest_profile(spark, sf_dir):
     return profiles.dest_profile(flows_from_lineitem(spark, sf_dir), BATCH_WIDTH)
+
+
+# ---- history, documents, archive ----
+
+
+def _source_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line profiles written as one history batch and scanned back."""
+    path = new_table_path(spark, "history")
+    append_batch(stamp(source_profile(spark, sf_dir)), path, 0)
+    return read_history(spark, path)
+
+
+@query
+def history_scan(spark, sf_dir):
+    return _source_history(spark, sf_dir).drop("date", "batchGroup", "batchId")
+
+
+@query
+def map_doc_unpack(spark, sf_dir):
+    profile = source_profile(spark, sf_dir)
+    entries = [part for f in FEATURES for part in (F.lit(f), F.col(f))]
+    stored = profile.select(F.lit(None).cast("string").alias("_1"), F.create_map(*entries).alias("_2"))
+    return features.unpack_documents(stored)
+
+
+@query
+def profile_documents(spark, sf_dir):
+    profile = source_profile(spark, sf_dir).drop("windowStart")
+    return documents(profile, F.lit(1700000000000).cast("bigint"))
+
+
+@query
+def raw_flow_daily(spark, sf_dir):
+    started = F.get_json_object("value", "$.TimeFlowStart").cast("bigint")
+    dated = _messages(spark, sf_dir).withColumn("started", started)
+    path = new_table_path(spark, "archive")
+    write_archive(archive_rows(dated, day=epoch_date("started")), path)
+    back = archived_flows(spark.read.parquet(path))
+    return back.withColumn("ingestDate", F.date_format("ingestDate", "yyyy-MM-dd"))
+
+
+# ---- features ----
+
+
+def _line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = features.score_input(source_profile(spark, sf_dir))
+    return features.feature_frame(profile, keep=["windowStart", "srcAddr", "vlanID"])
+
+
+def _scaled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _line_features(spark, sf_dir)
+    return features.scale(rows, features.fit_scaler(rows))
+
+
+def _rounded(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query
+def score_input(spark, sf_dir):
+    return features.score_input(source_profile(spark, sf_dir))
+
+
+@query
+def feature_cast(spark, sf_dir):
+    rows = _line_features(spark, sf_dir)
+    return rows.withColumns({f: F.col(f).cast("double") for f in FEATURES})
+
+
+@query
+def scaler_stats(spark, sf_dir):
+    rows = _line_features(spark, sf_dir)
+    return _rounded(features.scaler_stats(rows, features.fit_scaler(rows)), ["std"])
+
+
+@query
+def scaled_features(spark, sf_dir):
+    return _rounded(_scaled_lines(spark, sf_dir), FEATURES)
+
+
+@query
+def labelled_features(spark, sf_dir):
+    rows = labelled_from_embeddings(spark, sf_dir)
+    return _rounded(features.scale(rows, features.fit_scaler(rows)), FEATURES)
+
+
+# ---- clustering ----
+
+
+@query
+def cluster_sizes(spark, sf_dir):
+    return clustering.cluster_sizes(labelled_from_embeddings(spark, sf_dir))
+
+
+@query
+def kmeans_centers(spark, sf_dir):
+    return _rounded(clustering.cluster_means(labelled_from_embeddings(spark, sf_dir)), FEATURES)
+
+
+@query
+def kmeans_assign(spark, sf_dir):
+    rows = labelled_from_embeddings(spark, sf_dir)
+    means = clustering.cluster_means(rows).orderBy("prediction").collect()  # one row per cluster
+    centers = [(m["prediction"], [m[f] for f in FEATURES]) for m in means]
+    return clustering.assign(rows, centers).select("id", "prediction")
+
+
+@query
+def silhouette(spark, sf_dir):
+    score = clustering.silhouette(labelled_from_embeddings(spark, sf_dir))
+    return spark.createDataFrame([(round(score, 6),)], "silhouette double")
+
+
+@query
+def kmeans_fit(spark, sf_dir):
+    scaled = _scaled_lines(spark, sf_dir)
+    return clustering.model_centers(scaled, clustering.fit_kmeans(scaled))
+
+
+@query
+def kmeans_sweep(spark, sf_dir):
+    return clustering.sweep_k(_scaled_lines(spark, sf_dir))
+
+
+# ---- nearest neighbours: train rows answer for test rows ----
+
+CLASSES = list(range(8))  # the labels the sign rule can give
+LINE_ANOMALOUS = [c for c in ANOMALOUS if c in CLASSES]
+
+
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = tuning.holdout_split(labelled_from_embeddings(spark, sf_dir))
+    train = rows.filter(F.col("part") == "train").drop("part")
+    return train, rows.filter(F.col("part") == "test").drop("part")
+
+
+def _model(spark: SparkSession, sf_dir: str, k: int = NEIGHBORS) -> tuple[NeighborModel, DataFrame]:
+    train, test = _split(spark, sf_dir)
+    return NeighborModel.fit(train, k=k), test
+
+
+def _identified(test: DataFrame) -> DataFrame:
+    """Give feature rows the identity columns of a profile."""
+    return test.select(
+        "id",
+        F.concat(F.lit("10.0.0."), F.col("id") % 20).alias("srcAddr"),
+        (F.lit(100) + F.col("id") % 3).alias("vlanID"),
+        *FEATURES,
+    )
+
+
+def _class_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, test = _model(spark, sf_dir)
+    rows = voting.knn_class_prob(_identified(test), model)
+    return rows.select("id", "srcAddr", "vlanID", "Class", "Prob")
+
+
+@query
+def holdout_split(spark, sf_dir):
+    return tuning.holdout_split(labelled_from_embeddings(spark, sf_dir)).select("id", "part")
+
+
+@query
+def knn_neighbors(spark, sf_dir):
+    model, test = _model(spark, sf_dir)
+    found = model.neighbors(test).select("id", F.posexplode("neighbors").alias("pos", "entry"))
+    return found.select(
+        "id",
+        (F.col("pos") + 1).alias("rank"),
+        F.col("entry.id").alias("neighborId"),
+        F.col("entry.label").alias("neighborLabel"),
+        F.round("entry.dist", 6).alias("dist"),
+    )
+
+
+@query
+def knn_class_prob(spark, sf_dir):
+    return _rounded(_class_prob(spark, sf_dir).select("id", "Class", "Prob"), ["Prob"])
+
+
+@query
+def knn_predict(spark, sf_dir):
+    model, test = _model(spark, sf_dir)
+    rows = voting.knn_predict(test.drop("prediction"), model)
+    return _rounded(rows.select("id", "Prediction", "Probability"), ["Probability"])
+
+
+@query
+def knn_prob_wide(spark, sf_dir):
+    wide = voting.prob_wide(_class_prob(spark, sf_dir), CLASSES)
+    return _rounded(wide, [f"p{c}" for c in CLASSES])
+
+
+@query
+def knn_prob_array(spark, sf_dir):
+    rows = voting.prob_array(_class_prob(spark, sf_dir), CLASSES)
+    millionths = F.transform("probabilities", lambda p: F.round(p * 1000000).cast("bigint").cast("string"))
+    return rows.select("id", F.array_join(millionths, ",").alias("millionths"))
+
+
+@query
+def knn_second_class_prob(spark, sf_dir):
+    return _rounded(voting.second_class_prob(_class_prob(spark, sf_dir), CLASSES), ["probability"])
+
+
+# ---- verdicts ----
+
+
+@query
+def anomaly_verdict(spark, sf_dir):
+    return _rounded(verdict.verdict(_class_prob(spark, sf_dir), LINE_ANOMALOUS), ["Prob"])
+
+
+@query
+def anomaly_verdict_strict(spark, sf_dir):
+    model, test = _model(spark, sf_dir)
+    rows = voting.knn_predict(_identified(test), model)
+    flagged = verdict.strict_verdict(rows, LINE_ANOMALOUS)
+    return _rounded(flagged.select("id", "srcAddr", "vlanID", "Prediction", "Probability"), ["Probability"])
+
+
+@query
+def anomaly_pairs(spark, sf_dir):
+    return verdict.anomaly_pairs(verdict.verdict(_class_prob(spark, sf_dir), LINE_ANOMALOUS))
+
+
+@query
+def mitigation_actions(spark, sf_dir):
+    return verdict.mitigation_actions(anomaly_pairs(spark, sf_dir))
+
+
+def _normal_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out rows deep inside the normal classes stand for normal-only traffic."""
+    model, test = _model(spark, sf_dir)
+    normal = test.filter((F.col("sumOfFlows") < -0.1) & ~F.col("prediction").isin(LINE_ANOMALOUS))
+    return voting.knn_predict(normal.drop("prediction"), model)
+
+
+@query
+def normal_labels(spark, sf_dir):
+    return verdict.normal_labels(_normal_predictions(spark, sf_dir))
+
+
+@query
+def anomalous_labels(spark, sf_dir):
+    every = labelled_from_embeddings(spark, sf_dir).select(F.col("prediction").alias("label"))
+    return verdict.anomalous_labels(every, normal_labels(spark, sf_dir))
+
+
+# ---- tuning ----
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tuning.stratified_folds(labelled_from_embeddings(spark, sf_dir))
+
+
+@query
+def stratified_folds(spark, sf_dir):
+    return _folded(spark, sf_dir).select("id", "prediction", "fold")
+
+
+@query
+def knn_cv_curve(spark, sf_dir):
+    return _rounded(tuning.knn_cv_curve(_folded(spark, sf_dir)), ["accuracy"])
+
+
+@query
+def best_k(spark, sf_dir):
+    return clustering.best_k(knn_cv_curve(spark, sf_dir), "accuracy")
+
+
+def _holdout_curve(spark: SparkSession, sf_dir: str, ks=HOLDOUT_KS) -> DataFrame:
+    return _rounded(tuning.knn_holdout_curve(*_split(spark, sf_dir), ks), ["error", "accuracy"])
+
+
+@query
+def knn_error_curve(spark, sf_dir):
+    return _holdout_curve(spark, sf_dir).select("k", "error")
+
+
+@query
+def knn_accuracy_curve(spark, sf_dir):
+    return _holdout_curve(spark, sf_dir).select("k", "accuracy")
+
+
+@query
+def knn_holdout_accuracy(spark, sf_dir):
+    return _holdout_curve(spark, sf_dir, [NEIGHBORS]).select("k", "accuracy")
+
+
+# ---- classifier comparison ----
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tuning.shuffled_folds(labelled_from_embeddings(spark, sf_dir), COMPARE_FOLDS, COMPARE_SEED)
+
+
+def _classifier(name: str) -> None:
+    run = classifiers.CLASSIFIERS[name]
+    QUERIES[f"clf_{name.lower()}"] = lambda spark, sf_dir: _rounded(run(_compared(spark, sf_dir)), ["accuracy"])
+
+
+for _name in classifiers.CLASSIFIERS:
+    _classifier(_name)
+
+
+@query
+def fold_spread(spark, sf_dir):
+    scores = classifiers.nearest_neighbors(_compared(spark, sf_dir))
+    return _rounded(tuning.fold_spread(scores), ["low", "q1", "median", "q3", "high"])
+
+
+@query
+def model_comparison(spark, sf_dir):
+    rows = labelled_from_embeddings(spark, sf_dir)
+    return tuning.score_summary(classifiers.compare_classifiers(rows))
+
+
+# ---- streams ----
+
+
+@query
+def stream_source_profile(spark, sf_dir):
+    """Event flows as a file stream; the windows that the watermark closed."""
+    flows = flows_from_events(read_table_stream(spark, sf_dir, "events"))
+    path = new_table_path(spark, "stream")
+    run = start_profile_stream(
+        flows, f"{path}/out", f"{path}/checkpoint", seconds=STREAM_WIDTH, delay="1 hour", once=True
+    )
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+# ---- flagship: history to models to flagged sources ----
+
+
+@query
+def detect_anomalies(spark, sf_dir):
+    """Train on even windows, call the first quarter of them normal, flag sources of odd windows."""
+    profile = materialize(source_profile(spark, sf_dir), "profiles")
+    number = F.col("windowStart") / BATCH_WIDTH
+    span = profile.agg(F.min(number).alias("first"), F.max(number).alias("last")).first()
+    quiet = span["first"] + (span["last"] - span["first"]) / 4
+    history = features.score_input(profile).filter(number % 2 == 0)
+    bundle = train(history, history.filter(number <= quiet), ["windowStart", "srcAddr", "vlanID"])
+    return detect(profile.filter(number % 2 == 1), bundle)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions.columns import epoch_date
 from tallyflow.schemas import FLOW_MESSAGE
 
 BATCHES_PER_GROUP = 1440  # a day of 60-second batches
@@ -36,15 +35,27 @@ def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
     writer.partitionBy("batchGroup", "batchId").parquet(path)
 
 
-def archive_rows(messages: DataFrame, day: Column | None = None) -> DataFrame:
-    """Messages as a nested ``flow`` with the day they came in."""
-    flow = F.struct(*[F.col(f.name) for f in FLOW_MESSAGE.fields]).alias("flow")
-    return messages.select(flow, (F.current_date() if day is None else day).alias("ingestDate"))
+def archive_rows(messages: DataFrame, value: str = "value", day: Column | None = None) -> DataFrame:
+    """Whole messages as a nested ``flow``, with the day they came in.
 
+    The message text itself is dropped, unless it is not JSON: then it is all there is.
+    """
+    text = F.col(value).cast("string")
+    flow = F.try_parse_json(text)
+    return messages.select(
+        flow.alias("flow"),
+        F.when(flow.isNull(), text).alias("message"),
+        (F.current_date() if day is None else day).alias("ingestDate"),
+    )
 
-def archive_by_flow_start(messages: DataFrame) -> DataFrame:
-    """Archive rows dated by the start of the flow instead of the arrival."""
-    return archive_rows(messages, epoch_date("TimeFlowStart"))
+
+def archived_flows(archive: DataFrame) -> DataFrame:
+    """Message fields read back from archived rows."""
+    fields = [
+        F.try_variant_get("flow", f"$.{f.name}", f.dataType.simpleString()).alias(f.name)
+        for f in FLOW_MESSAGE.fields
+    ]
+    return archive.filter(F.col("flow").isNotNull()).select("ingestDate", *fields)
 
 
 def write_archive(rows: DataFrame, path: str) -> None:

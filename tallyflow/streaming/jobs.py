@@ -103,7 +103,6 @@ def start_detection(
 
 
 def start_archive(messages: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Every readable message, unaggregated, in one folder per day."""
-    valid, _ = decode_flows(messages)
-    writer = _start(archive_rows(valid), checkpoint, once).outputMode("append").format("parquet")
+    """Every message, unaggregated, in one folder per day; runs beside the other jobs."""
+    writer = _start(archive_rows(messages), checkpoint, once).outputMode("append").format("parquet")
     return writer.partitionBy("ingestDate").option("path", path).start()
