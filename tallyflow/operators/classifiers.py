@@ -12,6 +12,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -20,9 +21,10 @@ from pyspark.ml.classification import (
     NaiveBayes,
     OneVsRest,
 )
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyflow.operators.features import assemble
 from tallyflow.operators.neighbors import NeighborModel
@@ -115,25 +117,25 @@ def kernel_features(df: DataFrame, count: int = 100, seed: int = 0) -> DataFrame
     directions = rng.normal(scale=math.sqrt(2 * gamma), size=(count, len(FEATURES)))
     shifts = rng.uniform(0, 2 * math.pi, size=count)
 
-    def wave(direction, shift) -> Column:
-        terms = [F.col(f) * F.lit(float(w)) for f, w in zip(FEATURES, direction)]
-        return F.cos(reduce(lambda a, b: a + b, terms) + F.lit(float(shift))) * math.sqrt(2 / count)
+    scale = math.sqrt(2 / count)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def waves(*columns: pa.Array) -> pa.Array:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
+        values = scale * np.cos(x @ directions.T + shifts)
+        offsets = pa.array(np.arange(len(x) + 1) * count, pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))
 
-    names = [f"wave{i}" for i in range(count)]
-    waves = [wave(d, s).alias(n) for n, d, s in zip(names, directions, shifts)]
     rest = [c for c in df.columns if c not in FEATURES]
-    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(df.select(*rest, *waves))
-    return assembled.drop(*names)
+    return df.select(*rest, array_to_vector(waves(*FEATURES)).alias("features"))
 
 
-def support_vectors(df: DataFrame, max_iter: int = 30, kernel_count: int = 100) -> DataFrame:
+def support_vectors(df: DataFrame, max_iter: int = 20, tol: float = 1e-3, kernel_count: int = 100) -> DataFrame:
     """One-against-rest linear machines on approximate RBF kernel features."""
 
     def estimator(rows: int):
-        machine = LinearSVC(maxIter=max_iter, regParam=1.0 / rows, standardization=False)
-        return OneVsRest(
-            classifier=machine, labelCol="prediction", predictionCol="guess", rawPredictionCol="raw", parallelism=4
-        )
+        machine = LinearSVC(maxIter=max_iter, tol=tol, regParam=1.0 / rows, standardization=False)
+        return OneVsRest(classifier=machine, labelCol="prediction", predictionCol="guess", parallelism=1)
 
     return _by_fold("SVM", kernel_features(df, kernel_count), estimator)
 

@@ -181,7 +181,7 @@ def _line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scaled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _line_features(spark, sf_dir)
+    rows = materialize(_line_features(spark, sf_dir), "features")
     return features.scale(rows, features.fit_scaler(rows))
 
 
@@ -469,11 +469,11 @@ def stream_source_profile(spark, sf_dir):
 
 @query
 def detect_anomalies(spark, sf_dir):
-    """Train on even windows, call the first quarter of them normal, flag sources of odd windows."""
+    """Train on even windows, take sources up to the third quartile as normal, flag sources of odd windows."""
     profile = materialize(source_profile(spark, sf_dir), "profiles")
     number = F.col("windowStart") / BATCH_WIDTH
-    span = profile.agg(F.min(number).alias("first"), F.max(number).alias("last")).first()
-    quiet = span["first"] + (span["last"] - span["first"]) / 4
     history = features.score_input(profile).filter(number % 2 == 0)
-    bundle = train(history, history.filter(number <= quiet), ["windowStart", "srcAddr", "vlanID"])
+    ordinary = history.approxQuantile("sumOfBytes", [0.75], 0.001)[0]
+    normal = history.filter(F.col("sumOfBytes") <= ordinary)
+    bundle = train(history, normal, ["windowStart", "srcAddr", "vlanID"])
     return detect(profile.filter(number % 2 == 1), bundle)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyflow.operators import clustering, features, tuning, verdict, voting
 from tallyflow.operators.neighbors import NeighborModel
 from tallyflow.schemas import CLUSTERS, KMEANS_SEED, NEIGHBORS
+from tallyflow.session import materialize
 
 
 @dataclass
@@ -39,8 +40,11 @@ class ModelBundle:
 
 
 def label_history(history: DataFrame, key: list[str], k: int = CLUSTERS, seed: int = KMEANS_SEED):
-    """``(scaler, labelled)``: scaled history rows with their K-means cluster."""
-    rows = features.feature_frame(history, features.row_id(*key))
+    """``(scaler, labelled)``: scaled history rows with their K-means cluster.
+
+    The narrow feature table is written once; every later pass reads only that.
+    """
+    rows = materialize(features.feature_frame(history, features.row_id(*key)), "features")
     scaler = features.fit_scaler(rows)
     scaled = features.scale(rows, scaler)
     return scaler, clustering.label(scaled, clustering.fit_kmeans(scaled, k, seed))
