@@ -33,8 +33,9 @@ def stratified_folds(
     plus the class's rows in earlier slices, so a class of any size is ranked by
     many tasks. Slice edges only spread the work; the result does not depend on them.
     """
-    edges = df.approxQuantile(id, [i / slices for i in range(1, slices)], 0.5 / slices)
-    edges = F.lit(sorted(set(edges))).cast("array<double>")
+    shares = [i / slices for i in range(1, slices)]
+    cuts = df.approxQuantile(id, shares, 0.5 / slices) if shares else []
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
     sliced = df.withColumn("slice", F.size(F.filter(edges, lambda e: e < F.col(id))))
     sizes = sliced.groupBy(label, "slice").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy(label).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
