@@ -29,6 +29,10 @@ class Cells:
     def leaves(self) -> int:
         return 1 << self.depth
 
+    def state(self) -> tuple:
+        """Plain values to send to tasks; ``Cells(*state)`` puts them back."""
+        return self.depth, self.dims, self.cuts, self.low, self.high
+
     def assign(self, x: np.ndarray) -> np.ndarray:
         """Cell of every row of ``x``."""
         node = np.zeros(len(x), dtype=np.int64)
@@ -164,11 +168,23 @@ def kth_distance(query: np.ndarray, dist: np.ndarray, n: int, k: int) -> np.ndar
 class Index:
     """All reference rows of a bounded model, grouped by cell."""
 
-    def __init__(self, cells: Cells, rows: Rows):
+    def __init__(self, cells: Cells, rows: Rows, start: np.ndarray):
+        self.cells, self.rows, self.start = cells, rows, start
+
+    @classmethod
+    def build(cls, cells: Cells, rows: Rows) -> "Index":
         cell = cells.assign(rows.x)
         order = np.argsort(cell, kind="stable")
-        self.cells, self.rows = cells, rows.take(order)
-        self.start = np.searchsorted(cell[order], np.arange(cells.leaves + 1))
+        return cls(cells, rows.take(order), np.searchsorted(cell[order], np.arange(cells.leaves + 1)))
+
+    def state(self) -> tuple:
+        rows = self.rows
+        return self.cells.state(), (rows.x, rows.id, rows.label, rows.apart), self.start
+
+    @classmethod
+    def restore(cls, state: tuple) -> "Index":
+        cells, rows, start = state
+        return cls(Cells(*cells), Rows(*rows), start)
 
     def _visit(self, x, apart, query, cell, k, radius=None):
         """Nearest rows for ``(query, cell)`` pairs, one cell at a time."""

@@ -13,13 +13,16 @@ several tasks. Both give the same rows.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyflow.functions import cells as cell_helpers
 from tallyflow.functions.cells import (
     Cells,
     Index,
@@ -31,6 +34,10 @@ from tallyflow.functions.cells import (
 from tallyflow.schemas import FEATURES, NEIGHBORS
 from tallyflow.session import materialize
 
+# Tasks get these helpers by value, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(cell_helpers)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NEIGHBOR_TYPE = T.ArrayType(
     T.StructType(
         [
@@ -99,10 +106,10 @@ class NeighborModel:
         self.cells.set_boxes(boxes.column("cell").to_numpy(), low, high)
         self.index = None
         if self.count <= broadcast_rows:
-            held = Index(self.cells, _rows(rows.toArrow(), features))
-            self.index = self.spark.sparkContext.broadcast(held)
+            held = Index.build(self.cells, _rows(rows.toArrow(), features))
+            self.index = self.spark.sparkContext.broadcast(held.state())
         else:
-            self.shared_cells = self.spark.sparkContext.broadcast(self.cells)
+            self.shared_cells = self.spark.sparkContext.broadcast(self.cells.state())
 
     # ---- fit, save, load ----
 
@@ -143,7 +150,7 @@ class NeighborModel:
         share = min(1.0, sample_rows / count)
         sample = (rows if share == 1.0 else rows.sample(share, seed=1)).select(*features).toArrow()
         cells = build_cells(_matrix([sample.column(f).combine_chunks() for f in features]), depth)
-        assign = _assigner(rows.sparkSession.sparkContext.broadcast(cells))
+        assign = _assigner(rows.sparkSession.sparkContext.broadcast(cells.state()))
         celled = rows.withColumn("cell", assign(*features))
         return cls(materialize(celled, "neighbor-cells"), cells, k, features, **limits)
 
@@ -178,7 +185,7 @@ class NeighborModel:
 
         @F.arrow_udf(NEIGHBOR_TYPE)
         def search(*columns: pa.Array) -> pa.Array:
-            index = shared.value
+            index = Index.restore(shared.value)
             apart = columns[-1].to_numpy(zero_copy_only=False)
             both = np.column_stack([_matrix(columns[:-1]), apart])
             distinct, back = np.unique(both, axis=0, return_inverse=True)
@@ -233,7 +240,7 @@ class NeighborModel:
         features, shared = self.features, self.shared_cells
 
         def run(queries: pa.Table, reference: pa.Table) -> pa.Table:
-            cells, n = shared.value, queries.num_rows
+            cells, n = Cells(*shared.value), queries.num_rows
             if n == 0:
                 none = np.empty(0, np.int64)
                 return _home_table(features, queries, np.empty(0), none, np.empty(0), *[none] * 4)
@@ -272,7 +279,7 @@ class NeighborModel:
 def _assigner(shared):
     @F.arrow_udf(T.LongType())
     def assign(*columns: pa.Array) -> pa.Array:
-        return pa.array(shared.value.assign(_matrix(columns)))
+        return pa.array(Cells(*shared.value).assign(_matrix(columns)))
 
     return assign
 
