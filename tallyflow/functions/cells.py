@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-BLOCK = 2_000_000  # distances held at once
+BLOCK = 200_000  # distances held at once; a block stays in the processor cache
+LARGEST = np.finfo(float).max  # infinite and missing distances are not found
 
 
 @dataclass
@@ -70,6 +71,11 @@ class Cells:
         return row, node - (self.leaves - 1)
 
 
+def depth_for(rows: int, cell_rows: int) -> int:
+    """Levels of halving that bring ``rows`` down to ``cell_rows`` per cell."""
+    return max(0, int(np.ceil(np.log2(max(rows, 1) / cell_rows))))
+
+
 def build_cells(sample: np.ndarray, depth: int) -> Cells:
     """Halve each cell of the sample at the median of its widest feature.
 
@@ -132,8 +138,12 @@ def first_k(query: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) -> np.
 
 
 def nearest(x: np.ndarray, apart: np.ndarray, rows: Rows, k: int, radius: np.ndarray | None = None):
-    """``(query, row, dist)`` of the k nearest rows of every query, nearest first."""
-    found = []
+    """``(query, row, dist)`` of the k nearest rows of every query and of all ties with the k-th.
+
+    With ``radius``, only rows that near. Unordered within a query.
+    """
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    grouped = np.isin(apart, rows.apart).any()
     step = max(1, BLOCK // max(1, len(rows)))
     for begin in range(0, len(x), step):
         part = x[begin : begin + step]
@@ -142,16 +152,16 @@ def nearest(x: np.ndarray, apart: np.ndarray, rows: Rows, k: int, radius: np.nda
             gap = part[:, j, None] - rows.x[None, :, j]
             dist += gap * gap
         np.sqrt(dist, out=dist)
-        dist[apart[begin : begin + step, None] == rows.apart[None, :]] = np.inf
-        limit = np.full(len(part), np.inf) if radius is None else radius[begin : begin + step]
-        if len(rows) > k:
-            limit = np.minimum(limit, np.partition(dist, k - 1, axis=1)[:, k - 1])
-        query, row = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
-        held = dist[query, row]
-        keep = first_k(query, held, rows.id[row], k)
-        found.append((query[keep] + begin, row[keep], held[keep]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if grouped:
+            dist[apart[begin : begin + step, None] == rows.apart[None, :]] = np.inf
+        limit = np.full(len(part), LARGEST) if radius is None else np.minimum(radius[begin : begin + step], LARGEST)
+        within = dist <= limit[:, None]
+        crowded = np.flatnonzero(within.sum(axis=1) > k)
+        if len(crowded):
+            kth = np.partition(dist[crowded], k - 1, axis=1)[:, k - 1]
+            within[crowded] = dist[crowded] <= kth[:, None]
+        query, row = np.nonzero(within)
+        found.append((query + begin, row, dist[query, row]))
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
@@ -166,16 +176,22 @@ def kth_distance(query: np.ndarray, dist: np.ndarray, n: int, k: int) -> np.ndar
 
 
 class Index:
-    """All reference rows of a bounded model, grouped by cell."""
+    """Reference rows that fit in a task, grouped by small cells of their own."""
 
     def __init__(self, cells: Cells, rows: Rows, start: np.ndarray):
         self.cells, self.rows, self.start = cells, rows, start
 
     @classmethod
-    def build(cls, cells: Cells, rows: Rows) -> "Index":
+    def build(cls, rows: Rows, leaf_rows: int = 512) -> "Index":
+        cells = build_cells(rows.x, depth_for(len(rows), leaf_rows))
         cell = cells.assign(rows.x)
         order = np.argsort(cell, kind="stable")
-        return cls(cells, rows.take(order), np.searchsorted(cell[order], np.arange(cells.leaves + 1)))
+        rows = rows.take(order)
+        start = np.searchsorted(cell[order], np.arange(cells.leaves + 1))
+        used = np.flatnonzero(np.diff(start))
+        low, high = (f.reduceat(rows.x, start[used]) if len(used) else rows.x for f in (np.minimum, np.maximum))
+        cells.set_boxes(used, low, high)
+        return cls(cells, rows, start)
 
     def state(self) -> tuple:
         rows = self.rows
@@ -190,34 +206,37 @@ class Index:
         """Nearest rows for ``(query, cell)`` pairs, one cell at a time."""
         order = np.argsort(cell, kind="stable")
         query, cell = query[order], cell[order]
-        found = []
-        edges = np.flatnonzero(np.diff(cell)) + 1
-        for members in np.split(np.arange(len(cell)), edges):
-            if not len(members):
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+        for first, last in zip(edges[:-1], edges[1:]):
+            if first == last:
                 continue
-            begin, end = self.start[cell[members[0]]], self.start[cell[members[0]] + 1]
-            mine = query[members]
-            q, r, d = nearest(
-                x[mine], apart[mine], self.rows.take(slice(begin, end)), k,
-                None if radius is None else radius[mine],
-            )
+            mine = query[first:last]
+            begin, end = self.start[cell[first]], self.start[cell[first] + 1]
+            reach = None if radius is None else radius[mine]
+            q, r, d = nearest(x[mine], apart[mine], self.rows.take(slice(begin, end)), k, reach)
             found.append((mine[q], r + begin, d))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         return tuple(np.concatenate(parts) for parts in zip(*found))
 
-    def search(self, x: np.ndarray, apart: np.ndarray, k: int):
-        """``(query, row, dist)``: own cell first, then every cell within reach."""
-        home = self.cells.assign(x)
-        query, row, dist = self._visit(x, apart, np.arange(len(x)), home, k)
+    def search(self, x: np.ndarray, apart: np.ndarray, k: int, radius: np.ndarray | None = None):
+        """``(query, row, dist)`` of the k nearest rows, nearest first.
+
+        With ``radius``, only rows that near. Without, the query's own cell gives the radius.
+        """
+        home = np.full(len(x), -1)
+        known = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        if radius is None:
+            home = self.cells.assign(x)
+            known = self._first(self._visit(x, apart, np.arange(len(x)), home, k), k)
+            if self.cells.depth == 0:
+                return known
+            radius = kth_distance(known[0], known[2], len(x), k)
+        near, cell = self.cells.within(x, radius)
+        other = cell != home[near]
+        more = self._visit(x, apart, near[other], cell[other], k, radius)
+        return self._first(tuple(np.concatenate(parts) for parts in zip(known, more)), k)
+
+    def _first(self, found, k: int):
+        query, row, dist = found
         keep = first_k(query, dist, self.rows.id[row], k)
-        query, row, dist = query[keep], row[keep], dist[keep]
-        if self.cells.depth:
-            radius = kth_distance(query, dist, len(x), k)
-            near, cell = self.cells.within(x, radius)
-            other = cell != home[near]
-            more = self._visit(x, apart, near[other], cell[other], k, radius)
-            query, row, dist = (np.concatenate(p) for p in zip((query, row, dist), more))
-            keep = first_k(query, dist, self.rows.id[row], k)
-            query, row, dist = query[keep], row[keep], dist[keep]
-        return query, row, dist
+        return query[keep], row[keep], dist[keep]

@@ -12,7 +12,6 @@ several tasks. Both give the same rows.
 
 from __future__ import annotations
 
-import math
 import sys
 
 import numpy as np
@@ -28,8 +27,8 @@ from tallyflow.functions.cells import (
     Index,
     Rows,
     build_cells,
+    depth_for,
     kth_distance,
-    nearest,
 )
 from tallyflow.schemas import FEATURES, NEIGHBORS
 from tallyflow.session import materialize
@@ -73,7 +72,7 @@ def _rows(table: pa.Table, features: list[str]) -> Rows:
 class NeighborModel:
     """Stored reference rows of a nearest-neighbour classifier.
 
-    ``cell_rows`` is the aimed cell size, ``broadcast_rows`` the largest row count
+    ``cell_rows`` is the aimed size of a distributed cell, ``broadcast_rows`` the largest row count
     that is broadcast, ``max_depth`` bounds the number of cells (and with it all
     that the driver ever holds of a distributed model), ``slot_rows`` the queries
     per task and cell.
@@ -106,7 +105,7 @@ class NeighborModel:
         self.cells.set_boxes(boxes.column("cell").to_numpy(), low, high)
         self.index = None
         if self.count <= broadcast_rows:
-            held = Index.build(self.cells, _rows(rows.toArrow(), features))
+            held = Index.build(_rows(rows.toArrow(), features))
             self.index = self.spark.sparkContext.broadcast(held.state())
         else:
             self.shared_cells = self.spark.sparkContext.broadcast(self.cells.state())
@@ -122,7 +121,7 @@ class NeighborModel:
         id: str = "id",
         label: str = "prediction",
         apart: str | None = None,
-        cell_rows: int = 2_048,
+        cell_rows: int = 8_192,
         max_depth: int = 15,
         sample_rows: int = 500_000,
         **limits: int,
@@ -143,7 +142,7 @@ class NeighborModel:
         rows = rows.withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= k).drop("copy")
         rows = materialize(rows, "neighbor-rows")
         count = rows.count()
-        depth = min(max_depth, max(0, math.ceil(math.log2(max(count, 1) / cell_rows))))
+        depth = min(max_depth, depth_for(count, cell_rows))
         if depth == 0:
             empty = Cells(0, np.zeros(0, dtype=np.int64), np.zeros(0))
             return cls(rows.withColumn("cell", F.lit(0).cast("bigint")), empty, k, features, **limits)
@@ -206,14 +205,11 @@ class NeighborModel:
 
         home = materialize(self._meet(points, self._home_task(k), _home_type(self.features)), "neighbor-home")
         reach = home.select(*self.features, "apart", "query", "radius", F.explode("visits").alias("cell"))
-        entry = F.explode("neighbors").alias("entry")
-        near = home.select("query", entry).select("query", "entry.*")
-        far = self._meet(reach, self._reach_task(k), "query bigint, dist double, id bigint, label bigint")
-        rank = F.row_number().over(Window.partitionBy("query").orderBy("dist", "id"))
-        best = near.unionByName(far).withColumn("rank", rank).filter(F.col("rank") <= k)
-        lists = best.groupBy("query").agg(
-            F.array_sort(F.collect_list(F.struct("dist", "id", "label"))).alias("neighbors")
-        )
+        far = self._meet(reach, self._reach_task(k), T.StructType(_QUERY_FIELDS))
+        # at most k entries per visited cell, and the cells are bounded in number
+        every = home.select("query", "neighbors").unionByName(far)
+        merged = F.array_sort(F.flatten(F.collect_list("neighbors")))
+        lists = every.groupBy("query").agg(F.slice(merged, 1, k).alias("neighbors"))
         answers = home.select(*self.features, "apart", "query").join(lists, "query").drop("query")
         answers = answers.select(
             *[F.col(f).alias(f"_{f}") for f in self.features], F.col("apart").alias("_apart"), "neighbors"
@@ -245,8 +241,9 @@ class NeighborModel:
                 none = np.empty(0, np.int64)
                 return _home_table(features, queries, np.empty(0), none, np.empty(0), *[none] * 4)
             x = _matrix([queries.column(f).combine_chunks() for f in features])
-            rows = _rows(reference, features)
-            query, row, dist = nearest(x, queries.column("apart").to_numpy(), rows, k)
+            index = Index.build(_rows(reference, features))
+            rows = index.rows
+            query, row, dist = index.search(x, queries.column("apart").to_numpy(), k)
             radius = kth_distance(query, dist, n, k)
             near, cell = cells.within(x, radius)
             other = cell != queries.column("cell").to_numpy()[near]
@@ -262,20 +259,22 @@ class NeighborModel:
         features = self.features
 
         def run(queries: pa.Table, reference: pa.Table) -> pa.Table:
-            empty = np.empty(0, np.int64)
-            name, query, dist, ids, labels = empty, empty, np.empty(0), empty, empty
-            if queries.num_rows and reference.num_rows:
-                x = _matrix([queries.column(f).combine_chunks() for f in features])
-                rows = _rows(reference, features)
-                apart, radius = (queries.column(c).to_numpy() for c in ("apart", "radius"))
-                query, row, dist = nearest(x, apart, rows, k, radius)
-                ids, labels = rows.id[row], rows.label[row]
-                name = queries.column("query").to_numpy()
-            return pa.table({"query": name[query], "dist": dist, "id": ids, "label": labels})
+            n = queries.num_rows
+            x = _matrix([queries.column(f).combine_chunks() for f in features])
+            index = Index.build(_rows(reference, features))
+            rows = index.rows
+            apart, radius = (queries.column(c).to_numpy() for c in ("apart", "radius"))
+            query, row, dist = index.search(x, apart, k, radius)
+            lists = _neighbor_lists(n, query, dist, rows.id[row], rows.label[row])
+            found = pa.table({"query": queries.column("query").combine_chunks(), "neighbors": lists})
+            return found.filter(pa.array(np.bincount(query, minlength=n) > 0))
 
         return run
 
 
+_QUERY_FIELDS = [T.StructField("query", T.LongType()), T.StructField("neighbors", NEIGHBOR_TYPE)]
+
+
 def _assigner(shared):
     @F.arrow_udf(T.LongType())
     def assign(*columns: pa.Array) -> pa.Array:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyflow.functions.cells import Index, Rows
 from tallyflow.operators.neighbors import NeighborModel
 from tallyflow.schemas import FEATURES
 
@@ -95,3 +96,20 @@ def test_too_large_k_is_refused(spark):
     model = NeighborModel.fit(_frame(spark, _data(8, 20, "normal")), k=3)
     with pytest.raises(ValueError):
         model.neighbors(_frame(spark, _data(8, 20, "normal")), k=4)
+
+
+@pytest.mark.parametrize("kind", ["normal", "grid", "heavy"])
+@pytest.mark.parametrize("leaf", [8, 64, 4096])
+def test_index_in_a_task(kind, leaf):
+    ref, x = _data(9, 700, kind), _data(10, 120, kind)
+    rng = np.random.default_rng(11)
+    ids = rng.permutation(700)
+    group, own = rng.integers(0, 4, 700), rng.integers(0, 4, 120)
+    index = Index.build(Rows(ref, ids, ids % 3, group), leaf)
+    query, row, dist = index.search(x, own, 10)
+    got = [[] for _ in x]
+    for q, r, d in zip(query, row, dist):
+        got[q].append((float(d), int(index.rows.id[r])))
+    for i, v in enumerate(x):
+        d = np.sqrt(sum((v[j] - ref[:, j]) ** 2 for j in range(5)))
+        assert got[i] == sorted((float(d[r]), int(ids[r])) for r in range(700) if group[r] != own[i])[:10]
