@@ -121,7 +121,7 @@ class NeighborModel:
         id: str = "id",
         label: str = "prediction",
         apart: str | None = None,
-        cell_rows: int = 8_192,
+        cell_rows: int = 16_384,
         max_depth: int = 15,
         sample_rows: int = 500_000,
         **limits: int,

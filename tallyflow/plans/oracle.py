@@ -254,6 +254,23 @@ SQL["normal_labels"] = f"WITH {WINNERS} {_NORMAL}"
 SQL["anomalous_labels"] = f"""WITH {WINNERS}
 SELECT DISTINCT prediction AS label FROM labelled WHERE prediction NOT IN ({_NORMAL})"""
 
+PROFILE_SHARES = f"""{LINE_FEATURES}, numbered AS (
+  SELECT *, windowStart // {WIDTH} * 100000000 + CAST(substr(srcAddr, 8) AS BIGINT) * 1000 + vlanID AS id,
+         least(CAST(floor(sumOfFlows / 8) AS BIGINT), 7) AS prediction
+  FROM line_features), """ + _ranked(
+    f"(SELECT * FROM numbered WHERE windowStart // {WIDTH} % 2 = 1)",
+    f"(SELECT * FROM numbered WHERE windowStart // {WIDTH} % 2 = 0)",
+    "true",
+    36,
+) + """,
+shares AS (
+  SELECT id, neighborLabel AS Class, sum(weight) / any_value(total) AS Prob
+  FROM (SELECT *, sum(weight) OVER (PARTITION BY id) AS total FROM votes) t
+  GROUP BY id, neighborLabel HAVING sum(weight) > 0)"""
+SQL["profile_verdict"] = f"""WITH {PROFILE_SHARES}
+SELECT n.windowStart, n.srcAddr, n.vlanID, s.Class, round(s.Prob, 6) AS Prob
+FROM shares s JOIN numbered n ON n.id = s.id WHERE s.Class IN (2, 3, 6, 7)"""
+
 # ---- tuning ----
 
 FOLDED = f"""{LABELLED}, folded AS (

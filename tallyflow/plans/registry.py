@@ -380,6 +380,32 @@ def anomalous_labels(spark, sf_dir):
     return verdict.anomalous_labels(every, normal_labels(spark, sf_dir))
 
 
+def _profile_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class shares of the odd windows' profiles, answered by the even windows'.
+
+    Features stay unscaled whole numbers, so distances and their many ties are
+    exact; the label is the band of the flow count.
+    """
+    number = (F.col("windowStart") / BATCH_WIDTH).cast("bigint")
+    source = F.substring("srcAddr", 8, 20).cast("bigint")
+    rows = materialize(_line_features(spark, sf_dir), "features").select(
+        (number * 100000000 + source * 1000 + F.col("vlanID")).alias("id"),
+        "windowStart",
+        "srcAddr",
+        "vlanID",
+        *FEATURES,
+        F.least(F.floor(F.col("sumOfFlows") / 8).cast("bigint"), F.lit(7)).alias("prediction"),
+    )
+    model = NeighborModel.fit(rows.filter(number % 2 == 0))
+    return voting.knn_class_prob(rows.filter(number % 2 == 1).drop("prediction"), model)
+
+
+@query
+def profile_verdict(spark, sf_dir):
+    flagged = verdict.verdict(_profile_shares(spark, sf_dir), LINE_ANOMALOUS)
+    return _rounded(flagged.select("windowStart", "srcAddr", "vlanID", "Class", "Prob"), ["Prob"])
+
+
 # ---- tuning ----
 
 
