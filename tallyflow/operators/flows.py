@@ -36,10 +36,9 @@ def decode_flows(
     original pipeline.
     """
     text = F.col(value).cast("string")
-    parsed = df.select(
-        text.alias("value"),
-        F.from_json(text, _PARSE, {"columnNameOfCorruptRecord": _CORRUPT}).alias("message"),
-    )
+    message = F.from_json(text, _PARSE, {"columnNameOfCorruptRecord": _CORRUPT})
+    # a filter is pushed into a projection and would parse again there, but not into an explode
+    parsed = df.select(text.alias("value"), F.explode(F.array(message)).alias("message"))
     ok = F.coalesce(_is_valid(F.col("message"), F.col("value")), F.lit(False))
     if strict:
         reason = F.concat(F.lit("bad flow message: "), F.coalesce(F.col("value"), F.lit("null")))

@@ -208,7 +208,7 @@ class NeighborModel:
         far = self._meet(reach, self._reach_task(k), T.StructType(_QUERY_FIELDS))
         # at most k entries per visited cell, and the cells are bounded in number
         every = home.select("query", "neighbors").unionByName(far)
-        merged = F.array_sort(F.flatten(F.collect_list("neighbors")))
+        merged = F.sort_array(F.flatten(F.collect_list("neighbors")))
         lists = every.groupBy("query").agg(F.slice(merged, 1, k).alias("neighbors"))
         answers = home.select(*self.features, "apart", "query").join(lists, "query").drop("query")
         answers = answers.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,29 +21,37 @@ def weight(entry: Column, nearest: Column, weights: str) -> Column:
     return F.when(nearest == 0, equal).otherwise(F.lit(1.0) / entry["dist"])
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` evaluated once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _total(votes: Column) -> Column:
+    return F.aggregate(votes, F.lit(0.0), lambda sum, v: sum + v["weight"])
+
+
 def class_shares(neighbors: Column, weights: str = "distance") -> Column:
     """Array of ``(Class, Prob)`` in class order; classes without weight are left out."""
-    # an empty list has no nearest entry: get() gives NULL there
-    votes = F.transform(
-        neighbors,
-        lambda e: F.struct(
-            e["label"].alias("label"),
-            weight(e, F.get(neighbors, F.lit(0))["dist"], weights).alias("weight"),
-        ),
-    )
 
-    def total(entries: Column) -> Column:
-        return F.aggregate(entries, F.lit(0.0), lambda sum, e: sum + e["weight"])
+    def vote(entry: Column, nearest: Column) -> Column:
+        return F.struct(entry["label"].alias("label"), weight(entry, nearest, weights).alias("weight"))
+
+    def share(label: Column, votes: Column, total: Column) -> Column:
+        mine = _total(F.filter(votes, lambda v: v["label"] == label))
+        return F.struct(label.alias("Class"), (mine / total).alias("Prob"))
 
-    classes = F.array_sort(F.array_distinct(F.transform(neighbors, lambda e: e["label"])))
-    shares = F.transform(
-        classes,
-        lambda c: F.struct(
-            c.alias("Class"),
-            (total(F.filter(votes, lambda e: e["label"] == c)) / total(votes)).alias("Prob"),
+    def shares(votes: Column, total: Column) -> Column:
+        classes = F.sort_array(F.array_distinct(F.transform(votes, lambda v: v["label"])))
+        return F.filter(F.transform(classes, lambda c: share(c, votes, total)), lambda s: s["Prob"] > 0)
+
+    # an empty list has no nearest entry: get() gives NULL there
+    return _let(
+        F.get(neighbors, F.lit(0))["dist"],
+        lambda nearest: _let(
+            F.transform(neighbors, lambda e: vote(e, nearest)),
+            lambda votes: _let(_total(votes), lambda total: shares(votes, total)),
         ),
     )
-    return F.filter(shares, lambda s: s["Prob"] > 0)
 
 
 def top_class(shares: Column) -> Column:
