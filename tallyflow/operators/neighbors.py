@@ -192,7 +192,9 @@ class NeighborModel:
             lists = _neighbor_lists(len(distinct), query, dist, index.rows.id[row], index.rows.label[row])
             return lists.take(pa.array(back.ravel()))
 
-        return search(*[F.col(f).cast("double") for f in self.features], group)
+        # marked so that no filter on the result is pushed down and searches a second time
+        once = search.asNondeterministic()
+        return once(*[F.col(f).cast("double") for f in self.features], group)
 
     def _search_by_cell(self, df: DataFrame, k: int, group: Column) -> DataFrame:
         """Two co-grouped passes over distinct query vectors: own cell, then cells in reach."""

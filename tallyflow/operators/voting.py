@@ -73,7 +73,9 @@ def knn_shares(
 def knn_class_prob(df: DataFrame, model: NeighborModel, k: int = NEIGHBORS, weights: str = "distance") -> DataFrame:
     """One row per row of ``df`` and class of non-zero probability; all columns are kept."""
     rows = knn_shares(df, model, k, weights)
-    return rows.select(*df.columns, F.explode("shares").alias("share")).select(*df.columns, "share.*")
+    # the outer form infers no filter on the array, which would work out the shares twice
+    rows = rows.select(*df.columns, F.explode_outer("shares").alias("share"))
+    return rows.select(*df.columns, "share.*").filter(F.col("Class").isNotNull())
 
 
 def knn_predict(

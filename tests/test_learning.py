@@ -104,6 +104,26 @@ def test_any_share_of_an_anomalous_class_flags(spark):
     assert verdict.verdict(prob, [2, 3], min_prob=0.5).count() == 0
 
 
+def test_long_label_table_is_joined(spark, monkeypatch):
+    monkeypatch.setattr(verdict, "FEW_LABELS", 1)
+    prob = probabilities(spark, [("a", 1, 2, 0.5), ("b", 1, 0, 1.0)])
+    table = spark.createDataFrame([(2,), (3,)], "label int")
+    assert [r.srcAddr for r in verdict.verdict(prob, table).collect()] == ["a"]
+    df = spark.createDataFrame([("sure", 0, 1.0), ("bad", 2, 1.0)], "srcAddr string, Prediction long, Probability double")
+    assert [r.srcAddr for r in verdict.strict_verdict(df, table).collect()] == ["bad"]
+
+
+def test_search_runs_once_per_row_and_needs_no_class_shuffle(spark):
+    df = labelled_from_embeddings(spark, SMALL)
+    model = NeighborModel.fit(df, k=5)
+    prob = voting.knn_class_prob(df.drop("prediction"), model, 5)
+    flagged = verdict.verdict(prob, spark.createDataFrame([(2,)], "label long"))
+    strict = verdict.strict_verdict(voting.knn_predict(df.drop("prediction"), model, 5), [2])
+    for frame_ in (flagged, strict):
+        plan = frame_._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
 def test_two_anomalous_classes_give_one_pair(spark):
     prob = probabilities(spark, [("a", 1, 2, 0.5), ("a", 1, 3, 0.5), ("a", 2, 3, 1.0)])
     pairs = verdict.anomaly_pairs(verdict.verdict(prob, [2, 3]))
