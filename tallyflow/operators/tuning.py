@@ -53,7 +53,8 @@ def curve_predictions(
     Taking one neighbour more only raises the weight of that neighbour's class, so
     the winner among k neighbours is the largest running class weight up to rank k.
     """
-    entries = found.select(
+    # one shuffle of whole lists, whose partitioning both windows below can use
+    entries = found.repartition(F.col(id)).select(
         id,
         *keep,
         F.get("neighbors", F.lit(0))["dist"].alias("nearest"),

@@ -89,8 +89,8 @@ def knn_predict(
 
 def prob_wide(prob: DataFrame, classes: list[int], id: str = "id") -> DataFrame:
     """One column per class; absent classes are 0."""
-    wide = prob.groupBy(id).pivot("Class", classes).agg(F.first("Prob"))
-    return wide.select(id, *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"p{c}") for c in classes])
+    of = {c: F.when(F.col("Class") == c, F.col("Prob")).otherwise(F.lit(0.0)) for c in classes}
+    return prob.groupBy(id).agg(*[F.sum(share).alias(f"p{c}") for c, share in of.items()])
 
 
 def prob_array(prob: DataFrame, classes: list[int], id: str = "id") -> DataFrame:
