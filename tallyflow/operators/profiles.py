@@ -70,6 +70,22 @@ def _approximate(names: dict[str, str]) -> list[Column]:
     ]
 
 
+def _null_free(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str], list[Column]]:
+    """Add each key as a value that is never NULL plus a NULL mark; returns also the way back.
+
+    Plain equality then joins NULL keys too, on columns the aggregation is already
+    partitioned by, so the totals are not shuffled again for the join.
+    """
+    kinds = dict(df.dtypes)
+    columns, back = {}, []
+    for c in by:
+        stand_in = F.lit("" if kinds[c] == "string" else 0).cast(kinds[c])
+        columns[f"_{c}"] = F.coalesce(F.col(c), stand_in)
+        columns[f"_no_{c}"] = F.col(c).isNull()
+        back.append(F.when(~F.col(f"_no_{c}"), F.col(f"_{c}")).alias(c))
+    return df.withColumns(columns), list(columns), back
+
+
 SOURCE_FROM = {
     "sumOfFlows": "sampledFlow",
     "sumOfBytes": "bytes",
@@ -101,14 +117,13 @@ def source_profile(
     by = window + ["srcAddr"]
     counted = ["sampledFlow", "dstAddr", "dstPort"]
     if not flows.isStreaming:
+        flows, keys, back = _null_free(flows, by)
         if approx:
-            totals = flows.groupBy(*by).agg(*_approximate(SOURCE_FROM))
+            totals = flows.groupBy(*keys).agg(*_approximate(SOURCE_FROM))
         else:
-            totals = _distinct_values(flows, by, counted).groupBy(*by).agg(*_measures(counted, SOURCE_FROM))
-        vlans = flows.select(*by, "vlanID").distinct().alias("vlans")
-        same = [F.col(f"totals.{c}").eqNullSafe(F.col(f"vlans.{c}")) for c in by]
-        rows = totals.alias("totals").join(vlans, same)
-        return rows.select(*[f"totals.{c}" for c in window], "vlans.vlanID", "totals.srcAddr", *SOURCE_FROM)
+            totals = _distinct_values(flows, keys, counted).groupBy(*keys).agg(*_measures(counted, SOURCE_FROM))
+        vlans = flows.select(*keys, "vlanID").distinct()
+        return totals.join(vlans, keys).select(*back[:-1], "vlanID", back[-1], *SOURCE_FROM)
     if approx:
         totals = flows.groupBy(*by).agg(
             F.collect_set(F.struct("vlanID")).alias("vlans"), *_approximate(SOURCE_FROM)
