@@ -68,16 +68,22 @@ class Words:
         self.end = np.flatnonzero(inside & edge[1:]) + 1
         self.first = np.searchsorted(self.begin, offsets)  # words before each text's first byte
         self.offsets = offsets
+        self.total: np.ndarray | None = None
 
     @property
     def count(self) -> np.ndarray:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
+        return self.hashes_of(self.begin, self.end)
+
+    def hashes_of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges; equal bytes have equal hashes."""
         up, down = powers(len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.begin]) * down[self.begin])
+        if self.total is None:
+            self.total = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=self.total[1:])
+        return mix((self.total[end] - self.total[begin]) * down[begin])
 
     def bytes_of(self, i: int, k: int) -> bytes:
         """Words i to i + k - 1, joined by a space."""
