@@ -16,10 +16,10 @@ near links and exact copies; its id is its least document id.
 With the defaults a pair of similarity 0.8 shares no band with a chance of 1e-4.
 
 No bucket is compared pair by pair unless it has at most ``SMALL`` texts. A larger
-one is compared with one random member, its leader, which differs between bands.
-Where some members do not end up in the leader's class, the bucket is cut again by
-further sketch values and the parts are treated the same way, so common passages
-cost a few more keys and groups of thousands of near copies a star of links each.
+one is compared with its leader, the member that meets most other texts. Members
+that do not end up in the leader's class go on among themselves, cut by further
+sketch values while they are many, so common passages cost a few more keys and
+groups of thousands of near copies a star of links each.
 
 Defined results: a NULL text is near nothing, so it is its own class; texts without words
 are near only to equal texts; repeated rows share a class; NULL ids are allowed (a
@@ -148,13 +148,15 @@ def _sketches(docs: DataFrame, text: str, width: int) -> DataFrame:
 
 def _pairs(keys: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs ``a, b, shared`` of the keys, and members of large buckets with their leader."""
-    turn = F.xxhash64("node", "key")
-    buckets = (
-        keys.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("size"), F.min_by("node", turn).alias("leader"), F.min_by("n", turn).alias("leader_n"))
-        .filter("size > 1")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = materialize(keys.join(sizes, "key"), "shared")
+    # The text that meets most others is likely the one that the others were made from.
+    met = shared.groupBy("node").agg(
+        (F.sum("size") + F.pmod(F.xxhash64("node"), F.lit(1_000_003)) / F.lit(1_000_003.0)).alias("met")
     )
-    members = materialize(keys.join(buckets, "key"), "members")
+    met = materialize(shared.join(met, "node"), "met")
+    leaders = met.groupBy("key").agg(F.max_by("node", "met").alias("leader"), F.max_by("n", "met").alias("leader_n"))
+    members = materialize(met.drop("met").join(leaders, "key"), "members")
     fits = F.least("n", "leader_n") >= F.lit(similarity) * F.greatest("n", "leader_n")
     star = members.filter("node <> leader").filter(fits).select("node", F.col("leader").alias("other"))
     few = members.filter(f"size between 3 and {SMALL}").select("key", "node", "n", "leader")
@@ -220,14 +222,20 @@ def near_links(docs: DataFrame, text: str = "text", width: int = WIDTH, similari
         for part in ("best", "rest"):
             todo = best if part == "best" else _apart(pairs.join(best, ["a", "b"], "left_anti"), roots, "a", "b")
             found = materialize(_verify(materialize(todo.select("a", "b"), "todo"), texts, width, similarity), "near")
+            if links is not None and found.isEmpty():
+                continue
             links = found if links is None else materialize(links.union(found), "near")
             roots = materialize(components(links), "roots")
-        mixed = materialize(_apart(large, roots, "node", "leader").select("key").distinct(), "mixed")
-        if mixed.isEmpty():
-            break
-        again = large.join(mixed, "key").join(signs.select("node", "signs"), "node")
+        # Members of large buckets that are not in their leader's class go on among themselves.
+        alone = materialize(_apart(large, roots, "node", "leader").select("key", "node", "n"), "alone")
+        left = alone.groupBy("key").agg(F.count(F.lit(1)).alias("left")).filter("left > 1")
+        alone = alone.join(left, "key")
+        few, many = alone.filter(f"left <= {SMALL}"), alone.filter(f"left > {SMALL}").join(signs.select("node", "signs"), "node")
         cut = [F.xxhash64("key", F.lit(s), F.col("signs")[s]) for s in range(level * DEEPER, min((level + 1) * DEEPER, BANDS * ROWS))]
-        keys = again.select("node", "n", F.explode(F.array(*cut)).alias("key")).distinct()
+        keys = few.select("node", "n", "key").union(many.select("node", "n", F.explode(F.array(*cut)).alias("key")))
+        keys = materialize(keys.distinct(), "keys")
+        if keys.isEmpty():
+            break
     return roots
 
 

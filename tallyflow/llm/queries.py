@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import decontamination, mixing, order_minhash, personal_data, toxicity
+from tallyflow.llm import decontamination, fingerprints, mixing, order_minhash, personal_data, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -36,11 +42,17 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_source_mix": op4_source_mix,
     "op5_personal_data": op5_personal_data,
     "op6_decontamination": op6_decontamination,
+    "op10_fingerprints": op10_fingerprints,
     "op9_order_minhash": op9_order_minhash,
 }
 
