@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import decontamination, fingerprints, mixing, order_minhash, personal_data, token_counts, toxicity
+from tallyflow.llm import decontamination, fingerprints, language_model, mixing, order_minhash, personal_data, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lexicon, network, counts = language_model.fit(docs.filter(language_model.fold("doc_id") != language_model.HELD_OUT))
+    held_out = F.coalesce(language_model.fold("doc_id") == language_model.HELD_OUT, F.lit(False))
+    scored = language_model.score(docs, lexicon, network, counts)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +60,7 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op5_personal_data": op5_personal_data,
     "op6_decontamination": op6_decontamination,
+    "op7_language_model": op7_language_model,
     "op10_fingerprints": op10_fingerprints,
     "op9_order_minhash": op9_order_minhash,
 }
