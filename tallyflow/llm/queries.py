@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import decontamination, fingerprints, language_model, licences, mixing, order_minhash, personal_data, token_counts, toxicity
+from tallyflow.llm import decontamination, fingerprints, language_model, licences, mixing, order_minhash, personal_data, quotations, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.reply_ordered(_table(spark, sf_dir, "conversations"))
+
+
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_language_model": op7_language_model,
     "op10_fingerprints": op10_fingerprints,
+    "op8_quotations": op8_quotations,
     "op9_order_minhash": op9_order_minhash,
 }
 
