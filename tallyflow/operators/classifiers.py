@@ -84,7 +84,7 @@ def logistic_regression(df: DataFrame, max_iter: int = 100) -> DataFrame:
 
 
 def decision_tree(df: DataFrame, max_depth: int = 30, max_bins: int = 128) -> DataFrame:
-    """Gini tree, grown as deep as the library allows."""
+    """Gini tree, grown as deep as the library allows; splits lie at the edges of ``max_bins`` quantile bins."""
 
     def estimator(rows: int):
         return DecisionTreeClassifier(
@@ -108,10 +108,10 @@ def kernel_features(df: DataFrame, count: int = 100, seed: int = 0) -> DataFrame
     """
     stats = df.agg(
         *[F.avg(f).alias(f"m_{f}") for f in FEATURES],
-        *[F.avg(F.col(f) * F.col(f)).alias(f"s_{f}") for f in FEATURES],
+        *[F.var_pop(f).alias(f"v_{f}") for f in FEATURES],
     ).first()
-    mean = sum(stats[f"m_{f}"] for f in FEATURES) / len(FEATURES)
-    variance = sum(stats[f"s_{f}"] for f in FEATURES) / len(FEATURES) - mean * mean
+    means = np.array([stats[f"m_{f}"] for f in FEATURES])
+    variance = float(np.mean([stats[f"v_{f}"] for f in FEATURES]) + means.var())
     gamma = 1.0 / (len(FEATURES) * variance) if variance > 0 else 1.0
     rng = np.random.default_rng(seed)
     directions = rng.normal(scale=math.sqrt(2 * gamma), size=(count, len(FEATURES)))
@@ -130,7 +130,7 @@ def kernel_features(df: DataFrame, count: int = 100, seed: int = 0) -> DataFrame
     return df.select(*rest, array_to_vector(waves(*FEATURES)).alias("features"))
 
 
-def support_vectors(df: DataFrame, max_iter: int = 20, tol: float = 1e-3, kernel_count: int = 100) -> DataFrame:
+def support_vectors(df: DataFrame, max_iter: int = 100, tol: float = 1e-6, kernel_count: int = 100) -> DataFrame:
     """One-against-rest linear machines on approximate RBF kernel features."""
 
     def estimator(rows: int):
@@ -153,50 +153,56 @@ def nearest_neighbors(df: DataFrame, k: int = 5, weights: str = "uniform") -> Da
 def linear_discriminant(df: DataFrame) -> DataFrame:
     """Linear discriminant analysis with the pooled within-class covariance.
 
-    One aggregation yields the moments per fold and class; the moments of a
-    training set are the total minus the fold's. Only 5 x 5 systems are solved
-    on the driver, and scoring is a column expression.
+    One aggregation yields means and co-moments per fold and class, centred as they
+    are summed; those of a training set are merged from its folds. Only 5 x 5 systems
+    are solved on the driver; scoring joins the few coefficients of the fold.
     """
     names = FEATURES
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     moments = df.groupBy("fold", "prediction").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(f).alias(f"s{i}") for i, f in enumerate(names)],
-        *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in pairs],
+        *[F.avg(f).alias(f"m{i}") for i, f in enumerate(names)],
+        *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs],
     ).collect()  # folds x classes rows
-    folds = sorted({m["fold"] for m in moments})
-    guess = F.lit(None).cast("bigint")
-    for fold in folds:
-        rows = [m for m in moments if m["fold"] != fold]
-        guess = F.when(F.col("fold") == fold, _discriminant(rows, pairs)).otherwise(guess)
-    return _fold_accuracy("LDA", df.withColumn("guess", guess), F.col("guess"))
-
-
-def _discriminant(moments: list, pairs: list[tuple[int, int]]) -> Column:
-    """Class of the largest linear score, from the moments of the training rows."""
+    table = []
+    for fold in sorted({m["fold"] for m in moments}):
+        for label, constant, slope in _discriminant([m for m in moments if m["fold"] != fold], pairs):
+            table.append((fold, label, constant, slope))
+    spark = df.sparkSession
+    lines = spark.createDataFrame(table, "fold bigint, label bigint, constant double, slope array<double>")
+    lines = lines.groupBy("fold").agg(F.collect_list(F.struct("label", "constant", "slope")).alias("lines"))
+    x = F.array(*[F.col(f).cast("double") for f in names])
+    score = lambda line: line["constant"] + F.aggregate(
+        F.zip_with(x, line["slope"], lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
+    )
+    scored = F.transform("lines", lambda line: F.struct(score(line).alias("score"), (-line["label"]).alias("label")))
+    joined = df.withColumn("fold", F.col("fold").cast("bigint")).join(F.broadcast(lines), "fold", "left")  # a row per fold
+    return _fold_accuracy("LDA", joined.withColumn("guess", -F.array_max(scored)["label"]), F.col("guess"))
+
+
+def _discriminant(moments: list, pairs: list[tuple[int, int]]) -> list[tuple[int, float, list[float]]]:
+    """Label, constant and slope of each class's linear score, from the moments of the training rows."""
     width = len(FEATURES)
     classes: dict[int, list] = {}
     for m in moments:
-        n, first, second = classes.setdefault(m["prediction"], [0, np.zeros(width), np.zeros((width, width))])
-        classes[m["prediction"]][0] = n + m["n"]
-        first += [m[f"s{i}"] for i in range(width)]
+        mean = np.array([m[f"m{i}"] for i in range(width)])
+        spread = np.zeros((width, width))
         for i, j in pairs:
-            second[i, j] += m[f"s{i}_{j}"]
-            if i != j:
-                second[j, i] += m[f"s{i}_{j}"]
+            spread[i, j] = spread[j, i] = m[f"c{i}_{j}"] * m["n"]
+        held = classes.setdefault(m["prediction"], [0, np.zeros(width), np.zeros((width, width))])
+        n, gap = held[0] + m["n"], mean - held[1]
+        held[2] = held[2] + spread + np.outer(gap, gap) * (held[0] * m["n"] / n)
+        held[1] = held[1] + gap * (m["n"] / n)
+        held[0] = n
     total = sum(n for n, _, _ in classes.values())
-    scatter = sum(second - np.outer(first, first) / n for n, first, second in classes.values())
+    scatter = sum(spread for _, _, spread in classes.values())
     inverse = np.linalg.pinv(scatter / max(total - len(classes), 1))
-    scores = []
+    lines = []
     for label in sorted(classes):
-        n, first, _ = classes[label]
-        mean = first / n
+        n, mean, _ = classes[label]
         slope = inverse @ mean
-        score = F.lit(float(math.log(n / total) - 0.5 * mean @ slope))
-        for f, w in zip(FEATURES, slope):
-            score = score + F.col(f) * F.lit(float(w))
-        scores.append(F.struct(score.alias("score"), F.lit(-label).cast("bigint").alias("label")))
-    return -F.array_max(F.array(*scores))["label"]
+        lines.append((label, float(math.log(n / total) - 0.5 * mean @ slope), slope.tolist()))
+    return lines
 
 
 CLASSIFIERS: dict[str, Callable[[DataFrame], DataFrame]] = {

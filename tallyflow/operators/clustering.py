@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 from multiprocessing.pool import ThreadPool
 
@@ -16,8 +15,6 @@ from tallyflow.functions.columns import squared_distance
 from tallyflow.operators.features import assemble
 from tallyflow.schemas import CLUSTERS, FEATURES, KMEANS_SEED, SWEEP_KS
 
-ROWS_PER_TASK = 100_000  # below this a task costs more than its work
-
 
 def fit_kmeans(df: DataFrame, k: int = CLUSTERS, seed: int = KMEANS_SEED) -> KMeansModel:
     return KMeans(k=k, seed=seed, featuresCol="features").fit(assemble(df).select("features"))
@@ -62,8 +59,7 @@ def silhouette(df: DataFrame) -> float:
 
 def sweep_k(df: DataFrame, ks: Iterable[int] = SWEEP_KS, seed: int = KMEANS_SEED, parallel: int = 8) -> DataFrame:
     """Silhouette for each k, over one cached frame, a few fits at a time."""
-    cached = assemble(df).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    points = cached.coalesce(max(1, math.ceil(cached.count() / ROWS_PER_TASK)))
+    points = assemble(df).select("features").persist(StorageLevel.MEMORY_AND_DISK)
 
     def score(k: int) -> tuple[int, float]:
         model = KMeans(k=k, seed=seed, featuresCol="features").fit(points)
@@ -73,7 +69,7 @@ def sweep_k(df: DataFrame, ks: Iterable[int] = SWEEP_KS, seed: int = KMEANS_SEED
         with ThreadPool(parallel) as pool:
             scores = pool.map(score, list(ks), chunksize=1)
     finally:
-        cached.unpersist()
+        points.unpersist()
     return df.sparkSession.createDataFrame(scores, "k int, silhouette double")
 
 

@@ -13,25 +13,25 @@ from tallyflow.schemas import FLOW_MESSAGE, MESSAGE_FIELDS
 _CORRUPT = "_corrupt"
 _PARSE = T.StructType(FLOW_MESSAGE.fields + [T.StructField(_CORRUPT, T.StringType())])
 _NAMES = [raw for raw, _, _ in MESSAGE_FIELDS]
+_MEASURED = ["Bytes", "Packets", "TimeFlowStart"]  # cannot be summed or put in a window if NULL
 
 
 def _is_valid(message: Column, value: Column) -> Column:
-    """All twelve fields are there (a JSON null counts as there) and well typed.
+    """All twelve fields are there and well typed.
 
-    The key list is parsed only for messages with a null field.
+    A JSON null counts as there, except in what is summed or timed. The key list is
+    parsed only for messages with a null field.
     """
     filled = reduce(lambda a, b: a & b, [message[n].isNotNull() for n in _NAMES])
     required = F.array(*[F.lit(n) for n in _NAMES])
     present = F.size(F.array_except(required, F.json_object_keys(value))) == 0
-    return message[_CORRUPT].isNull() & (filled | F.coalesce(present, F.lit(False)))
+    measured = reduce(lambda a, b: a & b, [message[n].isNotNull() for n in _MEASURED])
+    return message[_CORRUPT].isNull() & measured & (filled | F.coalesce(present, F.lit(False)))
 
 
-def decode_flows(
-    df: DataFrame, value: str = "value", strict: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Parse JSON messages into ``(valid, rejected)``.
+def parse_flows(df: DataFrame, value: str = "value", strict: bool = False) -> DataFrame:
+    """Messages parsed once: ``value`` (text), ``message`` (struct) and whether it is ``ok``.
 
-    ``valid`` has the message fields as columns, ``rejected`` the message text.
     With ``strict`` a bad message fails the job, as a missing field does in the
     original pipeline.
     """
@@ -42,14 +42,24 @@ def decode_flows(
     ok = F.coalesce(_is_valid(F.col("message"), F.col("value")), F.lit(False))
     if strict:
         reason = F.concat(F.lit("bad flow message: "), F.coalesce(F.col("value"), F.lit("null")))
-        ok_or_fail = F.when(ok, F.lit(True)).otherwise(F.raise_error(reason).cast("boolean"))
-        valid = parsed.filter(ok_or_fail)
-    else:
-        valid = parsed.filter(ok)
-    return (
-        valid.select(*[F.col("message")[n].alias(n) for n in _NAMES]),
-        parsed.filter(~ok).select("value"),
-    )
+        ok = F.when(ok, F.lit(True)).otherwise(F.raise_error(reason).cast("boolean"))
+    return parsed.withColumn("ok", ok)
+
+
+def decode_flows(
+    df: DataFrame, value: str = "value", strict: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Parse JSON messages into ``(valid, rejected)``.
+
+    ``valid`` has the message fields as columns, ``rejected`` the message text.
+    """
+    return split_parsed(parse_flows(df, value, strict))
+
+
+def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(valid, rejected)`` of parsed messages."""
+    valid = parsed.filter("ok").select(*[F.col("message")[n].alias(n) for n in _NAMES])
+    return valid, parsed.filter("not ok").select("value")
 
 
 def normalize_flows(messages: DataFrame, require: str | None = None) -> DataFrame:
@@ -60,8 +70,13 @@ def normalize_flows(messages: DataFrame, require: str | None = None) -> DataFram
 
 def encode_flows(flows: DataFrame) -> DataFrame:
     """Inverse of decode + normalise: one JSON message per flow record."""
+    return encode_flows_keeping(flows, [])
+
+
+def encode_flows_keeping(flows: DataFrame, keep: list[str]) -> DataFrame:
+    """``encode_flows`` with further columns of the flows beside the message."""
     fields = [F.col(name).alias(raw) for raw, name, _ in MESSAGE_FIELDS]
-    return flows.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+    return flows.select(*keep, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def pair_counts(flows: DataFrame, key: str, value: str, by: list[str] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ several tasks. Both give the same rows.
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,17 @@ NEIGHBOR_TYPE = T.ArrayType(
         ]
     )
 )
+def usable(features: list[str] = FEATURES) -> Column:
+    """Whether every feature is a finite number."""
+    finite = [F.abs(F.col(f).cast("double")) < F.lit(float("inf")) for f in features]  # NaN is above infinity
+    return F.coalesce(reduce(lambda a, b: a & b, finite), F.lit(False))
+
+
+def unusable(reference: DataFrame, features: list[str] = FEATURES) -> int:
+    """Reference rows that ``NeighborModel.fit`` leaves out."""
+    return reference.filter(~usable(features)).count()
+
+
 NO_GROUP, ANY_GROUP = -1, -2  # apart value of queries and of rows when nothing is excluded
 
 
@@ -122,8 +134,8 @@ class NeighborModel:
         label: str = "prediction",
         apart: str | None = None,
         cell_rows: int = 16_384,
-        max_depth: int = 15,
-        sample_rows: int = 500_000,
+        max_depth: int = 17,
+        sample_per_cell: int = 16,
         **limits: int,
     ) -> "NeighborModel":
         """Store the labelled rows. With ``apart``, a query skips rows of its own group.
@@ -131,6 +143,8 @@ class NeighborModel:
         Of rows with equal features only the k smallest ids can ever be among the
         k nearest (ties go to the smaller id), so just those are kept. The limit is
         applied map-side too, so a vector shared by very many rows is no hot spot.
+        Rows with a NULL, NaN or infinite feature are near nothing and are left out;
+        ``unusable(reference)`` counts them.
         """
         rows = reference.select(
             *[F.col(f).cast("double").alias(f) for f in features],
@@ -139,6 +153,7 @@ class NeighborModel:
             (F.col(apart).cast("bigint") if apart else F.lit(ANY_GROUP).cast("bigint")).alias("apart"),
         )
         same = Window.partitionBy(*features, "apart").orderBy("id")
+        rows = rows.filter(usable(features))
         rows = rows.withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= k).drop("copy")
         rows = materialize(rows, "neighbor-rows")
         count = rows.count()
@@ -146,7 +161,7 @@ class NeighborModel:
         if depth == 0:
             empty = Cells(0, np.zeros(0, dtype=np.int64), np.zeros(0))
             return cls(rows.withColumn("cell", F.lit(0).cast("bigint")), empty, k, features, **limits)
-        share = min(1.0, sample_rows / count)
+        share = min(1.0, sample_per_cell * (1 << depth) / count)
         sample = (rows if share == 1.0 else rows.sample(share, seed=1)).select(*features).toArrow()
         cells = build_cells(_matrix([sample.column(f).combine_chunks() for f in features]), depth)
         assign = _assigner(rows.sparkSession.sparkContext.broadcast(cells.state()))

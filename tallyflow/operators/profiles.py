@@ -62,10 +62,15 @@ def _measures(counted: list[str], names: dict[str, str]) -> list[Column]:
     return outputs
 
 
+def _approximate_distinct(name: str) -> Column:
+    """About how many values a column has; NULL counts as one."""
+    return F.approx_count_distinct(name) + F.max(F.col(name).isNull().cast("bigint"))
+
+
 def _approximate(names: dict[str, str]) -> list[Column]:
     sums = {"bytes": "numBytes", "packets": "numPackets"}
     return [
-        F.sum(sums[what]).alias(output) if what in sums else F.approx_count_distinct(what).alias(output)
+        F.sum(sums[what]).alias(output) if what in sums else _approximate_distinct(what).alias(output)
         for output, what in names.items()
     ]
 
@@ -163,7 +168,7 @@ def address_distinct(
     """One distinct count per address and window; NULL counts as a value."""
     flows, window = with_window(flows, seconds)
     if approx:
-        return _name_window(flows.groupBy(*window, key).agg(F.approx_count_distinct(counted).alias(name)))
+        return _name_window(flows.groupBy(*window, key).agg(_approximate_distinct(counted).alias(name)))
     pairs = flows.groupBy(*window, key, counted).agg(F.count(F.lit(1)).alias("pairCount"))
     return _name_window(pairs.groupBy(*window, key).agg(F.count(F.lit(1)).alias(name)))
 

@@ -13,6 +13,9 @@ from tallyflow.operators.voting import weight
 from tallyflow.schemas import CV_FOLDS, CV_KS, HOLDOUT_KS
 
 
+SLICE_ROWS = 1_000_000
+
+
 def holdout_split(df: DataFrame, share: float = 0.75, seed: int = 0, id: str = "id") -> DataFrame:
     """``df`` with ``part`` = train or test, decided by a hash of the id alone."""
     train = hash32(seed, F.col(id)) < int(share * HASH_SPACE)
@@ -25,14 +28,16 @@ def shuffled_folds(df: DataFrame, folds: int, seed: int, id: str = "id") -> Data
 
 
 def stratified_folds(
-    df: DataFrame, folds: int = CV_FOLDS, label: str = "prediction", id: str = "id", slices: int = 64
+    df: DataFrame, folds: int = CV_FOLDS, label: str = "prediction", id: str = "id", slices: int | None = None
 ) -> DataFrame:
     """``df`` with ``fold``: rows of a class, in id order, dealt out in turn.
 
     The position of a row in its class is its position in a slice of the id range
     plus the class's rows in earlier slices, so a class of any size is ranked by
     many tasks. Slice edges only spread the work; the result does not depend on them.
+    By default there is one slice for every ``SLICE_ROWS`` rows.
     """
+    slices = max(1, df.count() // SLICE_ROWS) if slices is None else slices
     shares = [i / slices for i in range(1, slices)]
     cuts = df.approxQuantile(id, shares, 0.5 / slices) if shares else []
     edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")

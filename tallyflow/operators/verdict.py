@@ -8,15 +8,11 @@ from pyspark.sql import functions as F
 from tallyflow.schemas import CERTAIN
 
 
-FEW_LABELS = 1_000  # a longer label table is joined instead of listed
-
-
-def _few(labels: DataFrame | list[int]) -> list[int] | None:
-    """The labels as a list, if they are few: a filter then needs no shuffle by class."""
+def _labels(like: DataFrame, labels: DataFrame | list[int], name: str) -> DataFrame:
+    """The labels as a one-column table to broadcast: there is at most one for each cluster of the model."""
     if isinstance(labels, list):
-        return labels
-    rows = labels.select("label").distinct().limit(FEW_LABELS + 1).collect()
-    return [r.label for r in rows] if len(rows) <= FEW_LABELS else None
+        labels = like.sparkSession.createDataFrame([(int(x),) for x in labels], "label bigint")
+    return F.broadcast(labels.select(F.col("label").cast("bigint").alias(name)).distinct())
 
 
 def verdict(prob: DataFrame, labels: DataFrame | list[int], min_prob: float = 0.0) -> DataFrame:
@@ -25,22 +21,14 @@ def verdict(prob: DataFrame, labels: DataFrame | list[int], min_prob: float = 0.
     ``labels`` are the anomalous labels, as a list or a table with column ``label``.
     """
     likely = prob.filter(F.col("Prob") > min_prob)
-    few = _few(labels)
-    if few is not None:
-        return likely.filter(F.col("Class").isin(few))
-    anomalous = labels.select(F.col("label").cast("bigint").alias("Class"))
-    return likely.join(anomalous, "Class", "left_semi").select(*prob.columns)
+    return likely.join(_labels(prob, labels, "Class"), "Class", "left_semi").select(*prob.columns)
 
 
 def strict_verdict(predicted: DataFrame, labels: DataFrame | list[int], certain: float = CERTAIN) -> DataFrame:
     """Rows whose top class is anomalous, or whose top class is not certain."""
-    unsure = F.col("Probability") < certain
-    few = _few(labels)
-    if few is not None:
-        return predicted.filter(F.col("Prediction").isin(few) | unsure)
-    known = labels.select(F.col("label").cast("bigint").alias("Prediction"), F.lit(True).alias("bad"))
-    marked = predicted.join(known.distinct(), "Prediction", "left")
-    return marked.filter(F.col("bad") | unsure).select(*predicted.columns)
+    known = _labels(predicted, labels, "Prediction").withColumn("bad", F.lit(True))
+    marked = predicted.join(F.broadcast(known), "Prediction", "left")
+    return marked.filter(F.col("bad") | (F.col("Probability") < certain)).select(*predicted.columns)
 
 
 def anomaly_pairs(flagged: DataFrame) -> DataFrame:

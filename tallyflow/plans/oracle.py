@@ -47,6 +47,12 @@ SQL["flow_valid"] = f"WITH {EVENT_FLOWS} SELECT * FROM event_flows WHERE srcAddr
 SQL["flow_pair_counts"] = f"""WITH {LINE_FLOWS}
 SELECT srcAddr, dstAddr, count(*) AS pairCount FROM line_flows GROUP BY ALL"""
 
+SQL["flow_rejected"] = f"""WITH {EVENT_FLOWS}, turned AS (SELECT *, tcpFlags % 40 AS turn FROM event_flows)
+SELECT CASE turn WHEN 0 THEN 'missing' WHEN 10 THEN 'text' WHEN 20 THEN 'type' ELSE 'null' END AS kind, count(*) AS n
+FROM turned WHERE turn IN (0, 10, 20, 30) GROUP BY kind
+UNION ALL
+SELECT 'packets kept', CAST(sum(numPackets) AS BIGINT) FROM turned WHERE turn NOT IN (0, 10, 20, 30)"""
+
 # ---- single measures ----
 
 
@@ -98,6 +104,10 @@ FROM line_flows GROUP BY windowStart, dstAddr"""
 
 # ---- history, documents, archive ----
 
+SQL["collected_history"] = f"""WITH {EVENT_FLOWS}, one_window AS (SELECT *, 0 AS windowStart FROM event_flows),
+{SOURCE.format(flows="one_window")}
+SELECT vlanID, srcAddr, sumOfFlows, sumOfBytes, sumOfPackets, uniqDstIPs, uniqDstPorts, 2 AS copies FROM source_rows"""
+
 SQL["history_scan"] = SQL["source_profile"]
 SQL["map_doc_unpack"] = f"""WITH {LINE_FLOWS}, {LINE_SOURCE}
 SELECT sumOfBytes, sumOfFlows, sumOfPackets, uniqDstIPs, uniqDstPorts FROM source_rows"""
@@ -224,6 +234,7 @@ IDENTITY = "'10.0.0.' || (id % 20) AS srcAddr, 100 + id % 3 AS vlanID"
 SQL["knn_neighbors"] = f"""WITH {TEST_VOTES}
 SELECT id, rank, neighborId, neighborLabel, round(dist, 6) AS dist FROM ranked"""
 SQL["knn_class_prob"] = f"WITH {SHARES} SELECT id, Class, round(Prob, 6) AS Prob FROM shares"
+SQL["knn_neighbors_cells"], SQL["knn_class_prob_cells"] = SQL["knn_neighbors"], SQL["knn_class_prob"]
 SQL["knn_predict"] = f"""WITH {WINNERS}
 SELECT id, Prediction, round(Probability, 6) AS Probability FROM winners"""
 _WIDE = ", ".join(f"coalesce(max(CASE WHEN Class = {c} THEN Prob END), 0) AS p{c}" for c in range(8))

@@ -28,13 +28,16 @@ from tallyflow.schemas import (
     FEATURES,
     HOLDOUT_KS,
     NEIGHBORS,
+    SOURCE_PROFILE,
 )
 from tallyflow.session import materialize, new_table_path
 from tallyflow.sinks.tables import (
+    BATCH_KEYS,
     append_batch,
     archive_rows,
     archived_flows,
     documents,
+    read_batches,
     stamp,
     write_archive,
 )
@@ -46,8 +49,8 @@ from tallyflow.sources.stand_ins import (
     labelled_from_embeddings,
     read_events,
 )
-from tallyflow.sources.tables import read_history, read_table_stream
-from tallyflow.streaming.jobs import start_profile_stream
+from tallyflow.sources.tables import read_flow_stream, read_history, read_table_stream
+from tallyflow.streaming.jobs import start_collection, start_profile_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,6 +86,57 @@ def flow_valid(spark, sf_dir):
     return flow_ops.normalize_flows(valid, require="srcAddr")
 
 
+def _spoilt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event messages, a tenth of them broken: no field, no JSON, wrong type, JSON null."""
+    events = read_events(spark, sf_dir)
+    flows = flows_from_events(events).withColumn("turn", F.col("tcpFlags") % 40)
+    text = flow_ops.encode_flows_keeping(flows, ["turn"])
+    bytes_ = r'"Bytes":-?[0-9]+'
+    turn = F.col("turn")
+    value = (
+        F.when(turn == 0, F.regexp_replace("value", bytes_ + ",", ""))
+        .when(turn == 10, F.lit("bad"))
+        .when(turn == 20, F.regexp_replace("value", bytes_, '"Bytes":"x"'))
+        .when(turn == 30, F.regexp_replace("value", bytes_, '"Bytes":null'))
+        .otherwise(F.col("value"))
+    )
+    return text.select(value.alias("value"))
+
+
+def _collect(spark: SparkSession, messages: DataFrame, jobs: int) -> str:
+    """Collection streams over the messages, each with its own checkpoint, into one folder."""
+    path = new_table_path(spark, "collected")
+    messages.write.text(f"{path}/in")
+    for i in range(jobs):
+        stream = read_flow_stream(spark, "files", f"{path}/in")
+        start_collection(stream, f"{path}/out", f"{path}/checkpoint-{i}", once=True).awaitTermination()
+    return f"{path}/out"
+
+
+@query
+def flow_rejected(spark, sf_dir):
+    """What a collection stream puts aside, by what is wrong, and how much it keeps."""
+    path = _collect(spark, _spoilt_messages(spark, sf_dir), 1)
+    value = F.col("value")
+    kind = (
+        F.when(value == "bad", "text")
+        .when(value.contains('"Bytes":"x"'), "type")
+        .when(value.contains('"Bytes":null'), "null")
+        .otherwise("missing")
+    )
+    bad = spark.read.parquet(f"{path}/rejected").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    kept = spark.read.parquet(f"{path}/dest").agg(F.sum("destSumOfPackets").alias("n"))
+    return bad.union(kept.select(F.lit("packets kept").alias("kind"), "n"))
+
+
+@query
+def collected_history(spark, sf_dir):
+    """Two collections into one folder: every profile row is there once for each."""
+    path = _collect(spark, _messages(spark, sf_dir), 2)
+    rows = read_batches(spark, f"{path}/source", SOURCE_PROFILE)
+    return rows.groupBy(*SOURCE_PROFILE.fieldNames()).agg(F.count(F.lit(1)).alias("copies"))
+
+
 @query
 def flow_pair_counts(spark, sf_dir):
     return flow_ops.pair_counts(flows_from_lineitem(spark, sf_dir), "srcAddr", "dstAddr")
@@ -139,13 +193,13 @@ def dest_profile(spark, sf_dir):
 def _source_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line profiles written as one history batch and scanned back."""
     path = new_table_path(spark, "history")
-    append_batch(stamp(source_profile(spark, sf_dir)), path, 0)
+    append_batch(stamp(source_profile(spark, sf_dir)), path, 0, "writer", "1998-01-01")
     return read_history(spark, path)
 
 
 @query
 def history_scan(spark, sf_dir):
-    return _source_history(spark, sf_dir).drop("date", "batchGroup", "batchId")
+    return _source_history(spark, sf_dir).drop("date", *BATCH_KEYS)
 
 
 @query
@@ -153,7 +207,7 @@ def map_doc_unpack(spark, sf_dir):
     profile = source_profile(spark, sf_dir)
     entries = [part for f in FEATURES for part in (F.lit(f), F.col(f))]
     stored = profile.select(F.lit(None).cast("string").alias("_1"), F.create_map(*entries).alias("_2"))
-    return features.unpack_documents(stored)
+    return features.unpack_documents(materialize(stored, "map-documents"))
 
 
 @query
@@ -306,6 +360,29 @@ def knn_neighbors(spark, sf_dir):
     )
 
 
+@query
+def knn_neighbors_cells(spark, sf_dir):
+    """The distributed plan of ``knn_neighbors``, in small cells."""
+    train, test = _split(spark, sf_dir)
+    model = NeighborModel.fit(train, cell_rows=64, broadcast_rows=0)
+    found = model.neighbors(test).select("id", F.posexplode("neighbors").alias("pos", "entry"))
+    return found.select(
+        "id",
+        (F.col("pos") + 1).alias("rank"),
+        F.col("entry.id").alias("neighborId"),
+        F.col("entry.label").alias("neighborLabel"),
+        F.round("entry.dist", 6).alias("dist"),
+    )
+
+
+@query
+def knn_class_prob_cells(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    model = NeighborModel.fit(train, cell_rows=64, broadcast_rows=0)
+    rows = voting.knn_class_prob(_identified(test), model)
+    return _rounded(rows.select("id", "Class", "Prob"), ["Prob"])
+
+
 @query
 def knn_class_prob(spark, sf_dir):
     return _rounded(_class_prob(spark, sf_dir).select("id", "Class", "Prob"), ["Prob"])

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER: dict[str, str] = {}
+_MADE: list[str] = []  # tables written by this process
 
 
 def build_session(app: str = "tallyflow", **conf: str) -> SparkSession:
@@ -42,7 +45,25 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written to the shared folder inside the block are deleted at its end.
+
+    For jobs that never end: nothing made inside may be read after the block.
+    """
+    before = list(_MADE)
+    try:
+        yield
+    finally:
+        for path in [p for p in _MADE if p not in before]:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _MADE.remove(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyflow.schemas import FLOW_MESSAGE
 
 BATCHES_PER_GROUP = 1440  # a day of 60-second batches
+BATCH_KEYS = ["day", "writer", "batchGroup", "batchId"]
 
 
 def now_millis() -> Column:
@@ -27,12 +29,31 @@ def documents(df: DataFrame, date: Column | None = None) -> DataFrame:
     return stamped.select("date", text.alias("json"))
 
 
-def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Append one micro-batch; a repeated batch replaces itself, so nothing doubles."""
-    keyed = df.withColumn("batchGroup", F.lit(batch_id // BATCHES_PER_GROUP))
-    keyed = keyed.withColumn("batchId", F.lit(batch_id).cast("bigint"))
-    writer = keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("batchGroup", "batchId").parquet(path)
+def append_batch(df: DataFrame, path: str, batch_id: int, writer: str, day: str) -> None:
+    """Append one micro-batch; a repeated batch replaces itself, so nothing doubles.
+
+    ``writer`` names the checkpoint that counts the batches, so jobs that share a folder,
+    or a job that lost its checkpoint, never replace each other's batches. ``day``
+    (of the batch's flows, hence the same in a repetition) comes first in the
+    path: a time range opens only its days.
+    """
+    keyed = df.withColumns(
+        {
+            "day": F.lit(day).cast("date"),
+            "writer": F.lit(writer),
+            "batchGroup": F.lit(batch_id // BATCHES_PER_GROUP).cast("bigint"),
+            "batchId": F.lit(batch_id).cast("bigint"),
+        }
+    )
+    rows = keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy(*BATCH_KEYS).parquet(path)
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """History of a declared schema, with its batch keys; filters on ``day`` prune folders."""
+    keys = [T.StructField("day", T.DateType()), T.StructField("writer", T.StringType())]
+    keys += [T.StructField(c, T.LongType()) for c in ("batchGroup", "batchId")]
+    return spark.read.schema(T.StructType([*schema.fields, *keys])).parquet(path)
 
 
 def archive_rows(messages: DataFrame, value: str = "value", day: Column | None = None) -> DataFrame:

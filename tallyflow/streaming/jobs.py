@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyflow.operators import profiles, verdict
-from tallyflow.operators.flows import decode_flows, normalize_flows
+from tallyflow.operators.flows import normalize_flows, parse_flows, split_parsed
 from tallyflow.plans.detection import detect
 from tallyflow.plans.training import ModelBundle
 from tallyflow.schemas import BATCH_SECONDS
+from tallyflow.session import scratch_tables
 from tallyflow.sinks.tables import append_batch, archive_rows, stamp
 
 
+NO_DAY = "1970-01-01"
+
+
 def with_event_time(flows: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Event time and watermark from the start of the flow; later flows are dropped."""
     timed = flows.withColumn("eventTime", F.timestamp_seconds("timestampStart"))
@@ -49,15 +53,35 @@ def start_profile_stream(
     return writer.option("path", path).start()
 
 
-def _on_batch(messages: DataFrame, strict: bool, work: Callable[[DataFrame, int], None]):
+Append = Callable[[DataFrame, str], None]
+
+
+def _on_batch(messages: DataFrame, out: str, strict: bool, work: Callable[[DataFrame, Append], None]):
+    """Decode a batch once; rejected messages go to ``out/rejected``, the others to ``work``.
+
+    Batches are kept under the id of the streaming query, which lives in its
+    checkpoint, and under the day of the newest flow (the first day of all for a batch
+    without any), so a repeated batch finds its own place again.
+    """
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        valid, _ = decode_flows(batch, strict=strict)
-        flows = normalize_flows(valid).persist(StorageLevel.MEMORY_AND_DISK)
+        writer = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        parsed = parse_flows(batch, strict=strict).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            if not flows.isEmpty():
-                work(flows, batch_id)
+            valid, rejected = split_parsed(parsed)
+            flows = normalize_flows(valid)
+            newest = F.date_format(F.timestamp_seconds(F.max("timestampStart")), "yyyy-MM-dd")
+            day = flows.agg(newest.alias("day")).first()["day"]
+
+            def append(df: DataFrame, table: str) -> None:
+                append_batch(df, f"{out}/{table}", batch_id, writer, day or NO_DAY)
+
+            if not rejected.isEmpty():
+                append(stamp(rejected), "rejected")
+            if day:
+                work(flows, append)
         finally:
-            flows.unpersist()
+            parsed.unpersist()
 
     return run
 
@@ -67,11 +91,11 @@ def start_collection(
 ) -> StreamingQuery:
     """Per batch: source and destination profiles into history."""
 
-    def work(flows: DataFrame, batch_id: int) -> None:
-        append_batch(stamp(profiles.source_profile(flows, None)), f"{out}/source", batch_id)
-        append_batch(stamp(profiles.dest_profile(flows, None)), f"{out}/dest", batch_id)
+    def work(flows: DataFrame, append: Append) -> None:
+        append(stamp(profiles.source_profile(flows, None)), "source")
+        append(stamp(profiles.dest_profile(flows, None)), "dest")
 
-    return _start(messages, checkpoint, once).foreachBatch(_on_batch(messages, strict, work)).start()
+    return _start(messages, checkpoint, once).foreachBatch(_on_batch(messages, out, strict, work)).start()
 
 
 def start_detection(
@@ -82,24 +106,29 @@ def start_detection(
     strict: bool = False,
     once: bool = False,
 ) -> StreamingQuery:
-    """Collection, then scoring: flagged pairs into anomalies and the mitigation feed."""
+    """Collection, then scoring: flagged pairs into anomalies and the mitigation feed.
+
+    It keeps its own history, so give it another folder than a collection of the
+    same messages, or every batch is in history twice (under two writers).
+    """
 
-    def work(flows: DataFrame, batch_id: int) -> None:
+    def work(flows: DataFrame, append: Append) -> None:
         source = profiles.source_profile(flows, None).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            append_batch(stamp(source), f"{out}/source", batch_id)
-            append_batch(stamp(profiles.dest_profile(flows, None)), f"{out}/dest", batch_id)
-            pairs = detect(source, bundle).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                if not pairs.isEmpty():
-                    append_batch(stamp(pairs), f"{out}/anomalies", batch_id)
-                    append_batch(verdict.mitigation_actions(pairs), f"{out}/mitigation", batch_id)
-            finally:
-                pairs.unpersist()
+            append(stamp(source), "source")
+            append(stamp(profiles.dest_profile(flows, None)), "dest")
+            with scratch_tables(flows.sparkSession):
+                pairs = detect(source, bundle).persist(StorageLevel.MEMORY_AND_DISK)
+                try:
+                    if not pairs.isEmpty():
+                        append(stamp(pairs), "anomalies")
+                        append(verdict.mitigation_actions(pairs), "mitigation")
+                finally:
+                    pairs.unpersist()
         finally:
             source.unpersist()
 
-    return _start(messages, checkpoint, once).foreachBatch(_on_batch(messages, strict, work)).start()
+    return _start(messages, checkpoint, once).foreachBatch(_on_batch(messages, out, strict, work)).start()
 
 
 def start_archive(messages: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:

@@ -9,7 +9,7 @@ from tallyflow.operators import features, profiles, tuning
 from tallyflow.operators.flows import decode_flows, encode_flows, normalize_flows
 from tallyflow.plans import detection
 from tallyflow.plans.training import ModelBundle, label_history, train
-from tallyflow.schemas import ANOMALY, CLASS_PROB, FEATURES, LABELLED, SOURCE_PROFILE
+from tallyflow.schemas import DEST_PROFILE, ANOMALY, CLASS_PROB, FEATURES, LABELLED, SOURCE_PROFILE
 from tallyflow.session import build_session, materialize, work_folder
 from tallyflow.sinks import tables as sinks
 from tallyflow.sources import tables as sources
@@ -99,7 +99,7 @@ def test_collection_resumes_without_loss_or_doubles(spark, flows, tmp_path):
     jobs.start_collection(messages(), out, cp, once=True).awaitTermination(300)
     write_messages(flows, tmp_path / "in", *parts[2])
     jobs.start_collection(messages(), out, cp, once=True).awaitTermination(300)
-    got = sources.read_history(spark, f"{out}/source").drop("date", "batchGroup", "batchId")
+    got = sources.read_history(spark, f"{out}/source").drop("date", *sinks.BATCH_KEYS)
     want = [
         profiles.source_profile(flows.filter((F.col("timestampStart") >= a) & (F.col("timestampStart") < b)), None)
         for a, b in parts
@@ -112,11 +112,31 @@ def test_repeated_batch_replaces_itself(spark, flows, tmp_path):
     profile = profiles.dest_profile(flows, None)
     path = str(tmp_path / "history")
     for batch in (0, 1, 1, 1440):
-        sinks.append_batch(sinks.stamp(profile), path, batch)
-    stored = sources.read_history(spark, path)
-    assert stored.count() == 3 * profile.count()
-    plan = stored.filter("batchId = 1")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(batchId" in plan
+        sinks.append_batch(sinks.stamp(profile), path, batch, "one", "2024-01-0" + str(1 + batch // 1440))
+    sinks.append_batch(sinks.stamp(profile), path, 1, "two", "2024-01-01")
+    stored = sinks.read_batches(spark, path, DEST_PROFILE)
+    assert stored.count() == 4 * profile.count()
+    plan = stored.filter("day = '2024-01-02'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_jobs_share_a_folder_and_bad_messages_are_kept(spark, flows, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    good = [r.value for r in encode_flows(flows.limit(20)).collect()]
+    null = json.dumps({**json.loads(good[0]), "Bytes": None})
+    (folder / "a.json").write_text("\n".join([*good, "bad", null]))
+    for cp in ("one", "two"):
+        messages = sources.read_flow_stream(spark, "files", str(folder))
+        jobs.start_collection(messages, out, str(tmp_path / cp), once=True).awaitTermination(300)
+    stored = sources.read_history(spark, f"{out}/source")
+    assert stored.select("writer").distinct().count() == 2
+    assert stored.agg(F.countDistinct("srcAddr", "vlanID")).first()[0] * 2 == stored.count()
+    assert sorted(r.value for r in spark.read.parquet(f"{out}/rejected").collect()) == sorted(["bad", null] * 2)
+    (folder / "b.json").write_text("worse")
+    messages = sources.read_flow_stream(spark, "files", str(folder))
+    jobs.start_collection(messages, out, str(tmp_path / "one"), once=True).awaitTermination(300)
+    assert spark.read.parquet(f"{out}/rejected").filter("value = 'worse'").count() == 1
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyflow.functions.cells import Index, Rows
-from tallyflow.operators.neighbors import NeighborModel
+from tallyflow.operators.neighbors import NeighborModel, unusable
 from tallyflow.schemas import FEATURES
 
 
@@ -113,3 +113,17 @@ def test_index_in_a_task(kind, leaf):
     for i, v in enumerate(x):
         d = np.sqrt(sum((v[j] - ref[:, j]) ** 2 for j in range(5)))
         assert got[i] == sorted((float(d[r]), int(ids[r])) for r in range(700) if group[r] != own[i])[:10]
+
+
+def test_rows_without_finite_features_are_left_out(spark):
+    rows = [(i, i % 3, float(i), float(i % 7), 0.0, 1.0, float(i % 5)) for i in range(300)]
+    bad = [(900, 1, None, 0.0, 0.0, 0.0, 0.0), (901, 1, float("nan"), 0.0, 0.0, 0.0, 0.0), (902, 1, float("inf"), 0.0, 0.0, 0.0, 0.0)]
+    schema = "id bigint, prediction bigint, " + ", ".join(f"{f} double" for f in FEATURES)
+    clean, dirty = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + bad, schema)
+    queries = clean.select("id", *FEATURES).filter("id % 10 = 0")
+    found = lambda frame, **limits: sorted(
+        (r["id"], [n["id"] for n in r["neighbors"]]) for r in NeighborModel.fit(frame, k=5, **limits).neighbors(queries).collect()
+    )
+    want = found(clean)
+    assert found(dirty) == want == found(dirty, cell_rows=16, broadcast_rows=0)
+    assert unusable(dirty) == 3
