@@ -76,4 +76,30 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words"
+)
+
+SQL: dict[str, str] = {
+    "op6_decontamination": f"""WITH
+items AS (SELECT item_id, words, least(13, len(words)) AS k FROM (SELECT item_id, {_WORDS} FROM benchmark) WHERE len(words) > 0),
+item_windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(words[i:i + k - 1], ' ') AS said
+  FROM (SELECT item_id, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM items)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} FROM documents),
+sizes AS (SELECT DISTINCT k FROM items),
+doc_windows AS (
+  SELECT r, k, i, array_to_string(words[i:i + k - 1], ' ') AS said
+  FROM (SELECT r, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM docs, sizes WHERE len(words) >= k)),
+hits AS (SELECT r, i, k, item_id FROM doc_windows JOIN item_windows USING (k, said)),
+places AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS place FROM hits) GROUP BY r),
+found AS (
+  SELECT r, count(DISTINCT item_id) AS n_items,
+         array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS ids
+  FROM hits WHERE item_id IS NOT NULL GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs LEFT JOIN places USING (r) LEFT JOIN found USING (r)""",
+}
