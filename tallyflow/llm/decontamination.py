@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyflow.llm.text import ALNUM, Words, chunks, windows
 from tallyflow.session import materialize
@@ -122,6 +123,40 @@ def _verdict(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and SHARE * n_hit >= n_words
 
 
+def _united(rows: DataFrame, blocks: list[Broadcast]) -> DataFrame:
+    """``row, n_words, ranges, items`` of rows ``(row, text)`` over several blocks, scanned one after the other.
+
+    A task holds one block; the ranges of hit words and the items of a row are united by its number.
+    """
+    parts = None
+    for block in blocks:
+
+        def scan(batches, block=block):
+            for batch in batches:
+                for a, b, data, offsets in chunks(batch.column(1)):
+                    words = Words(data, offsets, ALNUM)
+                    hit, items = block.value.scan(words)
+                    ranges = [_ranges(hit[f:g]).tolist() for f, g in zip(words.first[:-1], words.first[1:])]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(a, b - a),
+                            pa.array(words.count.astype(np.int64)),
+                            pa.array(ranges, pa.list_(pa.list_(pa.int64()))),
+                            pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                        ],
+                        ["row", "n_words", "ranges", "items"],
+                    )
+
+        part = rows.mapInArrow(scan, "row long, n_words long, ranges array<array<bigint>>, items array<string>")
+        part = materialize(part, "block")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("row").agg(
+        F.first("n_words").alias("n_words"),
+        F.flatten(F.collect_list("ranges")).alias("ranges"),
+        F.flatten(F.collect_set("items")).alias("items"),
+    )
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -161,38 +196,8 @@ def contamination(
                     )
 
         return docs.select(F.col(id).alias("id"), text).mapInArrow(report, f"id {kind}, {REPORT}").withColumnRenamed("id", id)
-    # Several blocks: every block's scan gives hit ranges and items by row; rows are united by a stored row number.
     numbered = materialize(docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")), "numbered")
-    parts = None
-    for block in blocks:
-
-        def scan(batches, block=block):
-            for batch in batches:
-                for a, b, data, offsets in chunks(batch.column(2)):
-                    words = Words(data, offsets, ALNUM)
-                    hit, items = block.value.scan(words)
-                    ranges = [_ranges(hit[f:g]).tolist() for f, g in zip(words.first[:-1], words.first[1:])]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(a, b - a),
-                            batch.column(1).slice(a, b - a),
-                            pa.array(words.count.astype(np.int64)),
-                            pa.array(ranges, pa.list_(pa.list_(pa.int64()))),
-                            pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                        ],
-                        ["id", "row", "n_words", "ranges", "items"],
-                    )
-
-        part = numbered.select("id", "row", "text").mapInArrow(
-            scan, f"id {kind}, row long, n_words long, ranges array<array<bigint>>, items array<string>"
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    united = parts.groupBy("row").agg(
-        F.first("id").alias("id"),
-        F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("ranges")).alias("ranges"),
-        F.flatten(F.collect_set("items")).alias("items"),
-    )
+    united = _united(numbered.select("row", "text"), blocks).join(numbered.select("row", "id"), "row")
 
     def unite(batches):
         for batch in batches:
@@ -225,35 +230,53 @@ def decontaminate(
     ``documents`` drops contaminated documents and leaves the others as they are;
     ``spans`` keeps every document and cuts each run of hit words, from its first
     to its last character, out of the text. A document is judged by all blocks
-    together, which a task reads one after the other.
+    together; a task holds one of them.
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode is documents or spans")
     blocks = [_broadcast(docs, b) for b in benchmark_blocks(benchmark, item, item_text, width, block_words)]
     schema, place = docs.schema, docs.columns.index(text)
 
+    def cleaned(part, words: Words, offsets, hit):
+        total = np.concatenate([[0], np.cumsum(hit)])
+        n_hit = total[words.first[1:]] - total[words.first[:-1]]
+        if mode == "documents":
+            return part.filter(pa.array(~((n_hit > 0) & (SHARE * n_hit >= words.count))))
+        texts = part.column(place).to_pylist()
+        for i in np.flatnonzero(n_hit).tolist():
+            f, raw, kept, last = words.first[i], texts[i].encode(), [], 0
+            for begin, end in _ranges(hit[f : words.first[i + 1]]).tolist():
+                kept.append(raw[last : words.begin[f + begin] - offsets[i]])
+                last = words.end[f + end - 1] - offsets[i]
+            texts[i] = b"".join([*kept, raw[last:]]).decode()
+        columns = list(part.columns)
+        columns[place] = pa.array(texts, part.schema.field(place).type)
+        return pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
     def clean(batches):
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(place)):
-                part = batch.slice(a, b - a)
+                words = Words(data, offsets, ALNUM)
+                hit = blocks[0].value.scan(words)[0] if blocks else np.zeros(len(words.begin), bool)
+                yield cleaned(batch.slice(a, b - a), words, offsets, hit)
+
+    if len(blocks) <= 1:
+        return docs.mapInArrow(clean, schema)
+
+    def clean_ranges(batches):
+        for batch in batches:
+            held = batch.column(len(schema)).to_pylist()
+            rows = batch.select(list(range(len(schema))))
+            for a, b, data, offsets in chunks(rows.column(place)):
                 words = Words(data, offsets, ALNUM)
                 hit = np.zeros(len(words.begin), bool)
-                for block in blocks:
-                    hit |= block.value.scan(words)[0]
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = total[words.first[1:]] - total[words.first[:-1]]
-                if mode == "documents":
-                    yield part.filter(pa.array(~((n_hit > 0) & (SHARE * n_hit >= words.count))))
-                    continue
-                texts = part.column(place).to_pylist()
-                for i in np.flatnonzero(n_hit).tolist():
-                    f, raw, kept, last = words.first[i], texts[i].encode(), [], 0
-                    for begin, end in _ranges(hit[f : words.first[i + 1]]).tolist():
-                        kept.append(raw[last : words.begin[f + begin] - offsets[i]])
-                        last = words.end[f + end - 1] - offsets[i]
-                    texts[i] = b"".join([*kept, raw[last:]]).decode()
-                columns = list(part.columns)
-                columns[place] = pa.array(texts, part.schema.field(place).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
-
-    return docs.mapInArrow(clean, schema)
+                for i in range(a, b):
+                    for begin, end in held[i] or []:
+                        hit[words.first[i - a] + begin : words.first[i - a] + end] = True
+                yield cleaned(rows.slice(a, b - a), words, offsets, hit)
+
+    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    numbered = materialize(docs.select(*named, F.monotonically_increasing_id().alias("row")), "numbered")
+    united = _united(numbered.select("row", F.col(f"c{place}").alias("text")), blocks).select("row", "ranges")
+    joined = numbered.join(united, "row", "left").select(*[f"c{i}" for i in range(len(schema))], "ranges")
+    return joined.mapInArrow(clean_ranges, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])).toDF(*docs.columns)

@@ -50,14 +50,15 @@ def test_report_equals_brute_force(spark, block):
     assert got == sorted(((i, *brute(t, ITEMS)) for i, t in rows), key=repr)
 
 
-def test_removal(spark):
+@pytest.mark.parametrize("block", [10**6, 40])
+def test_removal(spark, block):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string").unionByName(odd_frame(spark), allowMissingColumns=True)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    kept = D.decontaminate(docs, items)
-    assert kept.schema == docs.schema
+    kept = D.decontaminate(docs, items, block_words=block)
+    assert kept.dtypes == docs.dtypes
     bad = sum(brute(r["text"], ITEMS)[-1] for r in docs.collect())
     assert bad and kept.count() == docs.count() - bad
-    cut = {r["doc_id"]: r["text"] for r in D.decontaminate(docs, items, mode="spans").collect()}
+    cut = {r["doc_id"]: r["text"] for r in D.decontaminate(docs, items, mode="spans", block_words=block).collect()}
     assert cut[100] == "start  end" and cut[103] == " three" and cut[104] == "clean words only"
     assert D.decontaminate(docs, items.limit(0)).count() == docs.count()
     assert D.contamination(docs.limit(0), items).count() == 0
