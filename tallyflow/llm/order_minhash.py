@@ -15,11 +15,14 @@ near links and exact copies; its id is its least document id.
 
 With the defaults a pair of similarity 0.8 shares no band with a chance of 1e-4.
 
-No bucket is compared pair by pair unless it has at most ``SMALL`` texts. A larger
-one is compared with its leader, the member that meets most other texts. Members
-that do not end up in the leader's class go on among themselves, cut by further
-sketch values while they are many, so common passages cost a few more keys and
-groups of thousands of near copies a star of links each.
+The texts of a bucket are compared with its leader, the member that meets most other texts.
+Where not all end up in the leader's class, a bucket of at most ``SMALL`` texts is
+compared pair by pair. Of a larger one, the members outside the leader's class go on
+among themselves under ``NARROW`` keys of ``NARROW_ROWS`` sketch values, treated the same
+way. So groups of thousands of near copies cost a star of links each, and crowds of
+texts just below the threshold a bounded number of comparisons for each text. Two texts
+of similarity 0.8 that meet nowhere but in such crowds share no narrower key with a
+chance of 3 in 100.
 
 Defined results: a NULL text is near nothing, so it is its own class; texts without words
 are near only to equal texts; repeated rows share a class; NULL ids are allowed (a
@@ -38,7 +41,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.components import components
+from tallyflow.llm.components import components, tasks_for
 from tallyflow.llm.text import ALNUM, Words, chunks, mix, occurrences, windows
 from tallyflow.session import materialize
 
@@ -48,7 +51,9 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS, KEPT = 30, 2, 3
 SMALL = 8
-DEEPER = 8  # further sketch values by which a mixed bucket is cut
+PAIRS_A_TASK = 500
+BROADCAST_NODES = 1_000_000  # 8 MB
+NARROW, NARROW_ROWS = 96, 5  # keys of texts in crowded buckets
 POOL = 24.0  # expected shingles below the threshold of the quick search
 
 
@@ -146,30 +151,23 @@ def _sketches(docs: DataFrame, text: str, width: int) -> DataFrame:
     )
 
 
-def _pairs(keys: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs ``a, b, shared`` of the keys, and members of large buckets with their leader."""
+def _members(keys: DataFrame) -> tuple[DataFrame, int]:
+    """The keys that several texts share, with ``size``, ``leader`` and ``leader_n``, and tasks for tables of that size."""
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = materialize(keys.join(sizes, "key"), "shared")
+    tasks = tasks_for(shared.count())
     # The text that meets most others is likely the one that the others were made from.
     met = shared.groupBy("node").agg(
         (F.sum("size") + F.pmod(F.xxhash64("node"), F.lit(1_000_003)) / F.lit(1_000_003.0)).alias("met")
     )
-    met = materialize(shared.join(met, "node"), "met")
+    met = materialize(shared.join(met.coalesce(tasks), "node").coalesce(tasks), "met")
     leaders = met.groupBy("key").agg(F.max_by("node", "met").alias("leader"), F.max_by("n", "met").alias("leader_n"))
-    members = materialize(met.drop("met").join(leaders, "key"), "members")
-    fits = F.least("n", "leader_n") >= F.lit(similarity) * F.greatest("n", "leader_n")
-    star = members.filter("node <> leader").filter(fits).select("node", F.col("leader").alias("other"))
-    few = members.filter(f"size between 3 and {SMALL}").select("key", "node", "n", "leader")
-    other = few.select("key", F.col("node").alias("other"), F.col("n").alias("leader_n"))
-    close = (
-        few.join(other, "key").filter("node < other and node <> leader and other <> leader").filter(fits).select("node", "other")
-    )
-    pairs = (
-        star.union(close)
-        .groupBy(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"))
-    )
-    return pairs, members.filter(f"size > {SMALL}").select("key", "node", "n", "leader")
+    return materialize(met.drop("met").join(leaders.coalesce(tasks), "key").coalesce(tasks), "members"), tasks
+
+
+def _pairs(rows: DataFrame, one: str, two: str) -> DataFrame:
+    """Pairs ``a > b`` of two node columns, each once, with the number of rows that name it."""
+    return rows.groupBy(F.greatest(one, two).alias("a"), F.least(one, two).alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -189,53 +187,81 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
                         good.append(min(len(x), len(y)) >= need and aligned(x, y, need) >= need)
                 yield rows.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(texts.join(used, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
-    both = pairs.join(wanted.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-        wanted.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
-    )
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    pairs = materialize(pairs.select("a", "b"), "todo")
+    tasks = tasks_for(pairs.count(), PAIRS_A_TASK)
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").coalesce(tasks)
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").coalesce(tasks)
+    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    one = roots.select(F.col("node").alias(a), F.col("root").alias("root_a"))
-    two = roots.select(F.col("node").alias(b), F.col("root").alias("root_b"))
-    linked = pairs.join(one, a, "left").join(two, b, "left")
-    return linked.filter(~F.coalesce("root_a", a).eqNullSafe(F.coalesce("root_b", b))).drop("root_a", "root_b")
+def _rooted(rows: DataFrame, roots: DataFrame, columns: list[str], tasks: int) -> DataFrame:
+    """``rows`` with the component of each of some node columns as ``root_<column>``."""
+    for c in columns:
+        named = roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        rows = rows.join(named, c, "left").coalesce(tasks).withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+    return rows
+
+
+def _texts(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
+    """The text of every node in ``nodes``, once."""
+    texts = docs.select(text_key(text).alias("node"), F.col(text).alias("text")).filter("node is not null")
+    nodes = materialize(nodes.distinct(), "nodes")
+    few = nodes.count() <= BROADCAST_NODES  # above that, texts are shuffled to their nodes
+    wanted = texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    return materialize(wanted.groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+
+
+def _picks() -> list[list[int]]:
+    """The sketch values of each narrower key."""
+    draw = np.random.default_rng(3)
+    return [sorted(draw.choice(BANDS * ROWS, NARROW_ROWS, replace=False).tolist()) for _ in range(NARROW)]
 
 
 def near_links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """``node, root`` for every text (by its hash) that is near another text."""
-    texts = docs.select(text_key(text).alias("node"), F.col(text).alias("text")).filter("node is not null")
+    spark = docs.sparkSession
     signs = materialize(_sketches(docs, text, width), "signs")
     band = lambda j: F.xxhash64(F.lit(j), *[F.col("signs")[j * ROWS + r] for r in range(ROWS)])
+    fits = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
     keys = signs.select("node", "n", F.explode(F.array(*[band(j) for j in range(BANDS)])).alias("key"))
-    links = roots = None
-    for level in range(1 + BANDS * ROWS // DEEPER):
-        pairs, large = _pairs(keys, similarity)
-        if roots is not None:
-            pairs = _apart(pairs, roots, "a", "b")
-        pairs = materialize(pairs, "pairs")
+    texts = None
+    links = spark.createDataFrame([], "a long, b long")
+    roots = spark.createDataFrame([], "node long, root long")
+    for level in ("all", "crowded"):
+        members, tasks = _members(keys)
+        texts = _texts(docs, text, members.select("node")) if texts is None else texts
+        star = members.filter("node <> leader").filter(fits("n", "leader_n"))
+        pairs = materialize(_pairs(star, "node", "leader").coalesce(tasks), "pairs")
         # The likeliest partner of every text comes first; most other pairs are then within one component.
-        best = pairs.groupBy("a").agg(F.max_by("b", "shared").alias("b"))
+        best = pairs.groupBy("a").agg(F.max_by("b", "shared").alias("b")).coalesce(tasks)
         for part in ("best", "rest"):
-            todo = best if part == "best" else _apart(pairs.join(best, ["a", "b"], "left_anti"), roots, "a", "b")
-            found = materialize(_verify(materialize(todo.select("a", "b"), "todo"), texts, width, similarity), "near")
-            if links is not None and found.isEmpty():
-                continue
-            links = found if links is None else materialize(links.union(found), "near")
-            roots = materialize(components(links), "roots")
-        # Members of large buckets that are not in their leader's class go on among themselves.
-        alone = materialize(_apart(large, roots, "node", "leader").select("key", "node", "n"), "alone")
-        left = alone.groupBy("key").agg(F.count(F.lit(1)).alias("left")).filter("left > 1")
-        alone = alone.join(left, "key")
-        few, many = alone.filter(f"left <= {SMALL}"), alone.filter(f"left > {SMALL}").join(signs.select("node", "signs"), "node")
-        cut = [F.xxhash64("key", F.lit(s), F.col("signs")[s]) for s in range(level * DEEPER, min((level + 1) * DEEPER, BANDS * ROWS))]
-        keys = few.select("node", "n", "key").union(many.select("node", "n", F.explode(F.array(*cut)).alias("key")))
-        keys = materialize(keys.distinct(), "keys")
-        if keys.isEmpty():
-            break
+            if part == "best":
+                todo = best
+            else:
+                todo = _rooted(pairs.join(best, ["a", "b"], "left_anti").coalesce(tasks), roots, ["a", "b"], tasks)
+                todo = todo.filter("root_a <> root_b").select("a", "b")
+                placed = materialize(_rooted(members, roots, ["node", "leader"], tasks), "placed")
+                # Small buckets of several components: all pairs of different components.
+                small = placed.filter(f"size between 3 and {SMALL}")
+                mixed = small.filter("root_node <> root_leader").select("key").distinct().coalesce(tasks)
+                small = small.join(mixed, "key", "left_semi").coalesce(tasks).select("key", "node", "n", "root_node", "leader")
+                other = small.select("key", F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("root_node").alias("root_o"))
+                close = small.join(other, "key").coalesce(tasks).filter("node < o and root_node <> root_o and node <> leader and o <> leader")
+                close = _pairs(close.filter(fits("n", "o_n")), "node", "o").coalesce(tasks)
+                todo = todo.union(close.select("a", "b")).distinct().coalesce(tasks)
+            found = _verify(todo, texts, width, similarity)
+            if not found.isEmpty():
+                links = materialize(links.union(found), "near")
+                roots = materialize(components(links), "roots")
+        if level == "all":
+            # Members of large buckets outside their leader's class go on among themselves under narrower keys.
+            large = members.filter(f"size > {SMALL}").select("key", "node", "leader")
+            large = _rooted(large, roots, ["node", "leader"], tasks).filter("root_node <> root_leader")
+            crowded = materialize(large.select("node").distinct().coalesce(tasks), "crowded")
+            if crowded.isEmpty():
+                break
+            picked = F.transform(F.lit(_picks()), lambda c: F.xxhash64(c, F.transform(c, lambda i: F.get("signs", i))))
+            keys = signs.join(crowded, "node", "left_semi").coalesce(4 * tasks).select("node", "n", F.explode(picked).alias("key"))
     return roots
 
 
