@@ -35,7 +35,7 @@ from tallyflow.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BITS = 22
+BITS = 21
 FEATURES = 2048
 LEAST_TEXTS = 5  # toxic texts that hold a feature
 FOLDS = 5
@@ -62,7 +62,7 @@ def found(words: Words, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     text, slot = features(words)
     number = index[slot]
     at = np.flatnonzero(number >= 0)
-    pair = np.unique(text[at] * np.int64(1 << BITS) + number[at])
+    pair = np.unique(text[at] * np.int64(1 << BITS) + number[at].astype(np.int64))
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
@@ -82,27 +82,28 @@ class Classifier:
 
 
 def nn_pu(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4
+    number: np.ndarray, row: np.ndarray, is_p: np.ndarray, size: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative risk (logistic loss, Adam over all rows)."""
-    rows = [*positive, *unlabelled]
-    number = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    p = len(positive)
+    """Weights and bias of least non-negative risk (logistic loss, Adam over all rows).
+
+    ``number`` lists the features of all rows one after the other, ``row`` whose each is.
+    """
+    rows, p = len(is_p), int(is_p.sum())
+    is_u = ~is_p
     weights, bias = np.zeros(size), np.log(prior / (1 - prior))
     state = np.zeros((2, size + 1))
     for step in range(1, steps + 1):
-        margin = bias + np.bincount(row, weights[number], minlength=len(rows))
+        margin = bias + np.bincount(row, weights[number], minlength=rows)
         toxic = 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
         loss_as_clean = np.logaddexp(0, margin)
-        negative = loss_as_clean[p:].mean() - prior * loss_as_clean[:p].mean()
-        slope = np.zeros(len(rows))
+        negative = loss_as_clean[is_u].mean() - prior * loss_as_clean[is_p].mean() if p < rows else 0.0
+        slope = np.zeros(rows)
         if negative >= 0:
-            slope[:p] = prior * (toxic[:p] - 1) / p - prior * toxic[:p] / p
-            slope[p:] = toxic[p:] / (len(rows) - p)
+            slope[is_p] = -prior / p
+            slope[is_u] = toxic[is_u] / max(rows - p, 1)
         else:
-            slope[:p] = prior * toxic[:p] / p
-            slope[p:] = -toxic[p:] / (len(rows) - p)
+            slope[is_p] = prior * toxic[is_p] / p
+            slope[is_u] = -toxic[is_u] / max(rows - p, 1)
         gradient = np.append(np.bincount(number, slope[row], minlength=size) + decay * weights, slope.sum())
         state[0] = 0.9 * state[0] + 0.1 * gradient
         state[1] = 0.999 * state[1] + 0.001 * gradient**2
@@ -130,7 +131,7 @@ def train(
     ids = ids.filter(fold("id") != 0).groupBy("id").agg(F.max("toxic").alias("toxic")).filter("toxic is not null")
     ids = ids.join(docs.select(F.col(id).alias("id")).distinct(), "id", "left_semi")
     total = ids.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p")).first()
-    nothing = Classifier(np.full(1 << BITS, -1, np.int32), np.zeros(1), -60.0)
+    nothing = Classifier(np.full(1 << BITS, -1, np.int16), np.zeros(1), -60.0)
     if not total["p"]:
         return nothing
     prior = min(max(total["p"] / total["n"], 1e-4), 0.5)
@@ -171,16 +172,17 @@ def train(
         return nothing
     only = np.zeros(1 << BITS, bool)
     only[slot] = True
-    n_u = np.zeros(1 << BITS)
+    place = np.argsort(slot)
+    slot, n_p, n_u = slot[place], n_p[place], np.zeros(len(slot))
     slot_u, many = counted(0, only, 1)
-    n_u[slot_u] = many
+    n_u[np.searchsorted(slot, slot_u)] = many
     sizes = {r["p"]: r["count"] for r in sample.groupBy("p").count().collect()}
-    share_p, share_u = n_p / sizes[1], (n_u[slot] + 1) / (sizes.get(0, 0) + 2)
+    share_p, share_u = n_p / sizes[1], (n_u + 1) / (sizes.get(0, 0) + 2)
     # How far P's share lies above U's, in standard errors of a share this small.
     excess = (share_p - share_u) / np.sqrt(share_u * (1 - np.minimum(share_u, 0.999)) / sizes[1] + 1e-12)
     order = np.lexsort((slot, -excess))[:FEATURES]
     order = order[excess[order] > 0]
-    index = np.full(1 << BITS, -1, np.int32)
+    index = np.full(1 << BITS, -1, np.int16)
     index[slot[order]] = np.arange(len(order))
 
     def rows(batches):
@@ -192,9 +194,9 @@ def train(
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), held], ["p", "held"])
 
     table = sample.mapInArrow(rows, "p int, held array<int>").toArrow()  # a row for each text of the sample
-    held = [np.asarray(x, np.int64) for x in table.column("held").to_pylist()]
-    is_p = table.column("p").to_numpy() == 1
-    weights, bias = nn_pu([h for h, x in zip(held, is_p) if x], [h for h, x in zip(held, is_p) if not x], max(len(order), 1), prior)
+    lists = table.column("held").combine_chunks()
+    number, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    weights, bias = nn_pu(number, np.repeat(np.arange(len(size)), size), table.column("p").to_numpy() == 1, max(len(order), 1), prior)
     return Classifier(index, weights, bias)
 
 
