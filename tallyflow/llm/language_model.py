@@ -36,7 +36,7 @@ from tallyflow.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-HEAD = 1 << 20
+HEAD = 1 << 18
 VOCABULARY, CLASS = 8192, 64
 TEXTS, TOKENS = 2000, 400_000
 HIDDEN = 16
