@@ -36,6 +36,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 300_000
+SHARED = 5
+NOTHING: tuple[list[bytes], list[int]] = ([b""], [0])
 LIMIT = 512
 
 
@@ -66,16 +68,24 @@ class Vocabulary:
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.keeps: dict[tuple[bytes, bytes], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.begun: dict[bytes, tuple[list[bytes], list[int]]] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """Tokens of a short byte string by applying merges in order."""
-        parts = [bytes([b]) for b in data]
-        while len(parts) > 1:
-            at = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            pair = (parts[at], parts[at + 1])
-            if pair not in self.rank:
+        parts = [data[i : i + 1] for i in range(len(data))]
+        rank, never = self.rank, 1 << 60
+        ranks = [rank.get(pair, never) for pair in zip(parts, parts[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == never:
                 break
-            parts[at : at + 2] = [pair[0] + pair[1]]
+            at = ranks.index(least)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank.get((parts[at], parts[at + 1]), never)
+            if at:
+                ranks[at - 1] = rank.get((parts[at - 1], parts[at]), never)
         return parts
 
     def follows(self, a: bytes, b: bytes) -> bool:
@@ -90,15 +100,24 @@ class Vocabulary:
     def changes(self, piece: str) -> bytes:
         """Change of the count at every character of a piece standing alone (signed bytes)."""
         data = piece.encode()
-        tokens, longest = self.tokens, self.longest
-        last, count = [b""], [0]
-        for end in range(1, len(data) + 1):
+        tokens, longest, keeps = self.tokens, self.longest, self.keeps
+        # Pieces that begin alike share the rows of their first bytes.
+        last, count = self.begun.get(data[:SHARED], NOTHING)
+        last, count = last[:], count[:]
+        for end in range(len(last), len(data) + 1):
             for begin in range(max(0, end - longest), end):
                 token = data[begin:end]
-                if token in tokens and self.follows(last[begin], token):
-                    last.append(token)
-                    count.append(count[begin] + 1)
-                    break
+                if token in tokens:
+                    before = last[begin]
+                    kept = keeps.get((before, token))
+                    if kept or kept is None and self.follows(before, token):
+                        last.append(token)
+                        count.append(count[begin] + 1)
+                        break
+            if end == SHARED:
+                if len(self.begun) >= CACHE:
+                    self.begun.clear()
+                self.begun[data[:SHARED]] = last[:], count[:]
         if len(data) == len(piece):
             ends = count
         else:
