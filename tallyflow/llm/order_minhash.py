@@ -16,13 +16,14 @@ near links and exact copies; its id is its least document id.
 With the defaults a pair of similarity 0.8 shares no band with a chance of 1e-4.
 
 The texts of a bucket are compared with its leader, the member that meets most other texts.
-Where not all end up in the leader's class, a bucket of at most ``SMALL`` texts is
-compared pair by pair. Of a larger one, the members outside the leader's class go on
-among themselves under ``NARROW`` keys of ``NARROW_ROWS`` sketch values, treated the same
-way. So groups of thousands of near copies cost a star of links each, and crowds of
-texts just below the threshold a bounded number of comparisons for each text. Two texts
-of similarity 0.8 that meet nowhere but in such crowds share no narrower key with a
-chance of 3 in 100.
+Where not all end up in one class, a bucket of at most ``SMALL`` texts is compared pair
+by pair. The members of larger ones form crowds, one for each class of leaders. In a crowd
+all pairs of different classes are compared, in cells of two blocks of texts; shingles in
+common are counted first, which is exact as an alignment matches no more than these.
+So every pair of texts that share a bucket is compared or known to be of one class. Groups
+of thousands of near copies cost a star of links each; texts outside the class of their
+crowd's leader are compared with the whole crowd, so a crowd just below the threshold costs the
+square of its texts in counting, not in rows.
 
 Defined results: a NULL text is near nothing, so it is its own class; texts without words
 are near only to equal texts; repeated rows share a class; NULL ids are allowed (a
@@ -53,7 +54,7 @@ BANDS, ROWS, KEPT = 30, 2, 3
 SMALL = 8
 PAIRS_A_TASK = 500
 BROADCAST_NODES = 1_000_000  # 8 MB
-NARROW, NARROW_ROWS = 96, 5  # keys of texts in crowded buckets
+BLOCK_SHINGLES = 100_000  # of the texts in one block of a crowd, about
 POOL = 24.0  # expected shingles below the threshold of the quick search
 
 
@@ -211,10 +212,94 @@ def _texts(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
     return materialize(wanted.groupBy("node").agg(F.any_value("text").alias("text")), "texts")
 
 
-def _picks() -> list[list[int]]:
-    """The sketch values of each narrower key."""
-    draw = np.random.default_rng(3)
-    return [sorted(draw.choice(BANDS * ROWS, NARROW_ROWS, replace=False).tolist()) for _ in range(NARROW)]
+def _crowds(members: DataFrame, roots: DataFrame, tasks: int) -> DataFrame:
+    """``crowd, node, n, root`` of the members of buckets too large for all pairs, where a crowd has several classes."""
+    large = _rooted(members.filter(f"size > {SMALL}").select("key", "node", "n", "leader"), roots, ["node", "leader"], tasks)
+    mixed = large.filter("root_node <> root_leader").select("key").distinct().coalesce(tasks)
+    large = large.join(mixed, "key", "left_semi").coalesce(tasks)
+    return materialize(
+        large.select(F.col("root_leader").alias("crowd"), "node", "n", F.col("root_node").alias("root")).distinct().coalesce(tasks), "crowds"
+    )
+
+
+def _compared(crowds: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The near pairs of different classes in every crowd, as far as they connect classes.
+
+    Members outside the leader's class meet each other and all of that class, which need not
+    meet itself: blocks 0 to p - 1 hold the class, blocks p to p + q - 1 the others.
+    """
+    outside = F.col("root") != F.col("crowd")
+    weight = lambda chosen: F.ceil(F.sum(F.when(chosen, F.col("n")).otherwise(0)) / F.lit(BLOCK_SHINGLES))
+    sizes = crowds.groupBy("crowd").agg(weight(~outside).alias("p"), weight(outside).alias("q"))
+    spread = F.xxhash64("node")
+    block = F.when(outside, F.col("p") + F.pmod(spread, F.col("q"))).otherwise(F.pmod(spread, F.greatest("p", F.lit(1))))
+    blocks = crowds.join(F.broadcast(sizes), "crowd").withColumn("block", block).withColumn("last", F.col("p") + F.col("q") - 1)
+    cell = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    here = F.col("block")
+    after = F.transform(F.sequence(F.greatest("block", "p"), F.col("last")), lambda y: cell(here, y))
+    # Cells left of the diagonal only for blocks that are in the second place.
+    before = F.when(outside & (here > 0), F.transform(F.sequence(F.lit(0).cast("long"), here - 1), lambda x: cell(x, here)))
+    cells = blocks.withColumn("cell", F.explode(F.concat(after, F.coalesce(before, F.array().cast("array<struct<x:bigint,y:bigint>>")))))
+    cells = cells.select("crowd", "cell.x", "cell.y", "block", "node", "root")
+    rows = cells.join(texts, "node")
+
+    def run(table):
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        block = table.column("block").to_numpy()
+        sides = []
+        for at in (x, y)[: 1 if x == y else 2]:
+            part = table.filter(pa.array(block == at))
+            values, first = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+            for _, _, data, offsets in chunks(part.column("text")):
+                v, f = shingles(Words(data, offsets, ALNUM), width)
+                first.append(f[1:] + first[-1][-1])
+                values.append(v)
+            sides.append((part.column("node").to_pylist(), part.column("root").to_pylist(), np.concatenate(values), np.concatenate(first)))
+        a, b = block_links(sides[0], sides[-1], x == y, similarity)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return materialize(rows.groupBy("crowd", "x", "y").applyInArrow(run, "a long, b long").distinct(), "near")
+
+
+def block_links(one, two, same: bool, similarity: float) -> tuple[list[int], list[int]]:
+    """Near pairs (nodes) between two blocks that connect all classes which near pairs connect.
+
+    A block is its nodes, their classes, the shingles of all its texts and where each text's begin.
+    """
+    nodes, roots, values, first = one
+    nodes2, roots2, values2, first2 = two
+    parent = {r: r for r in (*roots, *roots2)}
+
+    def find(r):
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    size2 = np.diff(first2)
+    order = np.argsort(values2, kind="stable")
+    held, owner = values2[order], np.repeat(np.arange(len(nodes2)), size2)[order]
+    known = np.array(roots2, np.int64)
+    a, b = [], []
+    for k, node in enumerate(nodes):
+        x = values[first[k] : first[k + 1]]
+        low = np.searchsorted(held, x, "left")
+        many = np.searchsorted(held, x, "right") - low
+        total = int(many.sum())
+        if not total or (known == roots[k]).all():
+            continue
+        at = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        common = np.bincount(owner[at], minlength=len(nodes2))
+        need = np.maximum(1, np.ceil(similarity / (1 + similarity) * (len(x) + size2) - 1e-9)).astype(np.int64)
+        enough = (common >= need) & (known != roots[k])
+        if same:
+            enough[: k + 1] = False
+        for j in np.flatnonzero(enough).tolist():
+            left, right = find(roots[k]), find(roots2[j])
+            if left != right and aligned(x, values2[first2[j] : first2[j + 1]], int(need[j])) >= need[j]:
+                parent[left] = right
+                a.append(max(node, nodes2[j]))
+                b.append(min(node, nodes2[j]))
+    return a, b
 
 
 def near_links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -224,44 +309,37 @@ def near_links(docs: DataFrame, text: str = "text", width: int = WIDTH, similari
     band = lambda j: F.xxhash64(F.lit(j), *[F.col("signs")[j * ROWS + r] for r in range(ROWS)])
     fits = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
     keys = signs.select("node", "n", F.explode(F.array(*[band(j) for j in range(BANDS)])).alias("key"))
-    texts = None
     links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
-    for level in ("all", "crowded"):
-        members, tasks = _members(keys)
-        texts = _texts(docs, text, members.select("node")) if texts is None else texts
-        star = members.filter("node <> leader").filter(fits("n", "leader_n"))
-        pairs = materialize(_pairs(star, "node", "leader").coalesce(tasks), "pairs")
-        # The likeliest partner of every text comes first; most other pairs are then within one component.
-        best = pairs.groupBy("a").agg(F.max_by("b", "shared").alias("b")).coalesce(tasks)
-        for part in ("best", "rest"):
-            if part == "best":
-                todo = best
-            else:
-                todo = _rooted(pairs.join(best, ["a", "b"], "left_anti").coalesce(tasks), roots, ["a", "b"], tasks)
-                todo = todo.filter("root_a <> root_b").select("a", "b")
-                placed = materialize(_rooted(members, roots, ["node", "leader"], tasks), "placed")
-                # Small buckets of several components: all pairs of different components.
-                small = placed.filter(f"size between 3 and {SMALL}")
-                mixed = small.filter("root_node <> root_leader").select("key").distinct().coalesce(tasks)
-                small = small.join(mixed, "key", "left_semi").coalesce(tasks).select("key", "node", "n", "root_node", "leader")
-                other = small.select("key", F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("root_node").alias("root_o"))
-                close = small.join(other, "key").coalesce(tasks).filter("node < o and root_node <> root_o and node <> leader and o <> leader")
-                close = _pairs(close.filter(fits("n", "o_n")), "node", "o").coalesce(tasks)
-                todo = todo.union(close.select("a", "b")).distinct().coalesce(tasks)
-            found = _verify(todo, texts, width, similarity)
-            if not found.isEmpty():
-                links = materialize(links.union(found), "near")
-                roots = materialize(components(links), "roots")
-        if level == "all":
-            # Members of large buckets outside their leader's class go on among themselves under narrower keys.
-            large = members.filter(f"size > {SMALL}").select("key", "node", "leader")
-            large = _rooted(large, roots, ["node", "leader"], tasks).filter("root_node <> root_leader")
-            crowded = materialize(large.select("node").distinct().coalesce(tasks), "crowded")
-            if crowded.isEmpty():
+    members, tasks = _members(keys)
+    texts = _texts(docs, text, members.select("node"))
+    star = members.filter("node <> leader").filter(fits("n", "leader_n"))
+    pairs = materialize(_pairs(star, "node", "leader").coalesce(tasks), "pairs")
+    # The likeliest partner of every text comes first; most other pairs are then within one component.
+    best = pairs.groupBy("a").agg(F.max_by("b", "shared").alias("b")).coalesce(tasks)
+    for part in ("best", "rest", "crowds"):
+        if part == "best":
+            found = _verify(best, texts, width, similarity)
+        elif part == "rest":
+            todo = _rooted(pairs.join(best, ["a", "b"], "left_anti").coalesce(tasks), roots, ["a", "b"], tasks)
+            todo = todo.filter("root_a <> root_b").select("a", "b")
+            placed = materialize(_rooted(members, roots, ["node", "leader"], tasks), "placed")
+            # Small buckets of several components: all pairs of different components.
+            small = placed.filter(f"size between 3 and {SMALL}")
+            mixed = small.filter("root_node <> root_leader").select("key").distinct().coalesce(tasks)
+            small = small.join(mixed, "key", "left_semi").coalesce(tasks).select("key", "node", "n", "root_node", "leader")
+            other = small.select("key", F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("root_node").alias("root_o"))
+            close = small.join(other, "key").coalesce(tasks).filter("node < o and root_node <> root_o and node <> leader and o <> leader")
+            close = _pairs(close.filter(fits("n", "o_n")), "node", "o").coalesce(tasks)
+            found = _verify(todo.union(close.select("a", "b")).distinct().coalesce(tasks), texts, width, similarity)
+        else:
+            crowds = _crowds(members, roots, tasks)
+            if crowds.isEmpty():
                 break
-            picked = F.transform(F.lit(_picks()), lambda c: F.xxhash64(c, F.transform(c, lambda i: F.get("signs", i))))
-            keys = signs.join(crowded, "node", "left_semi").coalesce(4 * tasks).select("node", "n", F.explode(picked).alias("key"))
+            found = _compared(crowds, texts, width, similarity)
+        if not found.isEmpty():
+            links = materialize(links.union(found), "near")
+            roots = materialize(components(links), "roots")
     return roots
 
 

@@ -1,8 +1,10 @@
 """Classes against all pairs, alignment against the plain table, odd documents."""
 
+import functools
 import random
 
 import numpy as np
+import pytest
 
 from tallyflow.llm import order_minhash as O
 from tests.llm.brute import SCHEMA, labelled, longest_common, odd_frame
@@ -50,6 +52,34 @@ def test_classes_equal_all_pairs(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == classes_by_all_pairs(rows)
 
 
+def copies_of_copies():
+    """A base, copies with one edited word, and of each copy a copy with four, which is near to it only."""
+    r = random.Random(21)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(20):
+        places = r.sample(range(0, 200, 6), 5)
+        copy = list(base)
+        copy[places[0]] = f"first{i}"
+        rows.append((len(rows), " ".join(copy)))
+        for place in places[1:]:
+            copy[place] = f"second{i}at{place}"
+        rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+@functools.cache
+def classes_of_copies():
+    return classes_by_all_pairs(copies_of_copies())
+
+
+@pytest.mark.parametrize("shingles", [100_000, 1000])
+def test_copies_of_copies_in_a_crowd_equal_all_pairs(spark, monkeypatch, shingles):
+    monkeypatch.setattr(O, "BLOCK_SHINGLES", shingles)
+    got = O.near_duplicates(spark.createDataFrame(copies_of_copies(), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == classes_of_copies()
+
+
 def test_alignment_equals_plain_table():
     r = random.Random(9)
     for _ in range(200):
