@@ -10,8 +10,9 @@ of ``CLASS`` words of like frequency; one class holds all other words, one the e
 
 Within the class of other words the share is (count + 1) over the sum of these and one
 unseen word. The network is a gated recurrent unit trained by truncated
-backpropagation through time in NumPy on a bounded sample of whole texts (``TEXTS``
-with the least hashes, up to ``TOKENS`` tokens); its biases start from the counts. When scoring, lanes
+backpropagation through time in NumPy on all texts, whole: in each epoch every task trains a
+copy on its own texts, piece after piece, and the next epoch begins with the copies' mean, weighted by
+tokens. Tasks get ``SHARE`` tokens or more. Its biases start from the counts. When scoring, lanes
 of documents run side by side in windows; the state is carried from window to window
 and begins anew with each document.
 
@@ -22,8 +23,10 @@ counts are 0; other columns are not read; an empty table gives an empty one. Wor
 
 from __future__ import annotations
 
+import copy
 import heapq
 import sys
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HEAD = 1 << 18
 VOCABULARY, CLASS = 8192, 64
-TEXTS, TOKENS = 2000, 400_000
+SHARE = 400_000  # least tokens of a training task
+PIECE, SLOT = 1_000_000, 16_384  # tokens cut into lanes together; weights in one row of a sum
 HIDDEN = 16
 LANES, WINDOW = 256, 64
 TRAIN_LANES, TRAIN_WINDOW, EPOCHS, RATE = 64, 24, 2, 0.01
@@ -134,31 +138,44 @@ class Network:
                 out[at] -= np.log(inner.sum(1))
         return out
 
-    def train(self, texts: list[np.ndarray], epochs: int = EPOCHS) -> None:
-        """Truncated backpropagation through time (Adam) over lanes of joined texts."""
+    def weights(self) -> np.ndarray:
+        return np.concatenate([getattr(self, p).ravel() for p in self.PARTS])
+
+    def put(self, weights: np.ndarray) -> None:
+        at = 0
+        for p in self.PARTS:
+            old = getattr(self, p)
+            setattr(self, p, weights[at : at + old.size].reshape(old.shape).astype(np.float32))
+            at += old.size
+
+    def train(self, pieces: Iterable[np.ndarray], share: float, epoch: int = 0, epochs: int = EPOCHS) -> int:
+        """One epoch of truncated backpropagation through time (Adam); the tokens learned from.
+
+        Each piece, joined texts with their end tokens, is cut into lanes; what is left over is a lane of
+        its own. ``share`` tokens are expected, by which the rate falls.
+        """
         end = self.words + 1
-        stream = np.concatenate([np.append(t, end) for t in texts]) if texts else np.zeros(0, np.int64)
-        lanes = min(TRAIN_LANES, max(1, len(stream) // (4 * TRAIN_WINDOW)))
-        length = len(stream) // lanes
-        if length < 2:
-            return
-        stream = stream[: lanes * length].reshape(lanes, length).T
-        given = np.concatenate([np.full((1, lanes), end), stream[:-1]])
         moment = {p: np.zeros((2, *getattr(self, p).shape), np.float32) for p in self.PARTS}
-        turn = 0
-        starts = list(range(0, length, TRAIN_WINDOW))
-        for epoch in range(epochs):
-            state = np.zeros((lanes, self.hidden), np.float32)
-            for i, a in enumerate(starts):
-                turn += 1
-                state, slopes = self._slopes(given[a : a + TRAIN_WINDOW], stream[a : a + TRAIN_WINDOW], state, end)
-                rate = RATE * (1 - 0.9 * (epoch * len(starts) + i) / (epochs * len(starts)))
-                for p, g in slopes.items():
-                    m = moment[p]
-                    m[0] += 0.1 * (g - m[0])
-                    m[1] += 0.01 * (g * g - m[1])
-                    move = m[0] / (1 - 0.9**turn) / (np.sqrt(m[1] / (1 - 0.99**turn)) + 1e-6)
-                    setattr(self, p, (getattr(self, p) - rate * move).astype(np.float32))
+        turn = done = 0
+        for piece in pieces:
+            lanes = min(TRAIN_LANES, max(1, len(piece) // (4 * TRAIN_WINDOW)))
+            whole = len(piece) // lanes * lanes
+            for part, lanes in ((piece[:whole], lanes), (piece[whole:], 1)):  # noqa: B020, PLW2901
+                stream = part.reshape(lanes, -1).T
+                given = np.concatenate([np.full((1, lanes), end), stream[:-1]])
+                state = np.zeros((lanes, self.hidden), np.float32)
+                for a in range(0, len(stream), TRAIN_WINDOW):
+                    turn += 1
+                    state, slopes = self._slopes(given[a : a + TRAIN_WINDOW], stream[a : a + TRAIN_WINDOW], state, end)
+                    rate = RATE * (1 - 0.9 * (epoch + min(1.0, done / max(share, 1.0))) / epochs)
+                    for p, g in slopes.items():
+                        m = moment[p]
+                        m[0] += 0.1 * (g - m[0])
+                        m[1] += 0.01 * (g * g - m[1])
+                        move = m[0] / (1 - 0.9**turn) / (np.sqrt(m[1] / (1 - 0.99**turn)) + 1e-6)
+                        setattr(self, p, (getattr(self, p) - rate * move).astype(np.float32))
+                    done += stream[a : a + TRAIN_WINDOW].size
+        return done
 
     def _slopes(self, given: np.ndarray, targets: np.ndarray, state: np.ndarray, end: int):
         steps, lanes, h = *given.shape, self.hidden
@@ -287,7 +304,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[Lexicon, Network, DataFrame]:
-    """Count the rows of ``docs`` and train on a sample of them; also the table of all counts."""
+    """Count the rows of ``docs`` and train on them; also the table of all counts."""
     counts = materialize(count_words(docs, text), "counts")
     total = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("count").alias("n")).first()
     texts = docs.count()
@@ -301,29 +318,60 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[Lexico
     )
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def numbers(batches):
-        for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
-                words = Words(data, offsets, NOT_SPACE)
-                ids = sent.value.look_up(words.hashes())[0]
-                held = [ids[a : min(b, a + TOKENS)] for a, b in zip(words.first[:-1], words.first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32()))], ["words"])
-
-    turn = F.xxhash64(F.col(id).cast("string"))
-    chosen = docs.select(id).orderBy(turn, id).limit(TEXTS)
-    # At most TEXTS ids, so they may be broadcast; of each text at most TOKENS tokens come back.
-    sample = docs.join(F.broadcast(chosen.distinct()), id, "left_semi").orderBy(turn, id).limit(TEXTS)
-    texts_, size = [], 0
-    for row in sample.select(text).mapInArrow(numbers, "words array<int>").toLocalIterator():
-        texts_.append(np.array(row["words"], np.int64))
-        size += len(texts_[-1]) + 1
-        if size >= TOKENS:
-            break
     network = Network(lexicon)
-    network.train(texts_)
+    learned = docs.filter(F.col(id).isNotNull()).select(text)
+    learned = learned.coalesce(max(1, lexicon.tokens // SHARE))
+    share = lexicon.tokens / max(1, learned.rdd.getNumPartitions())
+    for epoch in range(EPOCHS):
+        network = _epoch(learned, sent, network, share, epoch)
     return lexicon, network, counts
 
 
+def _pieces(batches, lexicon: Lexicon) -> Iterable[np.ndarray]:
+    """Word numbers of all texts with their end tokens, about ``PIECE`` at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for _, _, data, offsets in chunks(batch.column(0)):
+            words = Words(data, offsets, NOT_SPACE)
+            numbers = lexicon.look_up(words.hashes())[0]
+            held.append(np.insert(numbers, words.first[1:], lexicon.words + 1))
+            size += len(held[-1])
+            if size >= PIECE:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _epoch(texts: DataFrame, lexicon, network: Network, share: float, epoch: int) -> Network:
+    """The mean of the networks that the tasks make of ``network``, weighted by their tokens."""
+    sent = texts.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches):
+        net = copy.deepcopy(sent.value)
+        done = net.train(_pieces(batches, lexicon.value), share, epoch)
+        if done:
+            weights = net.weights().astype(np.float64) * done
+            slots = [weights[a : a + SLOT].tobytes() for a in range(0, len(weights), SLOT)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(slots), dtype=np.int32)), pa.array([done] * len(slots), pa.int64()), pa.array(slots, pa.binary())],
+                ["slot", "tokens", "weights"],
+            )
+
+    def total(table):
+        out = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("weights"))
+        tokens = sum(table.column("tokens").to_pylist())
+        return pa.table({"slot": table.column("slot")[:1], "tokens": pa.array([tokens], pa.int64()), "weights": pa.array([out.tobytes()], pa.binary())})
+
+    schema = "slot int, tokens long, weights binary"
+    rows = sorted(texts.mapInArrow(run, schema).groupBy("slot").applyInArrow(total, schema).collect(), key=lambda r: r["slot"])
+    mean = copy.deepcopy(network)
+    if rows:
+        mean.put(np.concatenate([np.frombuffer(r["weights"], np.float64) / r["tokens"] for r in rows]))
+    mean.tokens = rows[0]["tokens"] if rows else 0
+    return mean
+
+
 def score(
     docs: DataFrame, lexicon: Lexicon, network: Network, counts: DataFrame, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:

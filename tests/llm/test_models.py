@@ -82,6 +82,18 @@ def test_language_model(spark, monkeypatch, head):
     assert L.score(docs.limit(0), lexicon, network, counts).count() == 0
 
 
+def test_language_model_learns_from_all_rows_and_whole_texts(spark):
+    ids = spark.range(2400).selectExpr("id as doc_id", "xxhash64(cast(id as string)) as turn").orderBy("turn").collect()
+    pattern = " ".join(f"p{i % 10}" for i in range(40))
+    rows = [(r["doc_id"], "alone" if i < 2000 else pattern) for i, r in enumerate(ids)]
+    rows.append((2400, " ".join(["long"] * 450_000)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon, network, counts = L.fit(docs)
+    gain = [r["score"] - r["base_score"] for r in L.score(docs, lexicon, network, counts).collect() if r["n_tokens"] == 41]
+    assert len(gain) == 400 and min(gain) > 20  # factor over 3 for every word
+    assert network.tokens == lexicon.tokens == 450_001 + 2000 * 2 + 400 * 41
+
+
 def test_language_model_probabilities_sum_to_one():
     lexicon = L.Lexicon(np.arange(1, 201, dtype=np.uint64), np.arange(300, 100, -1), 10, 60_000, 301, vocabulary=100)
     network = L.Network(lexicon)
