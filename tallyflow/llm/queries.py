@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import decontamination, fingerprints, language_model, licences, mixing, order_minhash, personal_data, quotations, token_counts, toxicity
+from tallyflow.llm import collocations, decontamination, fingerprints, language_model, licences, mixing, order_minhash, personal_data, quotations, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_token_counts": op2_token_counts,
@@ -74,6 +78,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op8_quotations": op8_quotations,
     "op9_order_minhash": op9_order_minhash,
+    "op11_collocations": op11_collocations,
 }
 
 _WORDS = (
@@ -102,4 +107,35 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM docs LEFT JOIN places USING (r) LEFT JOIN found USING (r)""",
+    "op11_collocations": r"""WITH
+pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sized AS (SELECT lang, w, unnest(range(1, 5)) AS size FROM worded),
+placed AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM sized WHERE len(w) >= size),
+counted AS (SELECT lang, size, w[i:i + size - 1] AS words, count(*) AS f FROM placed GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, words, f AS a FROM counted WHERE size >= 2 AND f >= 30),
+cuts AS (SELECT lang, size, words, a, unnest(range(1, size)) AS k FROM candidates),
+halves AS (
+  SELECT c.lang, c.size, c.words, a, k, p.f AS l, q.f AS r, (2000000::HUGEINT * a // (p.f + q.f))::BIGINT AS score
+  FROM cuts c JOIN counted p ON p.lang = c.lang AND p.words = c.words[1:k]
+              JOIN counted q ON q.lang = c.lang AND q.words = c.words[k + 1:c.size]),
+lowest AS (SELECT * FROM halves QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+parts AS (
+  SELECT lang, size, words, a, unnest(range(2, size)) AS part FROM candidates WHERE size > 2),
+inner_parts AS (
+  SELECT lang, a, words[i:i + part - 1] AS words
+  FROM (SELECT lang, words, a, part, unnest(range(1, size - part + 2)) AS i FROM parts)),
+longest AS (SELECT lang, words, max(a) AS held FROM inner_parts GROUP BY lang, words),
+kept AS (
+  SELECT x.lang, array_to_string(x.words, ' ') AS phrase, a, l, r, score
+  FROM lowest x LEFT JOIN longest y ON x.lang = y.lang AND x.words = y.words
+  WHERE held IS NULL OR 100 * held < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang)
+WHERE rank <= 2000""",
 }
