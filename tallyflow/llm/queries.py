@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import collocations, decontamination, fingerprints, language_model, licences, mixing, order_minhash, personal_data, quotations, token_counts, toxicity
+from tallyflow.llm import collocations, decontamination, fingerprints, language_model, licences, mixing, order_minhash, personal_data, quotations, repair, secrets, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(_table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_token_counts": op2_token_counts,
@@ -79,6 +87,8 @@ QUERIES = {
     "op8_quotations": op8_quotations,
     "op9_order_minhash": op9_order_minhash,
     "op11_collocations": op11_collocations,
+    "op12_secrets": op12_secrets,
+    "op13_repair": op13_repair,
 }
 
 _WORDS = (
