@@ -14,18 +14,13 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LinearSVC,
-    LogisticRegression,
-    NaiveBayes,
-    OneVsRest,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyflow.operators import machines
 from tallyflow.operators.features import assemble
 from tallyflow.operators.neighbors import NeighborModel
 from tallyflow.operators.tuning import shuffled_folds
@@ -102,42 +97,22 @@ def naive_bayes(df: DataFrame) -> DataFrame:
 
 
 def kernel_features(df: DataFrame, count: int = 100, seed: int = 0) -> DataFrame:
-    """Random cosine features, whose inner product approximates the RBF kernel.
-
-    The kernel width is one over (features x variance of all values).
-    """
-    stats = df.agg(
-        *[F.avg(f).alias(f"m_{f}") for f in FEATURES],
-        *[F.var_pop(f).alias(f"v_{f}") for f in FEATURES],
-    ).first()
-    means = np.array([stats[f"m_{f}"] for f in FEATURES])
-    variance = float(np.mean([stats[f"v_{f}"] for f in FEATURES]) + means.var())
-    gamma = 1.0 / (len(FEATURES) * variance) if variance > 0 else 1.0
-    rng = np.random.default_rng(seed)
-    directions = rng.normal(scale=math.sqrt(2 * gamma), size=(count, len(FEATURES)))
-    shifts = rng.uniform(0, 2 * math.pi, size=count)
-
-    scale = math.sqrt(2 / count)
+    """``df`` with random cosine features, whose inner product approximates the RBF kernel, as the vector ``features``."""
+    waves = machines.fit_waves(df, count, seed)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def waves(*columns: pa.Array) -> pa.Array:
+    def values(*columns: pa.Array) -> pa.Array:
         x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
-        values = scale * np.cos(x @ directions.T + shifts)
         offsets = pa.array(np.arange(len(x) + 1) * count, pa.int32())
-        return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))
+        return pa.ListArray.from_arrays(offsets, pa.array(waves(x)[:, :count].ravel()))
 
     rest = [c for c in df.columns if c not in FEATURES]
-    return df.select(*rest, array_to_vector(waves(*FEATURES)).alias("features"))
+    return df.select(*rest, array_to_vector(values(*FEATURES)).alias("features"))
 
 
 def support_vectors(df: DataFrame, max_iter: int = 100, tol: float = 1e-6, kernel_count: int = 100) -> DataFrame:
-    """One-against-rest linear machines on approximate RBF kernel features."""
-
-    def estimator(rows: int):
-        machine = LinearSVC(maxIter=max_iter, tol=tol, regParam=1.0 / rows, standardization=False)
-        return OneVsRest(classifier=machine, labelCol="prediction", predictionCol="guess", parallelism=1)
-
-    return _by_fold("SVM", kernel_features(df, kernel_count), estimator)
+    """One-against-rest machines on approximate RBF kernel features, all folds and classes fitted together."""
+    return _fold_accuracy("SVM", machines.cross_validated(df, kernel_count, max_iter, tol), F.col("guess"))
 
 
 def nearest_neighbors(df: DataFrame, k: int = 5, weights: str = "uniform") -> DataFrame:

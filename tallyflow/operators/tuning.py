@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.columns import HASH_SPACE, hash32
 from tallyflow.operators.neighbors import NeighborModel
-from tallyflow.operators.voting import weight
+from tallyflow.operators.voting import let, top_class, weight
 from tallyflow.schemas import CV_FOLDS, CV_KS, HOLDOUT_KS
 
 
@@ -50,41 +50,64 @@ def stratified_folds(
     return ranked.select(*df.columns, ((F.col("before") + F.col("own") - 1) % folds).alias("fold"))
 
 
-def curve_predictions(
-    found: DataFrame, keep: list[str], id: str = "id", weights: str = "distance"
-) -> DataFrame:
-    """Winning class of every row for every k, from neighbour lists of the largest k.
+def curve_winners(neighbors: Column, weights: str = "distance") -> Column:
+    """Winning class for every k up to the length of a neighbour list, as an array: position i is k = i + 1.
+
+    The list is folded once, inside its row: the state holds every class's weight so far and the winners.
+    Ties are those of ``knn_predict``.
+    """
 
-    Taking one neighbour more only raises the weight of that neighbour's class, so
-    the winner among k neighbours is the largest running class weight up to rank k.
+    def step(held: Column, vote: Column) -> Column:
+        total = held["total"] + vote["weight"]
+        added = F.transform(
+            held["sums"],
+            lambda s: F.struct(
+                s["label"].alias("label"),
+                (s["sum"] + F.when(s["label"] == vote["label"], vote["weight"]).otherwise(F.lit(0.0))).alias("sum"),
+            ),
+        )
+        shares = lambda sums: F.transform(sums, lambda s: F.struct(s["label"].alias("Class"), (s["sum"] / total).alias("Prob")))
+        return let(
+            added,
+            lambda sums: F.struct(
+                sums.alias("sums"), total.alias("total"), F.array_append(held["winners"], top_class(shares(sums))).alias("winners")
+            ),
+        )
+
+    def fold(votes: Column) -> Column:
+        labels = F.array_distinct(F.transform(votes, lambda v: v["label"]))
+        start = F.struct(
+            F.transform(labels, lambda c: F.struct(c.alias("label"), F.lit(0.0).alias("sum"))).alias("sums"),
+            F.lit(0.0).alias("total"),
+            F.array().cast("array<bigint>").alias("winners"),
+        )
+        return F.aggregate(votes, start, step, lambda held: held["winners"])
+
+    def vote(entry: Column, nearest: Column) -> Column:
+        return F.struct(entry["label"].alias("label"), weight(entry, nearest, weights).alias("weight"))
+
+    nearest = F.get(neighbors, F.lit(0))["dist"]
+    return let(nearest, lambda n: let(F.transform(neighbors, lambda e: vote(e, n)), fold))
+
+
+def curve_predictions(found: DataFrame, keep: list[str], id: str = "id", weights: str = "distance") -> DataFrame:
+    """Winning class of every row for every k, from neighbour lists of the largest k."""
+    winners = found.select(id, *keep, F.posexplode(curve_winners(F.col("neighbors"), weights)).alias("pos", "Prediction"))
+    return winners.select(id, *keep, (F.col("pos") + 1).alias("k"), "Prediction")
+
+
+def _curve(found: DataFrame, ks: list[int], by: list[str], weights: str) -> DataFrame:
+    """``by``, k, error, accuracy. Rows are counted where they lie, all k at a time; nothing but counts is shuffled.
+
+    A row with fewer than k neighbours does not count for k.
     """
-    # one shuffle of whole lists, whose partitioning both windows below can use
-    entries = found.repartition(F.col(id)).select(
-        id,
-        *keep,
-        F.get("neighbors", F.lit(0))["dist"].alias("nearest"),
-        F.posexplode("neighbors").alias("pos", "entry"),
-    )
-    votes = entries.select(
-        id,
-        *keep,
-        (F.col("pos") + 1).alias("k"),
-        F.col("entry.label").alias("label"),
-        weight(F.col("entry"), F.col("nearest"), weights).alias("weight"),
-    )
-    ranks = Window.partitionBy(id).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    mine = Window.partitionBy(id, "label").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    running = votes.withColumn("running", F.sum("weight").over(mine))
-    leader = F.max(F.struct(F.col("running"), (-F.col("label")).alias("label"))).over(ranks)
-    return running.select(id, *keep, "k", (-leader["label"]).alias("Prediction"))
-
-
-def _is(ks: Iterable[int]) -> Column:
-    return F.col("k").isin(list(ks))
-
-
-def _right() -> Column:
-    return (F.col("Prediction") == F.col("prediction_true")).cast("double")
+    rows = found.select(*by, "prediction_true", curve_winners(F.col("neighbors"), weights).alias("winners"))
+    guess = {k: F.get("winners", F.lit(k - 1)) for k in ks}
+    right = [F.count(F.when(guess[k] == F.col("prediction_true"), 1)).alias(f"right{k}") for k in ks]
+    counted = rows.groupBy(*by).agg(*right, *[F.count(guess[k]).alias(f"n{k}") for k in ks])
+    line = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"right{k}").alias("right"), F.col(f"n{k}").alias("n")) for k in ks]))
+    lines = counted.select(*by, line.alias("line")).select(*by, "line.*").filter("n > 0")
+    return lines.select(*by, "k", ((F.col("n") - F.col("right")) / F.col("n")).alias("error"), (F.col("right") / F.col("n")).alias("accuracy"))
 
 
 def knn_cv_scores(
@@ -93,10 +116,8 @@ def knn_cv_scores(
     """Accuracy per k and fold. ``df`` has a ``fold``; a row's neighbours come from the other folds."""
     ks = list(ks)
     model = NeighborModel.fit(df, k=max(ks), id=id, apart="fold", **limits)
-    named = df.withColumnRenamed("prediction", "prediction_true")
-    found = model.neighbors(named, apart="fold")
-    predictions = curve_predictions(found, ["fold", "prediction_true"], id, weights).filter(_is(ks))
-    return predictions.groupBy("k", "fold").agg(F.avg(_right()).alias("accuracy"))
+    found = model.neighbors(df.withColumnRenamed("prediction", "prediction_true"), apart="fold")
+    return _curve(found, ks, ["fold"], weights).drop("error")
 
 
 def knn_cv_curve(df: DataFrame, ks: Iterable[int] = CV_KS, **options) -> DataFrame:
@@ -111,10 +132,7 @@ def knn_holdout_curve(
     ks = list(ks)
     model = NeighborModel.fit(train, k=max(ks), id=id, **limits)
     found = model.neighbors(test.withColumnRenamed("prediction", "prediction_true"))
-    predictions = curve_predictions(found, ["prediction_true"], id, weights).filter(_is(ks))
-    return predictions.groupBy("k").agg(
-        F.avg(1 - _right()).alias("error"), F.avg(_right()).alias("accuracy")
-    )
+    return _curve(found, ks, [], weights)
 
 
 def score_summary(scores: DataFrame, by: str = "model", score: str = "accuracy") -> DataFrame:

@@ -21,7 +21,7 @@ def weight(entry: Column, nearest: Column, weights: str) -> Column:
     return F.when(nearest == 0, equal).otherwise(F.lit(1.0) / entry["dist"])
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` evaluated once, however often it is used."""
     return F.transform(F.array(value), body)[0]
 
@@ -45,11 +45,11 @@ def class_shares(neighbors: Column, weights: str = "distance") -> Column:
         return F.filter(F.transform(classes, lambda c: share(c, votes, total)), lambda s: s["Prob"] > 0)
 
     # an empty list has no nearest entry: get() gives NULL there
-    return _let(
+    return let(
         F.get(neighbors, F.lit(0))["dist"],
-        lambda nearest: _let(
+        lambda nearest: let(
             F.transform(neighbors, lambda e: vote(e, nearest)),
-            lambda votes: _let(_total(votes), lambda total: shares(votes, total)),
+            lambda votes: let(_total(votes), lambda total: shares(votes, total)),
         ),
     )
 

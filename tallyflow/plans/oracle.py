@@ -190,6 +190,42 @@ parts AS (
   FROM sums JOIN sizes ON sizes.prediction = sums.other GROUP BY id)
 SELECT round(avg((outside - inside) / greatest(outside, inside)), 6) AS silhouette FROM parts"""
 
+
+
+def _steps(updates: int) -> str:
+    """Centres of k = 2..8 after some updates from the rows of the smallest ids; ``assigned<i>`` are the rows by centre i."""
+    features = ", ".join(FEATURE_NAMES)
+    parts = [
+        f"firsts AS (SELECT row_number() OVER (ORDER BY id) - 1 AS prediction, {features} FROM labelled ORDER BY id LIMIT 8)",
+        f"centers0 AS (SELECT CAST(k AS INTEGER) AS k, prediction, {features} FROM firsts, range(2, 9) r(k) WHERE prediction < k)",
+    ]
+    for i in range(updates + 1):
+        parts.append(f"""assigned{i} AS (
+  SELECT x.*, c.k, c.prediction AS center FROM labelled x, centers{i} c
+  QUALIFY row_number() OVER (PARTITION BY x.id, c.k ORDER BY {_gap('x', 'c')}, c.prediction) = 1)""")
+        if i < updates:
+            kept = ", ".join(f"coalesce(m.{f}, c.{f}) AS {f}" for f in FEATURE_NAMES)
+            parts.append(f"""means{i} AS (SELECT k, center, {_MEANS} FROM assigned{i} GROUP BY k, center),
+centers{i + 1} AS (SELECT c.k, c.prediction, {kept} FROM centers{i} c LEFT JOIN means{i} m ON m.k = c.k AND m.center = c.prediction)""")
+    return ", ".join(parts)
+
+
+SQL["kmeans_step"] = f"""WITH {LABELLED}, {_steps(3)}
+SELECT k, prediction, {', '.join(f'round({f}, 6) AS {f}' for f in FEATURE_NAMES)} FROM centers3"""
+SQL["kmeans_step_silhouettes"] = f"""WITH {LABELLED}, {_steps(3)},
+sizes AS (SELECT k, center, count(*) AS n FROM assigned3 GROUP BY k, center),
+sums AS (
+  SELECT x.k, x.id, x.center AS mine, y.center AS other, sum({_gap('x', 'y')}) AS total
+  FROM assigned3 x JOIN assigned3 y ON x.k = y.k GROUP BY x.k, x.id, x.center, y.center),
+parts AS (
+  SELECT s.k, id,
+         max(CASE WHEN mine = other THEN n END) AS own,
+         max(CASE WHEN mine = other AND n > 1 THEN total / (n - 1) END) AS inside,
+         min(CASE WHEN mine <> other THEN total / n END) AS outside
+  FROM sums s JOIN sizes z ON z.k = s.k AND z.center = s.other GROUP BY s.k, id)
+SELECT k, round(avg(CASE WHEN own = 1 THEN 0 ELSE (outside - inside) / greatest(outside, inside) END), 6) AS silhouette
+FROM parts GROUP BY k"""
+
 # ---- nearest neighbours ----
 
 

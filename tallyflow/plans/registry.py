@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -273,6 +274,8 @@ def labelled_features(spark, sf_dir):
 
 # ---- clustering ----
 
+STEP_KS = range(2, 9)
+
 
 @query
 def cluster_sizes(spark, sf_dir):
@@ -309,6 +312,27 @@ def kmeans_sweep(spark, sf_dir):
     return clustering.sweep_k(_scaled_lines(spark, sf_dir))
 
 
+def _stepped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, clustering.Centers]:
+    """Rows, and the centres of every k after three updates from the rows of the smallest ids."""
+    rows = materialize(labelled_from_embeddings(spark, sf_dir), "labelled")
+    first = rows.orderBy("id").limit(max(STEP_KS)).select(*FEATURES).collect()  # as many as centres
+    centers = {k: np.array([list(r) for r in first[:k]]) for k in STEP_KS if k <= len(first)}
+    for _ in range(3):
+        centers = clustering.lloyd_step(rows, centers)
+    return rows, centers
+
+
+@query
+def kmeans_step(spark, sf_dir):
+    _, centers = _stepped(spark, sf_dir)
+    return _rounded(clustering.center_rows(spark, centers), FEATURES)
+
+
+@query
+def kmeans_step_silhouettes(spark, sf_dir):
+    return _rounded(clustering.silhouettes(*_stepped(spark, sf_dir)), ["silhouette"])
+
+
 # ---- nearest neighbours: train rows answer for test rows ----
 
 CLASSES = list(range(8))  # the labels the sign rule can give
