@@ -25,6 +25,8 @@ class Cells:
     cuts: np.ndarray
     low: np.ndarray = field(default=None)
     high: np.ndarray = field(default=None)
+    count: np.ndarray = field(default=None)
+    most: np.ndarray = field(default=None)
 
     @property
     def leaves(self) -> int:
@@ -32,7 +34,7 @@ class Cells:
 
     def state(self) -> tuple:
         """Plain values to send to tasks; ``Cells(*state)`` puts them back."""
-        return self.depth, self.dims, self.cuts, self.low, self.high
+        return self.depth, self.dims, self.cuts, self.low, self.high, self.count, self.most
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """Cell of every row of ``x``."""
@@ -42,17 +44,41 @@ class Cells:
             node = 2 * node + 1 + (x[rows, self.dims[node]] > self.cuts[node])
         return node - (self.leaves - 1)
 
-    def set_boxes(self, cell: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        """Boxes of the stored rows per cell; cells without rows are never near."""
+    def set_boxes(self, cell: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray, most: np.ndarray) -> None:
+        """Boxes and row counts of the stored rows per cell, carried up the tree; cells without rows are never near.
+
+        ``most`` is the largest number of rows of one group in a cell; its sums bound that of a larger box.
+        """
         total, width = 2 * self.leaves - 1, low.shape[1]
         self.low = np.full((total, width), np.inf)
         self.high = np.full((total, width), -np.inf)
-        self.low[self.leaves - 1 + cell] = low
-        self.high[self.leaves - 1 + cell] = high
+        self.count, self.most = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        for table, values in ((self.low, low), (self.high, high), (self.count, count), (self.most, most)):
+            table[self.leaves - 1 + cell] = values
         for node in range(self.leaves - 2, -1, -1):
             left, right = 2 * node + 1, 2 * node + 2
             self.low[node] = np.minimum(self.low[left], self.low[right])
             self.high[node] = np.maximum(self.high[left], self.high[right])
+            self.count[node] = self.count[left] + self.count[right]
+            self.most[node] = self.most[left] + self.most[right]
+
+    def reach(self, x: np.ndarray, cell: np.ndarray, grouped: np.ndarray, k: int) -> np.ndarray:
+        """A distance within which every row of ``x`` has its k nearest permitted rows, or all if there are fewer.
+
+        It is that of the far corner of the smallest box around the row's cell with k rows that the row may
+        meet; ``grouped`` rows may not meet those of one group.
+        """
+        node = cell + (self.leaves - 1)
+        while True:
+            few = (node > 0) & (self.count[node] - np.where(grouped, self.most[node], 0) < k)
+            if not few.any():
+                break
+            node = np.where(few, (node - 1) // 2, node)
+        gap = np.maximum(np.abs(x - self.low[node]), np.abs(self.high[node] - x))
+        far = np.zeros(len(x))
+        for j in range(x.shape[1]):
+            far += gap[:, j] * gap[:, j]
+        return np.minimum(np.sqrt(far), LARGEST)
 
     def within(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(row, cell)`` pairs whose box comes as near as the row's radius."""
@@ -190,7 +216,10 @@ class Index:
         start = np.searchsorted(cell[order], np.arange(cells.leaves + 1))
         used = np.flatnonzero(np.diff(start))
         low, high = (f.reduceat(rows.x, start[used]) if len(used) else rows.x for f in (np.minimum, np.maximum))
-        cells.set_boxes(used, low, high)
+        groups, size = np.unique(np.column_stack([cell[order], rows.apart]), axis=0, return_counts=True)
+        most = np.zeros(cells.leaves, np.int64)
+        np.maximum.at(most, groups[:, 0], np.where(groups[:, 1] < 0, 0, size))
+        cells.set_boxes(used, low, high, np.diff(start)[used], most[used])
         return cls(cells, rows, start)
 
     def state(self) -> tuple:
@@ -221,7 +250,8 @@ class Index:
     def search(self, x: np.ndarray, apart: np.ndarray, k: int, radius: np.ndarray | None = None):
         """``(query, row, dist)`` of the k nearest rows, nearest first.
 
-        With ``radius``, only rows that near. Without, the query's own cell gives the radius.
+        With ``radius``, only rows that near. Without, the query's own cell gives the radius, or, if it has
+        fewer than k rows to meet, the smallest box around it that has them.
         """
         home = np.full(len(x), -1)
         known = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
@@ -231,6 +261,8 @@ class Index:
             if self.cells.depth == 0:
                 return known
             radius = kth_distance(known[0], known[2], len(x), k)
+            short = np.flatnonzero(np.isinf(radius))
+            radius[short] = self.cells.reach(x[short], home[short], apart[short] >= 0, k)
         near, cell = self.cells.within(x, radius)
         other = cell != home[near]
         more = self._visit(x, apart, near[other], cell[other], k, radius)

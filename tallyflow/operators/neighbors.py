@@ -29,7 +29,6 @@ from tallyflow.functions.cells import (
     Rows,
     build_cells,
     depth_for,
-    kth_distance,
 )
 from tallyflow.schemas import FEATURES, NEIGHBORS
 from tallyflow.session import materialize
@@ -86,8 +85,8 @@ class NeighborModel:
 
     ``cell_rows`` is the aimed size of a distributed cell, ``broadcast_rows`` the largest row count
     that is broadcast, ``max_depth`` bounds the number of cells (and with it all
-    that the driver ever holds of a distributed model), ``slot_rows`` the queries
-    per task and cell.
+    that the driver ever holds of a distributed model), ``slot_rows`` the queries and ``block_rows``
+    the reference rows that meet in a task: a cell with more of either is cut on both sides.
     """
 
     def __init__(
@@ -98,23 +97,35 @@ class NeighborModel:
         features: list[str],
         broadcast_rows: int = 200_000,
         slot_rows: int = 20_000,
+        block_rows: int = 200_000,
     ):
         self.rows, self.cells, self.k, self.features = rows, cells, k, features
-        self.slot_rows = slot_rows
+        self.slot_rows, self.block_rows = slot_rows, block_rows
         self.spark: SparkSession = rows.sparkSession
+        own = F.when(F.col("apart") < 0, 0).otherwise(F.count(F.lit(1))).alias("own")
+        groups = rows.groupBy("cell", "apart").agg(
+            F.count(F.lit(1)).alias("n"),
+            own,
+            *[F.min(f).alias(f"low_{f}") for f in features],
+            *[F.max(f).alias(f"high_{f}") for f in features],
+        )
         boxes = (
-            rows.groupBy("cell")
+            groups.groupBy("cell")
             .agg(
-                F.count(F.lit(1)).alias("n"),
-                *[F.min(f).alias(f"low_{f}") for f in features],
-                *[F.max(f).alias(f"high_{f}") for f in features],
+                F.sum("n").alias("n"),
+                F.max("own").alias("most"),
+                *[F.min(f"low_{f}").alias(f"low_{f}") for f in features],
+                *[F.max(f"high_{f}").alias(f"high_{f}") for f in features],
             )
             .toArrow()  # one row per cell, at most 2 ** max_depth
         )
-        self.count = int(sum(boxes.column("n").to_pylist()))
+        cell, size, most = (boxes.column(c).to_numpy().astype(np.int64) for c in ("cell", "n", "most"))
+        self.count = int(size.sum())
         low = _matrix([boxes.column(f"low_{f}").combine_chunks() for f in features])
         high = _matrix([boxes.column(f"high_{f}").combine_chunks() for f in features])
-        self.cells.set_boxes(boxes.column("cell").to_numpy(), low, high)
+        self.cells.set_boxes(cell, low, high, size, most)
+        crowded = size > block_rows
+        self.crowded = list(zip(cell[crowded].tolist(), (-(-size[crowded] // block_rows)).tolist()))
         self.index = None
         if self.count <= broadcast_rows:
             held = Index.build(_rows(rows.toArrow(), features))
@@ -218,15 +229,20 @@ class NeighborModel:
         points = keyed.select(*vectors, "apart").dropna().distinct()
         points = points.withColumn("query", F.monotonically_increasing_id())
         points = points.withColumn("cell", _assigner(self.shared_cells)(*self.features))
-        points = materialize(points.withColumn("radius", F.lit(float("inf"))), "neighbor-queries")
-
-        home = materialize(self._meet(points, self._home_task(k), _home_type(self.features)), "neighbor-home")
-        reach = home.select(*self.features, "apart", "query", "radius", F.explode("visits").alias("cell"))
-        far = self._meet(reach, self._reach_task(k), T.StructType(_QUERY_FIELDS))
-        # at most k entries per visited cell, and the cells are bounded in number
-        every = home.select("query", "neighbors").unionByName(far)
-        merged = F.sort_array(F.flatten(F.collect_list("neighbors")))
-        lists = every.groupBy("query").agg(F.slice(merged, 1, k).alias("neighbors"))
+        points = materialize(points, "neighbor-queries")
+
+        home = self._meet(points.withColumn("radius", F.lit(None).cast("double")), k)
+        if self.crowded:  # otherwise every query has met its cell in one task
+            home = home.groupBy("query").agg(_best("neighbors", k).alias("neighbors"))
+        home = points.join(home, "query", "left")
+        kth = F.get("neighbors", F.lit(k - 1))["dist"]
+        found = _visits(self.shared_cells, k)(*self.features, "apart", "cell", kth)
+        home = materialize(home.withColumn("reach", found), "neighbor-home")
+        reach = home.select(*self.features, "apart", "query", "reach.radius", F.explode("reach.cells").alias("cell"))
+        far = self._meet(reach, k)
+        every = home.filter("neighbors IS NOT NULL").select("query", "neighbors").unionByName(far)
+        # at most k entries per visited cell and block
+        lists = every.groupBy("query").agg(_best("neighbors", k).alias("neighbors"))
         answers = home.select(*self.features, "apart", "query").join(lists, "query").drop("query")
         answers = answers.select(
             *[F.col(f).alias(f"_{f}") for f in self.features], F.col("apart").alias("_apart"), "neighbors"
@@ -236,52 +252,38 @@ class NeighborModel:
         neighbors = F.coalesce("neighbors", F.array().cast(NEIGHBOR_TYPE)).alias("neighbors")
         return joined.select(*[keyed[c] for c in df.columns], neighbors)
 
-    def _meet(self, queries: DataFrame, task, schema) -> DataFrame:
-        """Co-group queries and rows by cell; a busy cell's queries go to several slots."""
-        busy = queries.groupBy("cell").count().filter(F.col("count") > self.slot_rows)
-        slots = busy.select("cell", F.ceil(F.col("count") / self.slot_rows).alias("slots"))
-        slots = F.broadcast(slots)  # at most one row per cell
-        many = F.coalesce(F.col("slots"), F.lit(1))
-        left = queries.join(slots, "cell", "left").withColumn("slot", F.pmod(F.xxhash64("query"), many))
-        every = F.explode(F.sequence(F.lit(0).cast("bigint"), many - 1)).alias("slot")
-        right = self.rows.join(slots, "cell", "left").select(*self.rows.columns, every)
-        used = [*self.features, "apart", "query", "radius", "cell", "slot"]
-        left = left.select(*used).groupBy("cell", "slot")
-        return left.cogroup(right.groupBy("cell", "slot")).applyInArrow(task, schema)
-
-    def _home_task(self, k: int):
-        features, shared = self.features, self.shared_cells
-
-        def run(queries: pa.Table, reference: pa.Table) -> pa.Table:
-            cells, n = Cells(*shared.value), queries.num_rows
-            if n == 0:
-                none = np.empty(0, np.int64)
-                return _home_table(features, queries, np.empty(0), none, np.empty(0), *[none] * 4)
-            x = _matrix([queries.column(f).combine_chunks() for f in features])
-            index = Index.build(_rows(reference, features))
-            rows = index.rows
-            query, row, dist = index.search(x, queries.column("apart").to_numpy(), k)
-            radius = kth_distance(query, dist, n, k)
-            near, cell = cells.within(x, radius)
-            other = cell != queries.column("cell").to_numpy()[near]
-            order = np.argsort(near[other], kind="stable")
-            return _home_table(
-                features, queries, radius, query, dist, rows.id[row], rows.label[row],
-                near[other][order], cell[other][order],
-            )
-
-        return run
+    def _meet(self, queries: DataFrame, k: int) -> DataFrame:
+        """Neighbour lists of queries (vector, apart, query, cell, radius) in their cells, one per block that has any.
 
-    def _reach_task(self, k: int):
+        Queries and rows are co-grouped by cell; the queries of a busy cell go to several slots, the rows of a crowded cell to
+        several blocks, and every slot meets every block.
+        """
+        busy = queries.groupBy("cell").count().filter(F.col("count") > self.slot_rows)
+        slots = F.broadcast(busy.select("cell", F.ceil(F.col("count") / self.slot_rows).alias("slots")))  # at most one row per cell
+        blocks = F.broadcast(self.spark.createDataFrame(self.crowded, "cell long, blocks long"))  # likewise
+        slot_count, block_count = F.coalesce(F.col("slots"), F.lit(1)), F.coalesce(F.col("blocks"), F.lit(1))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+        used = [*self.features, "apart", "query", "radius", "cell"]
+        left = queries.join(slots, "cell", "left").withColumn("slot", F.pmod(F.xxhash64("query"), slot_count))
+        left = left.join(blocks, "cell", "left").select(*used, "slot", every(block_count).alias("block"))
+        right = self.rows.join(blocks, "cell", "left").withColumn("block", F.pmod(F.xxhash64("id", "apart"), block_count))
+        right = right.join(slots, "cell", "left").select(*self.rows.columns, "block", every(slot_count).alias("slot"))
+        key = ["cell", "slot", "block"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(self._search_task(k), T.StructType(_QUERY_FIELDS))
+
+    def _search_task(self, k: int):
         features = self.features
 
         def run(queries: pa.Table, reference: pa.Table) -> pa.Table:
             n = queries.num_rows
+            if n == 0 or reference.num_rows == 0:
+                none = np.zeros(0, np.int64)
+                return pa.table({"query": pa.array([], pa.int64()), "neighbors": _neighbor_lists(0, none, np.zeros(0), none, none)})
             x = _matrix([queries.column(f).combine_chunks() for f in features])
             index = Index.build(_rows(reference, features))
             rows = index.rows
-            apart, radius = (queries.column(c).to_numpy() for c in ("apart", "radius"))
-            query, row, dist = index.search(x, apart, k, radius)
+            radius = queries.column("radius").to_numpy()
+            query, row, dist = index.search(x, queries.column("apart").to_numpy(), k, None if np.isnan(radius).all() else radius)
             lists = _neighbor_lists(n, query, dist, rows.id[row], rows.label[row])
             found = pa.table({"query": queries.column("query").combine_chunks(), "neighbors": lists})
             return found.filter(pa.array(np.bincount(query, minlength=n) > 0))
@@ -289,6 +291,33 @@ class NeighborModel:
         return run
 
 
+def _best(lists: str, k: int) -> Column:
+    return F.slice(F.sort_array(F.flatten(F.collect_list(lists))), 1, k)
+
+
+def _visits(shared, k: int):
+    """Radius within which a query has its neighbours, and the other cells in it. The last column is the k-th distance found, if any."""
+    kind = T.StructType([T.StructField("radius", T.DoubleType()), T.StructField("cells", T.ArrayType(T.LongType()))])
+
+    @F.arrow_udf(kind)
+    def visits(*columns: pa.Array) -> pa.Array:
+        cells = Cells(*shared.value)
+        x, n = _matrix(columns[:-3]), len(columns[0])
+        apart, home = (c.to_numpy(zero_copy_only=False) for c in columns[-3:-1])
+        radius = columns[-1].to_numpy(zero_copy_only=False).astype(float)
+        short = np.flatnonzero(np.isnan(radius))
+        radius[short] = cells.reach(x[short], home[short], apart[short] >= 0, k)
+        near, cell = cells.within(x, radius)
+        other = cell != home[near]
+        near, cell = near[other], cell[other]
+        order = np.argsort(near, kind="stable")
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(near, minlength=n))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell[order]))
+        return pa.StructArray.from_arrays([pa.array(radius), lists], names=["radius", "cells"])
+
+    return visits.asNondeterministic()
+
+
 _QUERY_FIELDS = [T.StructField("query", T.LongType()), T.StructField("neighbors", NEIGHBOR_TYPE)]
 
 
@@ -298,26 +327,3 @@ def _assigner(shared):
         return pa.array(Cells(*shared.value).assign(_matrix(columns)))
 
     return assign
-
-
-def _home_type(features: list[str]) -> T.StructType:
-    return T.StructType(
-        [T.StructField(f, T.DoubleType()) for f in features]
-        + [
-            T.StructField("apart", T.LongType()),
-            T.StructField("query", T.LongType()),
-            T.StructField("radius", T.DoubleType()),
-            T.StructField("neighbors", NEIGHBOR_TYPE),
-            T.StructField("visits", T.ArrayType(T.LongType())),
-        ]
-    )
-
-
-def _home_table(features, queries: pa.Table, radius, query, dist, ids, labels, near, cell) -> pa.Table:
-    n = queries.num_rows
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(near, minlength=n))]).astype(np.int32)
-    columns = {c: queries.column(c).combine_chunks() for c in [*features, "apart", "query"]}
-    columns["radius"] = pa.array(radius)
-    columns["neighbors"] = _neighbor_lists(n, query, dist, ids, labels)
-    columns["visits"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell))
-    return pa.table(columns)

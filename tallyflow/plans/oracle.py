@@ -355,6 +355,9 @@ HOLDOUT_CURVE = _curve(
          round(avg(CAST(guess = truth AS DOUBLE)), 6) AS accuracy
   FROM leaders GROUP BY k)"""
 
+SQL["profile_verdict_cells"] = SQL["profile_verdict"]
+SQL["knn_neighbors_apart_cells"] = f"WITH {FOLDED}, " + _ranked("folded", "folded", "x.fold <> y.fold", 36) + """
+SELECT id, rank, neighborId, round(dist, 6) AS dist FROM ranked"""
 SQL["stratified_folds"] = f"WITH {FOLDED} SELECT id, prediction, fold FROM folded"
 SQL["knn_cv_curve"] = f"WITH {CV_CURVE} SELECT k, accuracy FROM cv_curve"
 SQL["best_k"] = f"WITH {CV_CURVE} SELECT k, accuracy FROM cv_curve ORDER BY accuracy DESC, k LIMIT 1"

@@ -481,7 +481,7 @@ def anomalous_labels(spark, sf_dir):
     return verdict.anomalous_labels(every, normal_labels(spark, sf_dir))
 
 
-def _profile_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _profile_shares(spark: SparkSession, sf_dir: str, **limits: int) -> DataFrame:
     """Class shares of the odd windows' profiles, answered by the even windows'.
 
     Features stay unscaled whole numbers, so distances and their many ties are
@@ -497,7 +497,7 @@ def _profile_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
         *FEATURES,
         F.least(F.floor(F.col("sumOfFlows") / 8).cast("bigint"), F.lit(7)).alias("prediction"),
     )
-    model = NeighborModel.fit(rows.filter(number % 2 == 0))
+    model = NeighborModel.fit(rows.filter(number % 2 == 0), **limits)
     return voting.knn_class_prob(rows.filter(number % 2 == 1).drop("prediction"), model)
 
 
@@ -507,6 +507,14 @@ def profile_verdict(spark, sf_dir):
     return _rounded(flagged.select("windowStart", "srcAddr", "vlanID", "Class", "Prob"), ["Prob"])
 
 
+@query
+def profile_verdict_cells(spark, sf_dir):
+    """The distributed plan over the profiles, with crowded cells cut in blocks."""
+    shares = _profile_shares(spark, sf_dir, cell_rows=1024, broadcast_rows=0, slot_rows=500, block_rows=600)
+    flagged = verdict.verdict(shares, LINE_ANOMALOUS)
+    return _rounded(flagged.select("windowStart", "srcAddr", "vlanID", "Class", "Prob"), ["Prob"])
+
+
 # ---- tuning ----
 
 
@@ -519,6 +527,17 @@ def stratified_folds(spark, sf_dir):
     return _folded(spark, sf_dir).select("id", "prediction", "fold")
 
 
+@query
+def knn_neighbors_apart_cells(spark, sf_dir):
+    """Neighbours from other folds by the distributed plan, in small cells and smaller blocks."""
+    rows = _folded(spark, sf_dir)
+    model = NeighborModel.fit(rows, apart="fold", cell_rows=64, broadcast_rows=0, slot_rows=40, block_rows=24)
+    found = model.neighbors(rows, apart="fold").select("id", F.posexplode("neighbors").alias("pos", "entry"))
+    return found.select(
+        "id", (F.col("pos") + 1).alias("rank"), F.col("entry.id").alias("neighborId"), F.round("entry.dist", 6).alias("dist")
+    )
+
+
 @query
 def knn_cv_curve(spark, sf_dir):
     return _rounded(tuning.knn_cv_curve(_folded(spark, sf_dir)), ["accuracy"])

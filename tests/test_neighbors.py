@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyflow.functions.cells import Index, Rows
+from tallyflow.functions.cells import Index, Rows, build_cells
 from tallyflow.operators.neighbors import NeighborModel, unusable
 from tallyflow.schemas import FEATURES
 
@@ -45,10 +45,11 @@ def _data(seed, n, kind):
     return x
 
 
-LIMITS = [{}, {"broadcast_rows": 0, "slot_rows": 50}]
+LIMITS = [{}, {"broadcast_rows": 0, "slot_rows": 50}, {"broadcast_rows": 0, "slot_rows": 30, "block_rows": 13}]
+NAMES = ["broadcast", "cells", "blocks"]
 
 
-@pytest.mark.parametrize("limits", LIMITS, ids=["broadcast", "cells"])
+@pytest.mark.parametrize("limits", LIMITS, ids=NAMES)
 @pytest.mark.parametrize("kind", ["normal", "grid", "heavy"])
 def test_equals_brute_force(spark, kind, limits):
     ref, x = _data(1, 900, kind), _data(2, 300, kind)
@@ -59,7 +60,7 @@ def test_equals_brute_force(spark, kind, limits):
     assert got == {i: w for i, w in enumerate(want)}
 
 
-@pytest.mark.parametrize("limits", LIMITS, ids=["broadcast", "cells"])
+@pytest.mark.parametrize("limits", LIMITS, ids=NAMES)
 def test_skips_own_group(spark, limits):
     x = _data(3, 400, "heavy")
     fold = np.arange(400) % 10
@@ -70,7 +71,7 @@ def test_skips_own_group(spark, limits):
     assert got == {i: w for i, w in enumerate(want)}
 
 
-@pytest.mark.parametrize("limits", LIMITS, ids=["broadcast", "cells"])
+@pytest.mark.parametrize("limits", LIMITS, ids=NAMES)
 def test_fewer_rows_than_k_and_missing_feature(spark, limits):
     ref = _data(4, 5, "normal")
     model = NeighborModel.fit(_frame(spark, ref), k=12, cell_rows=2, **limits)
@@ -127,3 +128,32 @@ def test_rows_without_finite_features_are_left_out(spark):
     want = found(clean)
     assert found(dirty) == want == found(dirty, cell_rows=16, broadcast_rows=0)
     assert unusable(dirty) == 3
+
+
+@pytest.mark.parametrize("limits", LIMITS[1:], ids=NAMES[1:])
+def test_cells_full_of_the_own_group(spark, limits):
+    x = np.sort(_data(12, 400, "normal"), axis=0)  # groups lie together, so a cell holds little that a row may meet
+    fold = np.arange(400) // 100
+    frame = _frame(spark, x, fold=fold)
+    model = NeighborModel.fit(frame, k=9, apart="fold", cell_rows=20, **limits)
+    assert _got(model.neighbors(frame, apart="fold")) == dict(enumerate(_brute(x, x, 9, (fold, fold))))
+
+
+def test_reach_is_finite_and_holds_the_neighbours():
+    rng = np.random.default_rng(13)
+    ref, x = _data(13, 300, "normal"), _data(14, 80, "heavy")
+    group = rng.integers(0, 3, 300)
+    cells = build_cells(ref, 4)
+    cell = cells.assign(ref)
+    used = np.unique(cell)
+    low, high = (np.array([f(ref[cell == c], axis=0) for c in used]) for f in (np.min, np.max))
+    size = np.array([(cell == c).sum() for c in used])
+    most = np.array([max(((cell == c) & (group == g)).sum() for g in range(3)) for c in used])
+    cells.set_boxes(used, low, high, size, most)
+    for k in (1, 8, 40, 150, 1000):
+        reach = cells.reach(x, cells.assign(x), np.ones(80, bool), k)
+        assert np.isfinite(reach).all()
+        for i, v in enumerate(x):
+            dist = np.sqrt(sum((v[j] - ref[:, j]) ** 2 for j in range(5)))
+            for g in range(3):
+                assert (dist[group != g] <= reach[i]).sum() >= min(k, (group != g).sum())
