@@ -91,6 +91,8 @@ def _null_free(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str], list
     return df.withColumns(columns), list(columns), back
 
 
+SOURCE_COUNTED = ["sampledFlow", "dstAddr", "dstPort", "vlanID"]  # in a stream
+DEST_COUNTED = ["sampledFlow", "srcAddr", "srcPort"]
 SOURCE_FROM = {
     "sumOfFlows": "sampledFlow",
     "sumOfBytes": "bytes",
@@ -129,18 +131,22 @@ def source_profile(
             totals = _distinct_values(flows, keys, counted).groupBy(*keys).agg(*_measures(counted, SOURCE_FROM))
         vlans = flows.select(*keys, "vlanID").distinct()
         return totals.join(vlans, keys).select(*back[:-1], "vlanID", back[-1], *SOURCE_FROM)
-    if approx:
-        totals = flows.groupBy(*by).agg(
-            F.collect_set(F.struct("vlanID")).alias("vlans"), *_approximate(SOURCE_FROM)
-        )
-    else:
-        counted = [*counted, "vlanID"]
-        mine = F.when(_in_set(counted, "vlanID"), F.struct("vlanID"))
-        totals = _distinct_values(flows, by, counted).groupBy(*by).agg(
-            F.collect_list(mine).alias("vlans"), *_measures(counted, SOURCE_FROM)
-        )
+    if not approx:
+        return source_of_values(_distinct_values(flows, by, SOURCE_COUNTED), by)
+    totals = flows.groupBy(*by).agg(F.collect_set(F.struct("vlanID")).alias("vlans"), *_approximate(SOURCE_FROM))
+    return _source_rows(totals, by)
+
+
+def source_of_values(values: DataFrame, by: list[str]) -> DataFrame:
+    """Source profiles from the values counted in a stream: the second aggregation."""
+    mine = F.when(_in_set(SOURCE_COUNTED, "vlanID"), F.struct("vlanID"))
+    totals = values.groupBy(*by).agg(F.collect_list(mine).alias("vlans"), *_measures(SOURCE_COUNTED, SOURCE_FROM))
+    return _source_rows(totals, by)
+
+
+def _source_rows(totals: DataFrame, by: list[str]) -> DataFrame:
     rows = totals.select(*by, F.explode("vlans").alias("vlan"), *SOURCE_FROM)
-    return _name_window(rows.select(*window, "vlan.vlanID", "srcAddr", *SOURCE_FROM))
+    return _name_window(rows.select(*by[:-1], "vlan.vlanID", "srcAddr", *SOURCE_FROM))
 
 
 def dest_profile(
@@ -151,9 +157,11 @@ def dest_profile(
     by = window + ["dstAddr"]
     if approx:
         return _name_window(flows.groupBy(*by).agg(*_approximate(DEST_FROM)))
-    counted = ["sampledFlow", "srcAddr", "srcPort"]
-    values = _distinct_values(flows, by, counted)
-    return _name_window(values.groupBy(*by).agg(*_measures(counted, DEST_FROM)))
+    return dest_of_values(_distinct_values(flows, by, DEST_COUNTED), by)
+
+
+def dest_of_values(values: DataFrame, by: list[str]) -> DataFrame:
+    return _name_window(values.groupBy(*by).agg(*_measures(DEST_COUNTED, DEST_FROM)))
 
 
 def address_sum(flows: DataFrame, key: str, measure: str, name: str, seconds: int | None = BATCH_SECONDS) -> DataFrame:

@@ -405,6 +405,10 @@ SELECT 'NB' AS model, fold, round(avg(CAST(guess = prediction AS DOUBLE)), 6) AS
 # ---- streams ----
 
 EVENT_SOURCE = SOURCE.format(flows="windowed")
+SQL["stream_source_profile_whole"] = f"""WITH {EVENT_FLOWS},
+windowed AS (SELECT *, timestampStart // 86400 * 86400 AS windowStart FROM event_flows), {EVENT_SOURCE}
+SELECT * FROM source_rows"""
+SQL["compacted_history"] = SQL["collected_history"]
 SQL["stream_source_profile"] = f"""WITH {EVENT_FLOWS},
 windowed AS (SELECT *, timestampStart // 86400 * 86400 AS windowStart FROM event_flows), {EVENT_SOURCE}
 SELECT * FROM source_rows

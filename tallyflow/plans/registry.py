@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyflow.functions.columns import epoch_date
 from tallyflow.operators import (
@@ -32,6 +33,7 @@ from tallyflow.schemas import (
     SOURCE_PROFILE,
 )
 from tallyflow.session import materialize, new_table_path
+from tallyflow.sinks.commits import compact_closed, read_committed
 from tallyflow.sinks.tables import (
     BATCH_KEYS,
     append_batch,
@@ -52,6 +54,7 @@ from tallyflow.sources.stand_ins import (
 )
 from tallyflow.sources.tables import read_flow_stream, read_history, read_table_stream
 from tallyflow.streaming.jobs import start_collection, start_profile_stream
+from tallyflow.streaming.open_windows import finish_profiles, read_profiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,6 +141,21 @@ def collected_history(spark, sf_dir):
     return rows.groupBy(*SOURCE_PROFILE.fieldNames()).agg(F.count(F.lit(1)).alias("copies"))
 
 
+@query
+def compacted_history(spark, sf_dir):
+    """As ``collected_history``, read by the commit records: a day compacted after the first collection, another batch after that."""
+    path = new_table_path(spark, "compacted")
+    messages = _messages(spark, sf_dir)
+    messages.write.text(f"{path}/in")
+    for i in range(2):
+        stream = read_flow_stream(spark, "files", f"{path}/in")
+        start_collection(stream, f"{path}/out", f"{path}/checkpoint-{i}", once=True).awaitTermination()
+        if i == 0:
+            compact_closed(spark, f"{path}/out", "source", SOURCE_PROFILE)
+    rows = read_committed(spark, f"{path}/out", "source", SOURCE_PROFILE)
+    return rows.groupBy(*SOURCE_PROFILE.fieldNames()).agg(F.count(F.lit(1)).alias("copies"))
+
+
 @query
 def flow_pair_counts(spark, sf_dir):
     return flow_ops.pair_counts(flows_from_lineitem(spark, sf_dir), "srcAddr", "dstAddr")
@@ -191,11 +209,14 @@ def dest_profile(spark, sf_dir):
 # ---- history, documents, archive ----
 
 
+STAMPED_PROFILE = T.StructType([T.StructField("windowStart", T.LongType()), *SOURCE_PROFILE.fields, T.StructField("date", T.LongType())])
+
+
 def _source_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line profiles written as one history batch and scanned back."""
     path = new_table_path(spark, "history")
     append_batch(stamp(source_profile(spark, sf_dir)), path, 0, "writer", "1998-01-01")
-    return read_history(spark, path)
+    return read_history(spark, path, STAMPED_PROFILE)
 
 
 @query
@@ -610,6 +631,17 @@ def stream_source_profile(spark, sf_dir):
     return spark.read.parquet(f"{path}/out")
 
 
+@query
+def stream_source_profile_whole(spark, sf_dir):
+    """All windows of a finished run: those the watermark closed, and those read from its state."""
+    flows = flows_from_events(read_table_stream(spark, sf_dir, "events"))
+    path = new_table_path(spark, "stream")
+    out, checkpoint = f"{path}/out", f"{path}/checkpoint"
+    start_profile_stream(flows, out, checkpoint, seconds=STREAM_WIDTH, delay="1 hour", once=True).awaitTermination()
+    finish_profiles(spark, out, checkpoint)
+    return read_profiles(spark, out)
+
+
 # ---- flagship: history to models to flagged sources ----
 
 

@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyflow.schemas import FEATURES
+from tallyflow.sinks.tables import read_batches
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Stored profiles or anomalies. Filters and columns reach the Parquet scan."""
+def read_history(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """All stored rows below a folder, committed or not; filters and columns reach the Parquet scan.
+
+    With a declared ``schema`` no file is opened to find it, and the batch keys come typed. To follow the commit
+    records of a job use ``sinks.commits.read_committed``.
+    """
+    if schema is not None:
+        return read_batches(spark, path, schema)
     return spark.read.parquet(path)
 
 

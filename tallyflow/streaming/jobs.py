@@ -15,6 +15,7 @@ from tallyflow.plans.detection import detect
 from tallyflow.plans.training import ModelBundle
 from tallyflow.schemas import BATCH_SECONDS
 from tallyflow.session import scratch_tables
+from tallyflow.sinks.commits import commit_batch, is_committed
 from tallyflow.sinks.tables import append_batch, archive_rows, stamp
 
 
@@ -61,11 +62,16 @@ def _on_batch(messages: DataFrame, out: str, strict: bool, work: Callable[[DataF
 
     Batches are kept under the id of the streaming query, which lives in its
     checkpoint, and under the day of the newest flow (the first day of all for a batch
-    without any), so a repeated batch finds its own place again.
+    without any), so a repeated batch finds its own place again. All tables of a batch become
+    readable by its commit record, written last; a batch that has one is not worked on again.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        writer = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        spark = batch.sparkSession
+        writer = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if is_committed(spark, out, writer, batch_id):
+            return
+        tables: list[str] = []
         parsed = parse_flows(batch, strict=strict).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             valid, rejected = split_parsed(parsed)
@@ -75,11 +81,14 @@ def _on_batch(messages: DataFrame, out: str, strict: bool, work: Callable[[DataF
 
             def append(df: DataFrame, table: str) -> None:
                 append_batch(df, f"{out}/{table}", batch_id, writer, day or NO_DAY)
+                tables.append(table)
 
             if not rejected.isEmpty():
                 append(stamp(rejected), "rejected")
             if day:
                 work(flows, append)
+            if tables:
+                commit_batch(spark, out, writer, batch_id, day or NO_DAY, tables)
         finally:
             parsed.unpersist()
 
