@@ -102,6 +102,9 @@ SELECT windowStart, dstAddr,
        count(DISTINCT srcPort) AS uniqSrcPorts
 FROM line_flows GROUP BY windowStart, dstAddr"""
 
+SQL["source_profile_sketched"] = f"WITH {LINE_FLOWS}, {LINE_SOURCE} SELECT *, true AS near FROM source_rows"
+SQL["dest_profile_sketched"] = f"SELECT *, true AS near FROM ({SQL['dest_profile']})"
+
 # ---- history, documents, archive ----
 
 SQL["collected_history"] = f"""WITH {EVENT_FLOWS}, one_window AS (SELECT *, 0 AS windowStart FROM event_flows),
@@ -147,6 +150,7 @@ SQL["feature_cast"] = f"WITH {LINE_FEATURES} SELECT * FROM line_features"
 SQL["scaler_stats"] = f"WITH {LINE_FEATURES} " + " UNION ALL ".join(
     f"SELECT '{f}' AS feature, round(stddev_samp({f}), 6) AS std FROM line_features" for f in FEATURE_NAMES
 )
+SQL["scaler_moments"] = SQL["scaler_stats"]
 SQL["scaled_features"] = f"WITH {LINE_FEATURES} " + _scaled("line_features", "windowStart, srcAddr, vlanID")
 
 _PARTS = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {f}" for i, f in enumerate(FEATURE_NAMES))
@@ -318,6 +322,34 @@ SQL["profile_verdict"] = f"""WITH {PROFILE_SHARES}
 SELECT n.windowStart, n.srcAddr, n.vlanID, s.Class, round(s.Prob, 6) AS Prob
 FROM shares s JOIN numbered n ON n.id = s.id WHERE s.Class IN (2, 3, 6, 7)"""
 
+_INVERSE = ", ".join(f"1 / stddev_samp({f}) AS d_{f}" for f in FEATURE_NAMES)
+_TIMES = ", ".join(f"{f} * d_{f} AS {f}" for f in FEATURE_NAMES)
+STORED = f"""{LINE_FEATURES}, banded AS (
+  SELECT windowStart // {WIDTH} * 100000000 + CAST(substr(srcAddr, 8) AS BIGINT) * 1000 + vlanID AS id, windowStart, srcAddr, vlanID,
+         least(CAST(floor(sumOfFlows / 8) AS BIGINT), 7) AS prediction, sumOfFlows <= 24 AS quiet, {', '.join(FEATURE_NAMES)}
+  FROM line_features),
+inverse AS (SELECT {_INVERSE} FROM banded WHERE windowStart // {WIDTH} % 2 = 0),
+scaled AS (SELECT id, windowStart, srcAddr, vlanID, prediction, quiet, {_TIMES} FROM banded, inverse), """ + _ranked(
+    f"(SELECT * FROM scaled WHERE windowStart // {WIDTH} % 2 = 1 OR quiet)",
+    f"(SELECT * FROM scaled WHERE windowStart // {WIDTH} % 2 = 0)",
+    "true",
+    36,
+) + f""",
+shares AS (
+  SELECT id, neighborLabel AS Class, sum(weight) / any_value(total) AS Prob
+  FROM (SELECT *, sum(weight) OVER (PARTITION BY id) AS total FROM votes) t
+  GROUP BY id, neighborLabel HAVING sum(weight) > 0),
+met AS (
+  SELECT DISTINCT Class FROM (
+    SELECT s.id, Class FROM shares s JOIN scaled x ON x.id = s.id WHERE x.windowStart // {WIDTH} % 2 = 0
+    QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY round(Prob, 12) DESC, Class) = 1) w),
+scores AS (
+  SELECT windowStart, srcAddr, vlanID, Class, Prob
+  FROM shares s JOIN scaled x ON x.id = s.id WHERE windowStart // {WIDTH} % 2 = 1)"""
+SQL["stored_model_scores"] = f"WITH {STORED} SELECT windowStart, srcAddr, vlanID, Class, round(Prob, 6) AS Prob FROM scores"
+SQL["stored_model_pairs"] = f"""WITH {STORED}
+SELECT DISTINCT srcAddr, vlanID FROM scores WHERE Class NOT IN (SELECT Class FROM met)"""
+
 # ---- tuning ----
 
 FOLDED = f"""{LABELLED}, folded AS (

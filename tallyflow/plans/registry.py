@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +16,17 @@ from tallyflow.operators import (
     classifiers,
     clustering,
     features,
+    moments,
     profiles,
+    sketches,
     tuning,
     verdict,
     voting,
 )
 from tallyflow.operators import flows as flow_ops
 from tallyflow.operators.neighbors import NeighborModel
-from tallyflow.plans.detection import detect
-from tallyflow.plans.training import train
+from tallyflow.plans.detection import detect, score
+from tallyflow.plans.training import ModelBundle, train
 from tallyflow.schemas import (
     ANOMALOUS,
     COMPARE_FOLDS,
@@ -206,6 +210,30 @@ def dest_profile(spark, sf_dir):
     return profiles.dest_profile(flows_from_lineitem(spark, sf_dir), BATCH_WIDTH)
 
 
+def _near(kind: str, exact: DataFrame, flows: DataFrame) -> DataFrame:
+    """Exact profiles, and whether the counts merged from sketches of shorter windows lie within four deviations of them."""
+    address, outputs = sketches.KINDS[kind]
+    parts = sketches.sketch_profiles(flows, kind, BATCH_WIDTH // 90)
+    merged = sketches.estimates(sketches.merge_profiles(parts, kind, BATCH_WIDTH), kind)
+    guess = merged.select(*[F.col(c).alias(f"_{c}") for c in merged.columns])
+    same = [exact[c].eqNullSafe(guess[f"_{c}"]) for c in ("windowStart", address)]
+    within = [
+        F.abs(F.col(n) - F.col(f"_{n}")) <= (0 if what in sketches.SUMS else F.greatest(F.lit(1.0), 4 * sketches.DEVIATION * F.col(n)))
+        for n, what in outputs.items()
+    ]
+    return exact.join(guess, same, "left").select(*exact.columns, F.coalesce(reduce(and_, within), F.lit(False)).alias("near"))
+
+
+@query
+def source_profile_sketched(spark, sf_dir):
+    return _near("source", source_profile(spark, sf_dir), flows_from_lineitem(spark, sf_dir))
+
+
+@query
+def dest_profile_sketched(spark, sf_dir):
+    return _near("dest", dest_profile(spark, sf_dir), flows_from_lineitem(spark, sf_dir))
+
+
 # ---- history, documents, archive ----
 
 
@@ -282,6 +310,20 @@ def scaler_stats(spark, sf_dir):
     return _rounded(features.scaler_stats(rows, features.fit_scaler(rows)), ["std"])
 
 
+@query
+def scaler_moments(spark, sf_dir):
+    """``scaler_stats`` from moments kept per window: half of the windows first, then those that were new."""
+    rows = materialize(source_profile(spark, sf_dir), "profiles")
+    rows = features.score_input(rows)
+    starts = sorted(str(r["windowStart"]) for r in rows.select("windowStart").distinct().collect())  # one per window
+    path = new_table_path(spark, "moments")
+    named = rows.withColumn("day", F.col("windowStart").cast("string"))
+    read = lambda some: named.filter(F.col("windowStart").isin([int(d) for d in some]))
+    for known in (starts[: len(starts) // 2], starts):
+        kept, _ = moments.refresh(spark, path, dict.fromkeys(known, "whole"), read)
+    return _rounded(moments.deviations(kept), ["std"])
+
+
 @query
 def scaled_features(spark, sf_dir):
     return _rounded(_scaled_lines(spark, sf_dir), FEATURES)
@@ -655,3 +697,40 @@ def detect_anomalies(spark, sf_dir):
     normal = history.filter(F.col("sumOfBytes") <= ordinary)
     bundle = train(history, normal, ["windowStart", "srcAddr", "vlanID"])
     return detect(profile.filter(number % 2 == 1), bundle)
+
+
+QUIET = 24  # flows in a window up to which the stand-in for normal traffic goes
+
+
+def _stored_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ModelBundle]:
+    """Profiles, and a model that was saved and loaded: even windows labelled by the band of their flow count,
+    scaled, and the labels that their quiet rows are given taken as normal."""
+    profile = materialize(source_profile(spark, sf_dir), "profiles")
+    number = (F.col("windowStart") / BATCH_WIDTH).cast("bigint")
+    id = number * 100000000 + F.substring("srcAddr", 8, 20).cast("bigint") * 1000 + F.col("vlanID")
+    history = features.score_input(profile).filter(number % 2 == 0)
+    band = F.least(F.floor(F.col("sumOfFlows") / 8).cast("bigint"), F.lit(7))
+    rows = history.select(id.alias("id"), band.alias("prediction"), *[F.col(f).cast("float").alias(f) for f in FEATURES])
+    rows = materialize(rows, "features")
+    scaler = features.fit_scaler(rows)
+    scaled = features.scale(rows, scaler)
+    model = NeighborModel.fit(scaled)
+    quiet = features.scale(rows.filter(F.col("sumOfFlows") <= QUIET).drop("prediction"), scaler)
+    met = verdict.normal_labels(voting.knn_predict(quiet, model)).withColumn("is_normal", F.lit(True))
+    labels = model.rows.select("label").distinct().join(met, "label", "left").fillna(False, "is_normal")
+    path = new_table_path(spark, "model")
+    ModelBundle(scaler, model, labels).save(path)
+    return profile.filter(number % 2 == 1), ModelBundle.load(spark, path)
+
+
+@query
+def stored_model_scores(spark, sf_dir):
+    profile, bundle = _stored_model(spark, sf_dir)
+    return _rounded(score(profile, bundle, ["windowStart", "srcAddr", "vlanID"]), ["Prob"])
+
+
+@query
+def stored_model_pairs(spark, sf_dir):
+    """The flagship's path from stored model to flagged pairs, with labels that SQL can give too."""
+    profile, bundle = _stored_model(spark, sf_dir)
+    return detect(profile, bundle)
