@@ -434,6 +434,68 @@ best AS (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, guess) AS place FROM scored QUALIFY place = 1)
 SELECT 'NB' AS model, fold, round(avg(CAST(guess = prediction AS DOUBLE)), 6) AS accuracy FROM best GROUP BY fold"""
 
+SQL["model_summary"] = f"""SELECT model, round(avg(accuracy), 6) AS mean, round(stddev_pop(accuracy), 6) AS std FROM (
+  ({SQL['clf_knn'].replace('round(accuracy, 6)', 'accuracy')}) UNION ALL
+  ({SQL['clf_nb'].replace('round(avg(CAST(guess = prediction AS DOUBLE)), 6)', 'avg(CAST(guess = prediction AS DOUBLE))')})) s GROUP BY model"""
+
+
+def _trees(depth: int, bins: int) -> str:
+    """Gini trees of all folds, each grown from the other folds; ``at<level>`` places every row in every tree."""
+    bounds = ", ".join(f"min({f}) AS a{i}, max({f}) AS b{i}" for i, f in enumerate(FEATURE_NAMES))
+    values = " UNION ALL ".join(f"SELECT id, {i} AS f, {f} AS v, a{i} AS a, b{i} AS b FROM shuffled, bounds" for i, f in enumerate(FEATURE_NAMES))
+    parts = [
+        f"bounds AS (SELECT {bounds} FROM shuffled)",
+        f"valued AS ({values})",
+        f"binned AS (SELECT id, f, v, (SELECT count(*) FROM range(1, {bins}) r(j) WHERE a + (b - a) * j / {bins} <= v) AS bin FROM valued)",
+        f"""edges AS (
+  SELECT f, j - 1 AS bin, a + (b - a) * j / {bins} AS threshold FROM (SELECT DISTINCT f, a, b FROM valued), range(1, {bins}) r(j))""",
+        "at0 AS (SELECT t.fold AS tree, 0 AS node, id, x.fold, prediction FROM shuffled x, (SELECT DISTINCT fold FROM shuffled) t)",
+    ]
+    for level in range(depth + 1):
+        parts.append(f"""classes{level} AS (
+  SELECT tree, node, prediction, count(*) AS n FROM at{level} WHERE fold <> tree GROUP BY ALL),
+nodes{level} AS (
+  SELECT tree, node, sum(n)::BIGINT AS n, sum(n * n)::BIGINT AS squares, arg_max(prediction, {{'n': n, 'p': -prediction}}) AS prediction
+  FROM classes{level} GROUP BY tree, node)""")
+        if level == depth:
+            break
+        parts.append(f"""counted{level} AS (
+  SELECT tree, node, f, bin, prediction, count(*) AS n FROM at{level} JOIN binned USING (id) WHERE fold <> tree GROUP BY ALL),
+lefts{level} AS (
+  SELECT c.tree, c.node, c.f, e.bin, c.prediction, sum(c.n) FILTER (c.bin <= e.bin) AS l, sum(c.n) AS n
+  FROM counted{level} c JOIN edges e ON e.f = c.f GROUP BY ALL),
+sides{level} AS (
+  SELECT tree, node, f, bin, sum(coalesce(l, 0)) AS nl, sum(coalesce(l, 0) * coalesce(l, 0)) AS sl,
+         sum(n - coalesce(l, 0)) AS nr, sum((n - coalesce(l, 0)) * (n - coalesce(l, 0))) AS sr
+  FROM lefts{level} GROUP BY tree, node, f, bin),
+pures{level} AS (
+  SELECT tree, node, f, bin, sl::DOUBLE / nl::DOUBLE + sr::DOUBLE / nr::DOUBLE AS pure FROM sides{level} WHERE nl > 0 AND nr > 0
+  QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY pure DESC, f, bin) = 1),
+splits{level} AS (
+  SELECT p.tree, p.node, p.f, p.bin, threshold FROM pures{level} p JOIN nodes{level} n USING (tree, node) JOIN edges e ON e.f = p.f AND e.bin = p.bin
+  WHERE pure > n.squares::DOUBLE / n.n::DOUBLE + 1e-9),
+at{level + 1} AS (
+  SELECT x.tree, 2 * x.node + 1 + CAST(b.v >= s.threshold AS INTEGER) AS node, x.id, x.fold, x.prediction
+  FROM at{level} x JOIN splits{level} s ON s.tree = x.tree AND s.node = x.node JOIN binned b ON b.id = x.id AND b.f = s.f)""")
+    return ", ".join(parts)
+
+
+_LEVELS = " UNION ALL ".join(
+    [
+        f"""SELECT n.tree, n.node, coalesce(s.f, -1) AS feature, coalesce(s.threshold, 0) AS threshold, n.n, n.prediction
+FROM nodes{i} n LEFT JOIN splits{i} s ON s.tree = n.tree AND s.node = n.node"""
+        for i in range(3)
+    ]
+    + ["SELECT tree, node, -1, 0, n, prediction FROM nodes3"]
+)
+TREES = f"{SHUFFLED}, {_trees(3, 32)}, tree_table AS ({_LEVELS})"
+SQL["tree_nodes"] = f"""WITH {TREES}
+SELECT tree, node, feature, round(threshold, 6) AS threshold, n, prediction FROM tree_table"""
+SQL["tree_predictions"] = f"""WITH {TREES},
+placed AS ({' UNION ALL '.join(f'SELECT id, fold, tree, node, {i} AS level FROM at{i}' for i in range(4))})
+SELECT p.id, p.fold, t.prediction AS guess FROM placed p JOIN tree_table t ON t.tree = p.tree AND t.node = p.node
+WHERE p.fold = p.tree QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY level DESC) = 1"""
+
 # ---- streams ----
 
 EVENT_SOURCE = SOURCE.format(flows="windowed")

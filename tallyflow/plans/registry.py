@@ -19,6 +19,7 @@ from tallyflow.operators import (
     moments,
     profiles,
     sketches,
+    trees,
     tuning,
     verdict,
     voting,
@@ -646,6 +647,31 @@ for _name in classifiers.CLASSIFIERS:
     _classifier(_name)
 
 
+def _trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = materialize(_compared(spark, sf_dir), "compared")
+    return rows, trees.grow(rows, trees.even_edges(rows), depth=3)
+
+
+@query
+def tree_nodes(spark, sf_dir):
+    """The trees of all folds as a table; leaves have feature -1."""
+    _, nodes = _trees(spark, sf_dir)
+    return _rounded(nodes.fillna(-1, "feature").fillna(0.0, "threshold"), ["threshold"])
+
+
+@query
+def tree_predictions(spark, sf_dir):
+    return trees.tree_predictions(*_trees(spark, sf_dir)).select("id", "fold", "guess")
+
+
+@query
+def model_summary(spark, sf_dir):
+    """The comparison for the classifiers that SQL can fit too."""
+    models = {"KNN": classifiers.nearest_neighbors, "NB": classifiers.naive_bayes}
+    scores = classifiers.compare_classifiers(labelled_from_embeddings(spark, sf_dir), models)
+    return _rounded(tuning.score_summary(scores), ["mean", "std"])
+
+
 @query
 def fold_spread(spark, sf_dir):
     scores = classifiers.nearest_neighbors(_compared(spark, sf_dir))
