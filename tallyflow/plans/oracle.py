@@ -44,6 +44,8 @@ SELECT srcAddr AS "SrcAddr", srcPort AS "SrcPort", dstAddr AS "DstAddr", dstPort
 FROM event_flows"""
 SQL["flow_normalize"] = f"WITH {EVENT_FLOWS} SELECT * FROM event_flows"
 SQL["flow_valid"] = f"WITH {EVENT_FLOWS} SELECT * FROM event_flows WHERE srcAddr IS NOT NULL"
+SQL["flow_addressed"] = f"""WITH {EVENT_FLOWS}
+SELECT * REPLACE (CASE tcpFlags % 8 WHEN 5 THEN '' ELSE srcAddr END AS srcAddr) FROM event_flows WHERE tcpFlags % 8 <> 1"""
 SQL["flow_pair_counts"] = f"""WITH {LINE_FLOWS}
 SELECT srcAddr, dstAddr, count(*) AS pairCount FROM line_flows GROUP BY ALL"""
 
@@ -350,6 +352,9 @@ SQL["stored_model_scores"] = f"WITH {STORED} SELECT windowStart, srcAddr, vlanID
 SQL["stored_model_pairs"] = f"""WITH {STORED}
 SELECT DISTINCT srcAddr, vlanID FROM scores WHERE Class NOT IN (SELECT Class FROM met)"""
 
+SQL["detected_stream_pairs"] = f"""WITH {STORED}
+SELECT DISTINCT srcAddr, vlanID FROM scores WHERE windowStart = 107 * {WIDTH} AND Class NOT IN (SELECT Class FROM met)"""
+
 # ---- tuning ----
 
 FOLDED = f"""{LABELLED}, folded AS (
@@ -434,8 +439,52 @@ best AS (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, guess) AS place FROM scored QUALIFY place = 1)
 SELECT 'NB' AS model, fold, round(avg(CAST(guess = prediction AS DOUBLE)), 6) AS accuracy FROM best GROUP BY fold"""
 
+
+
+def _discriminant() -> str:
+    """Linear scores of every fold's classes: the pooled covariance and the class means, solved by elimination.
+
+    ``system<k>`` is the matrix with the class means beside it after k steps; it is symmetric and positive, so
+    no rows are swapped.
+    """
+    long = " UNION ALL ".join(f"SELECT id, fold, prediction, {i} AS i, {f} AS v FROM shuffled" for i, f in enumerate(FEATURE_NAMES))
+    parts = [
+        f"long AS ({long})",
+        "folds AS (SELECT DISTINCT fold AS tree FROM shuffled)",
+        """means AS (SELECT tree, prediction, i, avg(v) AS mean FROM folds JOIN long ON fold <> tree GROUP BY ALL)""",
+        """sizes AS (SELECT tree, prediction, count(*) AS n, sum(count(*)) OVER (PARTITION BY tree) AS total,
+         count(*) OVER (PARTITION BY tree) AS classes FROM folds JOIN shuffled ON fold <> tree GROUP BY tree, prediction)""",
+        """away AS (SELECT tree, id, l.prediction, l.i, v - mean AS d FROM folds JOIN long l ON fold <> tree JOIN means m USING (tree, prediction, i))""",
+        """spread AS (
+  SELECT a.tree, a.i, b.i AS j, sum(a.d * b.d) / any_value(total - classes) AS v
+  FROM away a JOIN away b ON a.tree = b.tree AND a.id = b.id JOIN sizes s ON s.tree = a.tree AND s.prediction = a.prediction
+  GROUP BY a.tree, a.i, b.i)""",
+        "system0 AS (SELECT tree, i, j, v FROM spread UNION ALL SELECT tree, i, 100 + prediction, mean FROM means)",
+    ]
+    for k in range(len(FEATURE_NAMES)):
+        parts.append(f"""system{k + 1} AS (
+  SELECT x.tree, x.i, x.j, CASE WHEN x.i = {k} THEN x.v / d.v ELSE x.v - b.v / d.v * a.v END AS v
+  FROM system{k} x JOIN system{k} d ON d.tree = x.tree AND d.i = {k} AND d.j = {k}
+  JOIN system{k} a ON a.tree = x.tree AND a.i = {k} AND a.j = x.j
+  JOIN system{k} b ON b.tree = x.tree AND b.i = x.i AND b.j = {k})""")
+    last = len(FEATURE_NAMES)
+    parts.append(f"slopes AS (SELECT tree, i, j - 100 AS prediction, v AS slope FROM system{last} WHERE j >= 100)")
+    parts.append("""constants AS (
+  SELECT tree, prediction, ln(any_value(n) / any_value(total)) - 0.5 * sum(mean * slope) AS constant
+  FROM slopes JOIN means USING (tree, prediction, i) JOIN sizes USING (tree, prediction) GROUP BY tree, prediction)""")
+    return ", ".join(parts)
+
+
+SQL["clf_lda"] = f"""WITH {SHUFFLED}, {_discriminant()},
+scored AS (
+  SELECT l.id, l.fold, l.prediction AS truth, s.prediction AS guess, any_value(constant) + sum(v * slope) AS score
+  FROM long l JOIN slopes s ON s.tree = l.fold AND s.i = l.i JOIN constants c ON c.tree = s.tree AND c.prediction = s.prediction
+  GROUP BY l.id, l.fold, l.prediction, s.prediction),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, guess) = 1)
+SELECT 'LDA' AS model, fold, round(avg(CAST(guess = truth AS DOUBLE)), 6) AS accuracy FROM best GROUP BY fold"""
 SQL["model_summary"] = f"""SELECT model, round(avg(accuracy), 6) AS mean, round(stddev_pop(accuracy), 6) AS std FROM (
   ({SQL['clf_knn'].replace('round(accuracy, 6)', 'accuracy')}) UNION ALL
+  ({SQL['clf_lda'].replace('round(avg(CAST(guess = truth AS DOUBLE)), 6)', 'avg(CAST(guess = truth AS DOUBLE))')}) UNION ALL
   ({SQL['clf_nb'].replace('round(avg(CAST(guess = prediction AS DOUBLE)), 6)', 'avg(CAST(guess = prediction AS DOUBLE))')})) s GROUP BY model"""
 
 

@@ -30,6 +30,7 @@ from tallyflow.plans.detection import detect, score
 from tallyflow.plans.training import ModelBundle, train
 from tallyflow.schemas import (
     ANOMALOUS,
+    ANOMALY,
     COMPARE_FOLDS,
     COMPARE_SEED,
     FEATURES,
@@ -58,7 +59,7 @@ from tallyflow.sources.stand_ins import (
     read_events,
 )
 from tallyflow.sources.tables import read_flow_stream, read_history, read_table_stream
-from tallyflow.streaming.jobs import start_collection, start_profile_stream
+from tallyflow.streaming.jobs import start_collection, start_detection, start_profile_stream
 from tallyflow.streaming.open_windows import finish_profiles, read_profiles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +96,21 @@ def flow_valid(spark, sf_dir):
     return flow_ops.normalize_flows(valid, require="srcAddr")
 
 
+@query
+def flow_addressed(spark, sf_dir):
+    """``flow_valid`` where a quarter of the messages have no source address: a JSON null, or an empty text, which counts as an address."""
+    flows = flows_from_events(read_events(spark, sf_dir)).withColumn("turn", F.col("tcpFlags") % 8)
+    text = flow_ops.encode_flows_keeping(flows, ["turn"])
+    address = r'"SrcAddr":"[^"]*"'
+    value = (
+        F.when(F.col("turn") == 1, F.regexp_replace("value", address, '"SrcAddr":null'))
+        .when(F.col("turn") == 5, F.regexp_replace("value", address, '"SrcAddr":""'))
+        .otherwise(F.col("value"))
+    )
+    valid, _ = flow_ops.decode_flows(text.select(value.alias("value")))
+    return flow_ops.normalize_flows(valid, require="srcAddr")
+
+
 def _spoilt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event messages, a tenth of them broken: no field, no JSON, wrong type, JSON null."""
     events = read_events(spark, sf_dir)
@@ -595,7 +611,7 @@ def stratified_folds(spark, sf_dir):
 def knn_neighbors_apart_cells(spark, sf_dir):
     """Neighbours from other folds by the distributed plan, in small cells and smaller blocks."""
     rows = _folded(spark, sf_dir)
-    model = NeighborModel.fit(rows, apart="fold", cell_rows=64, broadcast_rows=0, slot_rows=40, block_rows=24)
+    model = NeighborModel.fit(rows, apart="fold", cell_rows=64, broadcast_rows=0, slot_rows=200, block_rows=24)
     found = model.neighbors(rows, apart="fold").select("id", F.posexplode("neighbors").alias("pos", "entry"))
     return found.select(
         "id", (F.col("pos") + 1).alias("rank"), F.col("entry.id").alias("neighborId"), F.round("entry.dist", 6).alias("dist")
@@ -667,7 +683,7 @@ def tree_predictions(spark, sf_dir):
 @query
 def model_summary(spark, sf_dir):
     """The comparison for the classifiers that SQL can fit too."""
-    models = {"KNN": classifiers.nearest_neighbors, "NB": classifiers.naive_bayes}
+    models = {name: classifiers.CLASSIFIERS[name] for name in ("KNN", "LDA", "NB")}
     scores = classifiers.compare_classifiers(labelled_from_embeddings(spark, sf_dir), models)
     return _rounded(tuning.score_summary(scores), ["mean", "std"])
 
@@ -725,6 +741,7 @@ def detect_anomalies(spark, sf_dir):
     return detect(profile.filter(number % 2 == 1), bundle)
 
 
+STREAMED = 107  # number of the (odd) window whose messages are streamed
 QUIET = 24  # flows in a window up to which the stand-in for normal traffic goes
 
 
@@ -760,3 +777,17 @@ def stored_model_pairs(spark, sf_dir):
     """The flagship's path from stored model to flagged pairs, with labels that SQL can give too."""
     profile, bundle = _stored_model(spark, sf_dir)
     return detect(profile, bundle)
+
+
+@query
+def detected_stream_pairs(spark, sf_dir):
+    """What a detection stream commits for the messages of one window, scored with the stored model."""
+    _, bundle = _stored_model(spark, sf_dir)
+    flows = flows_from_lineitem(spark, sf_dir)
+    start = F.col("timestampStart") - F.pmod("timestampStart", F.lit(BATCH_WIDTH))
+    path = new_table_path(spark, "detected")
+    flow_ops.encode_flows(flows.filter(start == STREAMED * BATCH_WIDTH)).write.text(f"{path}/in")
+    messages = read_flow_stream(spark, "files", f"{path}/in")
+    start_detection(messages, bundle, f"{path}/out", f"{path}/checkpoint", once=True).awaitTermination()
+    found = read_committed(spark, f"{path}/out", "anomalies", ANOMALY)
+    return found.select("srcAddr", "vlanID")
