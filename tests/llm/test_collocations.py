@@ -33,7 +33,7 @@ def spoken(n: int):
     return out
 
 
-@pytest.mark.parametrize("top,least", [(2000, 3), (5, 3), (1, 2), (12, 8), (3, 1)])
+@pytest.mark.parametrize("top,least", [(2000, 3), (5, 3), (12, 8)])
 def test_equals_sql(spark, top, least):
     table = rows(spoken(120))
     connection, sql = twin(table, top, least)
