@@ -9,15 +9,17 @@ the shortest path within it, is the successive-shortest-path method and gives a
 flow of least cost among the largest.
 
 A pattern that is to give k whole copies and r further words gives k copies of each
-of its documents and one more of those with the least seeded hashes until r words are
-reached; documents share ``SLOTS`` hash slots, so only sums by slot are compared, and
-the slot at the edge gives the missing share of each of its documents, cut to whole words.
+of its documents and one more of those with the least seeded hashes of id and text, until
+exactly r words are reached. The edge is found in three steps, each on what the one before
+left: the sums of ``SLOTS`` hash slots, the sums of the hashes within the slot at the edge, and
+the rows of the hash at the edge, which are alike and counted by the partition they were stored in.
+The last row at the edge gives a part of its words.
 
 Only sums by pattern reach the driver; there may be at most ``MOST_PATTERNS``.
 
 Defined results: a NULL text has no words and takes none; a NULL source is a source
-of its own, the last; ids that are NULL or repeated share a slot, each row being taken on
-its own; other columns are kept. Empty tables give empty results.
+of its own, the last; of rows with the same id (or none) and the same text, any may be the ones
+that give more, but how many do is fixed; other columns are kept. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -120,8 +122,20 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[float], copi
 
 
 def _sized(docs: DataFrame, id: str, text: str, members: Column) -> DataFrame:
-    slot = F.pmod(F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), F.lit(SEED)), F.lit(SLOTS))
-    return docs.select("*", size_of(text).alias("__size"), slot.alias("__slot"), members.alias("__pattern"))
+    key = F.xxhash64(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(SEED))
+    made = docs.select("*", size_of(f"`{text}`").alias("__size"), key.alias("__key"), members.alias("__pattern"))
+    # Stored with the row, so that the number stays what it is when a task is run again.
+    return made.withColumn("__slot", F.pmod("__key", F.lit(SLOTS))).withColumn("__row", F.monotonically_increasing_id())
+
+
+def _edge(sums: DataFrame, plan: DataFrame, place: list[str], rest: str, left: str) -> DataFrame:
+    """By pattern: the first ``place``, in order, at which the words so far pass ``rest``, and the words ``left`` there."""
+    so_far = Window.partitionBy("__pattern").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    rows = sums.join(F.broadcast(plan.select("__pattern", rest)), "__pattern")  # a row per pattern, which the driver made
+    rows = rows.withColumn("before", F.coalesce(F.sum("words").over(so_far), F.lit(0)))
+    rows = rows.filter((F.col("before") <= F.col(rest)) & (F.col("before") + F.col("words") > F.col(rest)))
+    found = rows.select("__pattern", *[F.col(c).alias(f"{c}_at") for c in place], (F.col(rest) - F.col("before")).alias(left))
+    return plan.join(found, "__pattern", "left")
 
 
 def _plan(spark: SparkSession, sized: DataFrame, weights, copies: int) -> DataFrame:
@@ -149,33 +163,36 @@ def _plan(spark: SparkSession, sized: DataFrame, weights, copies: int) -> DataFr
     table = []
     for p, r in enumerate(rows):
         whole = min(int((sent[p] + 1e-6) // r["size"]), copies) if r["size"] else 0
-        rest = max(0.0, sent[p] - whole * r["size"])
+        rest = max(0, round(sent[p] - whole * r["size"])) if whole < copies else 0
         at = first(p)
         table.append((r["__pattern"], sizes[at] if at is not None else 0, targets[at] if at is not None else 0.0, whole, rest))
     kind = sized.schema["__pattern"].dataType.simpleString()
-    plan = spark.createDataFrame(table, f"__pattern {kind}, source_size long, target double, __whole int, __rest double")
+    plan = spark.createDataFrame(table, f"__pattern {kind}, source_size long, target double, __whole int, __rest long")
     slots = sized.groupBy("__pattern", "__slot").agg(F.sum("__size").alias("words"))
-    ordered = Window.partitionBy("__pattern").orderBy("__slot")
-    slots = slots.join(plan.select("__pattern", "__rest"), "__pattern").withColumn(
-        "before", F.coalesce(F.sum("words").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    edge = (
-        slots.filter("before <= __rest and before + words > __rest")
-        .groupBy("__pattern")
-        .agg(F.min(F.struct("__slot", ((F.col("__rest") - F.col("before")) / F.col("words")).alias("part"))).alias("__edge"))
-    )
-    return materialize(plan.join(edge, "__pattern", "left"), "mix")
-
-
-def _taken() -> Column:
-    edge = F.coalesce("__edge.__slot", F.lit(SLOTS))  # no edge: the rest covers every slot, or there are no words
-    more = (
-        F.when(F.col("__slot") < edge, F.col("__size"))
-        .when(F.col("__slot") == edge, F.floor(F.col("__size") * F.col("__edge.part")))
-        .otherwise(0)
-    )
-    more = F.when(F.col("__rest") > 0, more).otherwise(0)
-    return (F.col("__size") * F.col("__whole") + more).cast("long")
+    plan = materialize(_edge(slots, plan, ["__slot"], "__rest", "__slot_rest"), "mix_slots")
+    edge = sized.join(F.broadcast(plan.select("__pattern", "__slot_at")), "__pattern").filter("__slot = __slot_at")
+    hashes = edge.groupBy("__pattern", "__key", "__size").agg(F.sum("__size").alias("words"))
+    return materialize(_edge(hashes, plan, ["__key", "__size"], "__slot_rest", "__key_rest"), "mix")
+
+
+def _taken(stored: DataFrame, plan: DataFrame) -> DataFrame:
+    """``stored`` with the columns of ``plan`` and ``__taken``."""
+    rows = stored.join(F.broadcast(plan), "__pattern")
+    place, at = F.struct("__slot", "__key", "__size"), F.struct("__slot_at", "__key_at", "__size_at")
+    is_edge = F.col("__key_at").isNotNull() & (place == at)
+    # No edge: there are no words.
+    more = F.when(F.col("__key_at").isNotNull() & (place < at), F.col("__size")).otherwise(0)
+    others = rows.filter(~is_edge).withColumn("__more", more.cast("long"))
+    alike = rows.filter(is_edge).withColumn("__part", F.shiftright("__row", 33))
+    before = Window.partitionBy("__pattern").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = alike.groupBy("__pattern", "__part").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select("__pattern", "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__pattern", "__part").orderBy("__row")
+    alike = alike.withColumn("__number", F.row_number().over(inside) - 1).join(parts, ["__pattern", "__part"])
+    left = F.col("__key_rest") - (F.col("__before") + F.col("__number")) * F.col("__size")
+    alike = alike.withColumn("__more", F.greatest(F.lit(0), F.least(left, F.col("__size"))).cast("long"))
+    every = others.unionByName(alike.select(*others.columns))
+    return every.withColumn("__taken", F.col("__size") * F.col("__whole") + F.col("__more"))
 
 
 def mix_sources(
@@ -195,18 +212,16 @@ def mix_sources(
     are those of the first. ``weights`` gives a list of source names their weights.
     ``keep`` returns all columns of ``docs`` and the four; what clashes gets ``mix_``.
     """
-    members = F.array(F.col(source)) if members is None else members
+    members = F.array(F.col(f"`{source}`")) if members is None else members
     sized = _sized(docs, id, text, members)
-    if not keep:
-        sized = sized.select(F.col(f"`{id}`").alias("__id"), "__size", "__slot", "__pattern")
-    stored = materialize(sized.select("__size", "__slot", "__pattern") if keep else sized, "sized")
+    kept = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)] if keep else [F.col(f"`{id}`").alias("__id")]
+    stored = materialize(sized.select(*kept, "__size", "__slot", "__key", "__row", "__pattern"), "sized")
     plan = _plan(docs.sparkSession, stored, weights, copies)
-    joined = (sized if keep else stored).join(plan, "__pattern")
-    made = {"size": F.col("__size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": _taken()}
+    rows = _taken(stored, plan)
+    made = {"size": F.col("__size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("__taken")}
     if not keep:
-        return joined.select(F.col("__id").alias(id), *[c.alias(n) for n, c in made.items()])
-    plan_side = {n: plan[n] if n in plan.columns else c for n, c in made.items()}
-    return joined.select(
-        *[sized[f"`{c}`"] for c in docs.columns],
-        *[c.alias(f"mix_{n}" if n in docs.columns else n) for n, c in plan_side.items()],
+        return rows.select(F.col("__id").alias(id), *[c.alias(n) for n, c in made.items()])
+    return rows.select(
+        *[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)],
+        *[c.alias(f"mix_{n}" if n in docs.columns else n) for n, c in made.items()],
     )

@@ -71,3 +71,28 @@ def test_odd_documents(spark):
     assert len(rows) == docs.count()
     assert all(r["taken"] == 0 for r in rows if not (r["text"] or "").strip())
     assert M.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_rows_without_or_with_one_id_meet_targets_to_a_word(spark):
+    rows = [(None, "un deux trois", "a")] * 2000 + [(i, "w " * 100, "b") for i in range(100)]
+    rows += [(7, "x " * (i % 5), "c") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    out = M.mix_sources(docs).collect()
+    assert sorted(map(str, out)) == sorted(map(str, M.mix_sources(docs.repartition(3)).collect()))
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    targets = dict(zip("abc", M.share_out(list(sizes.values()), [1, 2, 3])))
+    for s in "abc":
+        mine = [x for x in out if x["source_size"] == sizes[s] and abs(x["target"] - targets[s]) < 1e-6]
+        assert abs(sum(x["taken"] for x in mine) - targets[s]) <= 0.5
+        # All but one row are taken in whole copies, which differ by one at the most.
+        parts = [x for x in mine if x["size"] and x["taken"] % x["size"]]
+        assert len(parts) <= 1 and all(0 <= x["taken"] <= 3 * x["size"] for x in mine)
+        assert len({x["taken"] // x["size"] for x in mine if x["size"]}) <= 2
+
+
+def test_overlapping_sources_meet_targets(spark):
+    rows = [(i, "w " * (1 + i % 7), ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b"]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    out = M.mix_sources(docs, members=M.F.col("source")).collect()
+    assert sum(x["taken"] for x in out) == sum(1 + i % 7 for i in range(400))
+    assert all(0 <= x["taken"] <= 3 * x["size"] for x in out)
