@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.llm.text import ALNUM, Words, chunks, windows
+from tallyflow.llm.text import ALNUM, Words, chunks, plain, rebuilt, windows
 from tallyflow.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -106,7 +106,7 @@ def benchmark_blocks(benchmark: DataFrame, item: str, text: str, width: int, blo
 
 
 def _broadcast(docs: DataFrame, block: Block) -> Broadcast:
-    return docs.sparkSession.sparkContext.broadcast(block)
+    return docs.sparkSession.sparkContext.broadcast(plain(block))
 
 
 def _ranges(hit: np.ndarray) -> np.ndarray:
@@ -132,10 +132,11 @@ def _united(rows: DataFrame, blocks: list[Broadcast]) -> DataFrame:
     for block in blocks:
 
         def scan(batches, block=block):
+            held = rebuilt(Block, block.value)
             for batch in batches:
                 for a, b, data, offsets in chunks(batch.column(1)):
                     words = Words(data, offsets, ALNUM)
-                    hit, items = block.value.scan(words)
+                    hit, items = held.scan(words)
                     ranges = [_ranges(hit[f:g]).tolist() for f, g in zip(words.first[:-1], words.first[1:])]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -176,10 +177,11 @@ def contamination(
         only = blocks[0]
 
         def report(batches):
+            held = rebuilt(Block, only.value)
             for batch in batches:
                 for a, b, data, offsets in chunks(batch.column(1)):
                     words = Words(data, offsets, ALNUM)
-                    hit, items = only.value.scan(words)
+                    hit, items = held.scan(words)
                     total = np.concatenate([[0], np.cumsum(hit)])
                     n_hit = total[words.first[1:]] - total[words.first[:-1]]
                     count = words.count
@@ -254,10 +256,11 @@ def decontaminate(
         return pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
     def clean(batches):
+        held = rebuilt(Block, blocks[0].value) if blocks else None
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(place)):
                 words = Words(data, offsets, ALNUM)
-                hit = blocks[0].value.scan(words)[0] if blocks else np.zeros(len(words.begin), bool)
+                hit = held.scan(words)[0] if held else np.zeros(len(words.begin), bool)
                 yield cleaned(batch.slice(a, b - a), words, offsets, hit)
 
     if len(blocks) <= 1:

@@ -34,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.text import NOT_SPACE, Words, chunks
+from tallyflow.llm.text import NOT_SPACE, Words, chunks, plain, rebuilt
 from tallyflow.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -316,7 +316,7 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[Lexico
         (total["n"] or 0) + texts,
         total["v"] + bool(texts),
     )
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+    sent = docs.sparkSession.sparkContext.broadcast(plain(lexicon))
 
     network = Network(lexicon)
     learned = docs.filter(F.col(id).isNotNull()).select(text)
@@ -345,11 +345,11 @@ def _pieces(batches, lexicon: Lexicon) -> Iterable[np.ndarray]:
 
 def _epoch(texts: DataFrame, lexicon, network: Network, share: float, epoch: int) -> Network:
     """The mean of the networks that the tasks make of ``network``, weighted by their tokens."""
-    sent = texts.sparkSession.sparkContext.broadcast(network)
+    sent = texts.sparkSession.sparkContext.broadcast(plain(network))
 
     def run(batches):
-        net = copy.deepcopy(sent.value)
-        done = net.train(_pieces(batches, lexicon.value), share, epoch)
+        net = rebuilt(Network, copy.deepcopy(sent.value))
+        done = net.train(_pieces(batches, rebuilt(Lexicon, lexicon.value)), share, epoch)
         if done:
             weights = net.weights().astype(np.float64) * done
             slots = [weights[a : a + SLOT].tobytes() for a in range(0, len(weights), SLOT)]
@@ -376,11 +376,11 @@ def score(
     docs: DataFrame, lexicon: Lexicon, network: Network, counts: DataFrame, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Per document: ``id, n_tokens, n_known, train_tokens, base_score, score`` (log10)."""
-    sent = docs.sparkSession.sparkContext.broadcast((lexicon, network))
+    sent = docs.sparkSession.sparkContext.broadcast((plain(lexicon), plain(network)))
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches):
-        words_known, net = sent.value
+        words_known, net = rebuilt(Lexicon, sent.value[0]), rebuilt(Network, sent.value[1])
         end_log = np.log10(words_known.texts + 1.0)
         for batch in batches:
             numbers, first, at = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0

@@ -15,9 +15,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
-# Tasks get these helpers by value, so workers need no copy of the package.
+# Tasks get these helpers by value, so workers need no copy of the package. Broadcasts are
+# pickled by reference: they hold plain values, arrays and dictionaries (``plain``) only.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+
+def plain(thing) -> dict:
+    """What an object of this package holds, to broadcast."""
+    return dict(vars(thing))
+
+
+def rebuilt(kind: type, state: dict):
+    """The object again, in a task; arrays are shared with ``state``, not copied."""
+    thing = kind.__new__(kind)
+    thing.__dict__.update(state)
+    return thing
+
 CHUNK_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 STEP = np.uint64(0xD1342543DE82EF95)

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import json
 import sys
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -39,6 +38,7 @@ CACHE = 300_000
 SHARED = 5
 NOTHING: tuple[list[bytes], list[int]] = ([b""], [0])
 LIMIT = 512
+NOT_NEGATIVE = bytes(range(128))
 
 
 def byte_letters() -> dict[str, int]:
@@ -173,9 +173,8 @@ class Vocabulary:
         return bytes(out + self.plain(text[at:]))
 
 
-@lru_cache(maxsize=65_536)
 def _sum(changes: bytes) -> int:
-    return sum(c - 256 if c > 127 else c for c in changes)
+    return sum(changes) - 256 * len(changes.translate(None, NOT_NEGATIVE))
 
 
 def prefix_counts(changes: bytes) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.text import ALNUM, Words, chunks
+from tallyflow.llm.text import ALNUM, Words, chunks, plain, rebuilt
 from tallyflow.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -202,12 +202,13 @@ def train(
 
 def score(docs: DataFrame, model: Classifier, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``id``, ``score`` (0 to 1), ``predicted`` (1 from 0.5 on)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(plain(model))
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches):
+        classifier = rebuilt(Classifier, sent.value)
         for batch in batches:
-            value = sent.value.scores(batch.column(1))
+            value = classifier.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["id", "score", "predicted"]
             )
@@ -218,11 +219,12 @@ def score(docs: DataFrame, model: Classifier, id: str = "doc_id", text: str = "t
 
 def drop_toxic(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """The documents that are not predicted toxic; same columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(plain(model))
     place = docs.columns.index(text)
 
     def run(batches):
+        classifier = rebuilt(Classifier, sent.value)
         for batch in batches:
-            yield batch.filter(pa.array(sent.value.scores(batch.column(place)) < 0.5))
+            yield batch.filter(pa.array(classifier.scores(batch.column(place)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
