@@ -1,29 +1,34 @@
-"""Personal data: overlapping candidate spans, chosen by boosted trees with a calibrated threshold.
+"""Personal data: overlapping candidate spans, chosen by boosted trees with calibrated thresholds.
 
 Four generators find e-mail addresses, IPv4 addresses, card numbers and phone
-numbers; their matches that pass the kind's check are always kept. A wider
-generator proposes every token with a digit or an @, and the matches that failed
-their check are proposed too. Gradient-boosted trees see each proposal's format and
-its surroundings; they learn, on a bounded sample, from labels that need no hand:
-checked matches and values assigned to a password, token or key are personal, other
-proposals are not. On a held-out part the threshold is set so that ``PRECISION`` of
-what it selects is personal. Selected proposals that no kept span overlaps become
-spans of kind ``other``.
+numbers; their matches that pass the kind's check are always kept. Kept spans are masked, and in what is left a
+wider generator proposes every token with a digit or an @, and the generators of numbers propose too.
+
+Two sets of gradient-boosted trees judge a proposal without seeing what their labels come from. One sees its format only
+and learns which formats follow words such as password or account; the other sees the surroundings only and
+learns which of them checked matches and well-known shapes have. Both also learn from planted
+values (``_planted``), as some kinds are rare. They are fitted on a bounded sample of proposals. The threshold of
+each is set by a histogram over the proposals of a quarter of all documents, none of them in the sample, so that
+``PRECISION`` of what it selects is personal by either rule. What one of them selects becomes a span of kind
+``other``; of overlapping ones the first, the longest of those with one begin.
 
 All of it is DataFrame functions: positions come from the lengths of matches and of
 what lies between them, and the fitted trees are written out as an expression, so a
 document never leaves its row and nothing is shuffled when documents are scanned.
+Long arrays and texts are worked through in blocks, so time grows in proportion to a text's length.
 
 Offsets count code points, ends are exclusive. Patterns are possessive and start at
 the begin of a run only, so a very long run takes linear time.
 
 Defined results: a NULL text counts as empty when spans are reported and stays NULL when
-redacted; an empty text has no spans; without both kinds of labels in the sample only
-the four kinds are found; repeated rows are treated alike; other columns are kept.
+redacted; an empty text has no spans; without proposals in the sample only
+the four kinds are found; a token that holds the private character of the mask is not proposed; repeated rows
+are treated alike; other columns are kept.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassifier
@@ -42,18 +47,26 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GUARD = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-TOKEN = r"(?<![^\s\"'<>,;=:()])[^\s\"'<>,;=:()0-9@]*+[0-9@][^\s\"'<>,;=:()]*+"
+TOKEN = r"(?<![^\s\"'<>,;=:()])[^\s\"'<>,;=:()0-9@]*+[0-9@][^\s\"'<>,;=:()]*(?<![.!?])"
+MASK = "\ue000"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 SECRET = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|credential|auth)[\"']?\s*[:=]\s*[\"']?$"
-CONTACT = r"(?i)(?:e-?mail|phone|tel|fax|mobile|call|card|visa|account|iban|host|addr)[a-z]*[.: ]*$"
-NAMES = (
-    "length digits letters ats dots dashes spaces hexes upper plus assigned secret contact quoted mixed unlike"
-).split()
+CONTACT = r"(?i)(?:e-?mail|phone|tel|fax|mobile|call|card|visa|host|addr)[a-z]*[.: ]*$"
+IDENTITY = r"(?i)\b(?:ssn|social security|iban|passport|tax id|national id|account|acct|born|dob)(?: no| number)?[.#]?\s*[:=]?\s*$"
+#: Shapes of social security numbers, international account numbers, access keys and long hexadecimal keys.
+SHAPE = "^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|AKIA[A-Z0-9]{14,}|(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,})$"
+FORMAT = "length digits letters ats dots dashes spaces hexes upper distinct plus mixed unlike".split()
+CONTEXT = "assigned secret contact identity quoted".split()
+LEAST_LENGTH = 4
 BEFORE, AFTER = 24, 2
 SAMPLE = 20_000
+PLANTED = 600
+FOLDS, BINS = 4, 1000
 PRECISION = 0.99
 TREES, DEPTH = 12, 4
-EMPTY = "array<struct<start:int,end:int,value:string>>"
+SPAN = "struct<start:int,end:int,value:string,left:string,right:string>"
+EMPTY = f"array<{SPAN}>"
+BLOCK, CHARACTERS = 256, 4096
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -61,49 +74,64 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def prefix_sums(numbers: Column, block: int = 256) -> Column:
-    """Running sums of an int array; blocks keep the copying small for long arrays."""
+def _cut(values: Column, block: int) -> Column:
+    """An array that is not empty as an array of blocks."""
+    last = F.floor((F.size(values) - 1) / block).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * block + 1, F.lit(block)))
+
+
+def running(numbers: Column, step: Callable[[Column, Column], Column], block: int = BLOCK) -> Column:
+    """Running results of an int array, from 0 on; blocks keep the copying small for long arrays."""
 
     def run(values: Column) -> Column:
-        start = F.struct(F.array().cast("array<int>").alias("sums"), F.lit(0).alias("last"))
-        step = lambda acc, v: F.struct(
-            F.concat(acc["sums"], F.array(acc["last"] + v)).alias("sums"), (acc["last"] + v).alias("last")
+        start = F.struct(F.array().cast("array<int>").alias("all"), F.lit(0).alias("last"))
+        add = lambda acc, v: let(
+            step(acc["last"], v), lambda now: F.struct(F.concat(acc["all"], F.array(now)).alias("all"), now.alias("last"))
         )
-        return F.aggregate(values, start, step, lambda acc: acc["sums"])
+        return F.aggregate(values, start, add, lambda acc: acc["all"])
 
     def joined(parts: Column) -> Column:
         return let(
             run(F.transform(parts, lambda p: F.element_at(p, -1))),
             lambda heads: F.flatten(
-                F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda v: v + F.get(heads, i - 1))))
+                F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda v: step(F.get(heads, i - 1), v))))
             ),
         )
 
-    def blocks(values: Column) -> Column:
-        cut = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")),
-            lambda b: F.slice(values, b * block + 1, F.lit(block)),
-        )
-        return let(F.transform(cut, run), joined)
+    return let(
+        numbers,
+        lambda values: F.when(F.size(values) == 0, values)
+        .when(F.size(values) <= block, run(values))
+        .otherwise(let(F.transform(_cut(values, block), run), joined)),
+    )
 
-    return let(numbers, lambda values: F.when(F.size(values) == 0, values).when(F.size(values) <= block, run(values)).otherwise(blocks(values)))
+
+def prefix_sums(numbers: Column) -> Column:
+    return running(numbers, lambda a, b: a + b)
+
+
+def prefix_maxima(numbers: Column) -> Column:
+    """Of an array of numbers that are not negative."""
+    return running(numbers, lambda a, b: F.greatest(a, b))
 
 
 def matches(text: Column, pattern: str, guard: Column) -> Column:
-    """Start, end and value of every match in a text that passes the guard."""
+    """Start, end, value and surroundings of every match in a text that passes the guard."""
     none = F.array().cast(EMPTY)
 
+    def span(found: Column, gaps: Column, ends: Column) -> Callable[[Column, Column], Column]:
+        # Surroundings come from the neighbouring match and gap: cutting them out of the text would read it from its begin.
+        return lambda v, i: F.struct(
+            (F.get(ends, i) - F.length(v)).alias("start"),
+            F.get(ends, i).alias("end"),
+            v.alias("value"),
+            F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i)), F.lit(BEFORE)).alias("left"),
+            F.left(F.get(gaps, i + 1), F.lit(AFTER)).alias("right"),
+        )
+
     def placed(found: Column, gaps: Column) -> Column:
         steps = F.transform(found, lambda v, i: F.length(v) + F.length(F.get(gaps, i)))
-        return let(
-            prefix_sums(steps),
-            lambda ends: F.transform(
-                found,
-                lambda v, i: F.struct(
-                    (F.get(ends, i) - F.length(v)).alias("start"), F.get(ends, i).alias("end"), v.alias("value")
-                ),
-            ),
-        )
+        return let(prefix_sums(steps), lambda ends: F.transform(found, span(found, gaps, ends)))
 
     parts = let(
         F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")),
@@ -112,6 +140,72 @@ def matches(text: Column, pattern: str, guard: Column) -> Column:
     return F.when(guard, parts).otherwise(none)
 
 
+def merged(spans: Column) -> Column:
+    """Spans ``start, end, tag``, united where they overlap, in order; each named after the first in it."""
+
+    def groups(s: Column) -> Column:
+        return let(
+            prefix_maxima(F.transform(s, lambda x: x["end"])),
+            lambda most: let(
+                F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(most, i - 1))),
+                lambda firsts: F.transform(
+                    firsts,
+                    lambda i, k: F.struct(
+                        F.get(s, i)["start"].alias("start"),
+                        F.get(most, F.coalesce(F.get(firsts, k + 1), F.size(s)) - 1).alias("end"),
+                        F.get(s, i)["tag"].alias("tag"),
+                    ),
+                ),
+            ),
+        )
+
+    return let(F.array_sort(spans), lambda s: F.when(F.size(s) == 0, s).otherwise(groups(s)))
+
+
+def replaced(text: Column, spans: Column, put: Callable[[Column], Column]) -> Column:
+    """The text with ``put`` of each span in its place; spans are in order and apart."""
+
+    def part(blocks: Column, a: Column, b: Column) -> Column:
+        of = lambda i: F.coalesce(F.get(blocks, F.floor(i / CHARACTERS).cast("int")), F.lit(""))
+        first, last = F.floor(a / CHARACTERS).cast("int"), F.floor(b / CHARACTERS).cast("int")
+        between = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        return F.when(first == last, F.substring(of(a), a % CHARACTERS + 1, b - a)).otherwise(
+            F.concat(F.substring(of(a), a % CHARACTERS + 1, F.lit(CHARACTERS)), between, F.substring(of(b), F.lit(1), b % CHARACTERS))
+        )
+
+    def whole(blocks: Column) -> Column:
+        pieces = F.transform(
+            spans, lambda s, i: F.concat(part(blocks, F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"]), s["start"]), put(s))
+        )
+        return F.concat(F.array_join(pieces, ""), part(blocks, F.element_at(spans, -1)["end"], F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHARACTERS}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(let(blocks, whole))
+
+
+def apart(spans: Column) -> Column:
+    """Of spans in any order, the first, and each that begins after the last one taken; of those with one begin the longest."""
+    none = F.array().cast(EMPTY)
+
+    def take(acc: Column, s: Column) -> Column:
+        more = F.struct(F.concat(acc["taken"], F.array(s)).alias("taken"), s["end"].alias("last"))
+        return F.when(s["start"] >= acc["last"], more).otherwise(acc)
+
+    def block(acc: Column, part: Column) -> Column:
+        start = F.struct(none.alias("taken"), acc["last"].alias("last"))
+        return let(
+            F.aggregate(part, start, take),
+            lambda got: F.struct(F.concat(acc["taken"], F.array(got["taken"])).alias("taken"), got["last"].alias("last")),
+        )
+
+    start = F.struct(F.array().cast(f"array<{EMPTY}>").alias("taken"), F.lit(0).alias("last"))
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s.alias("span")))
+    return let(
+        F.transform(F.array_sort(keyed), lambda k: k["span"]),
+        lambda s: F.when(F.size(s) == 0, none).otherwise(F.aggregate(_cut(s, BLOCK), start, block, lambda acc: F.flatten(acc["taken"]))),
+    )
+
+
 def _luhn(digits: Column) -> Column:
     """Whether the checksum of a digit string is right."""
     doubled = F.transform(
@@ -138,31 +232,38 @@ def _passing(kind: str, wanted: bool = True) -> Callable[[Column], Column]:
     return lambda s: CHECKS[kind](s["value"]) == F.lit(wanted)
 
 
-def _overlaps(x: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+def _passing(kind: str) -> Callable[[Column], Column]:
+    return lambda s: CHECKS[kind](s["value"])
+
+
+def _tagged(kind: str) -> Callable[[Column], Column]:
+    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("tag"))
 
 
 def _proposed(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with ``__text``, an array of kept spans for each kind, and ``__wide``: the other proposals."""
-    value = F.col("__text")
-    some = value.rlike("[0-9@]")
+    value, masked = F.col("__text"), F.col("__masked")
+    some = lambda t: t.rlike("[0-9@]")
+    of = lambda t, k: matches(t, PATTERNS[k], some(t) & F.contains(t, F.lit(GUARD[k])))
     out = docs.withColumn("__text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    out = out.select("*", *[matches(value, PATTERNS[k], some & F.contains(value, F.lit(GUARD[k]))).alias(f"__raw_{k}") for k in KINDS])
+    out = out.select("*", *[of(value, k).alias(f"__raw_{k}") for k in KINDS])
     out = out.select("*", *[F.filter(f"__raw_{k}", _passing(k)).alias(f"__{k}") for k in KINDS])
-    kept = F.concat(*[F.col(f"__{k}") for k in KINDS])
-    failed = F.concat(*[F.filter(f"__raw_{k}", _passing(k, False)) for k in KINDS if k != "email"])
-    out = out.withColumn("__kept", kept)
-    wide = F.concat(matches(value, TOKEN, some), F.filter(failed, lambda s: F.length(s["value"]) > 1))
-    return out.withColumn("__wide", wide).drop(*[f"__raw_{k}" for k in KINDS])
+    kept = merged(F.concat(*[F.transform(f"__{k}", _tagged(k)) for k in KINDS]))
+    out = out.withColumn("__held", kept)
+    out = out.withColumn("__masked", replaced(value, F.col("__held"), lambda s: F.repeat(F.lit(MASK), s["end"] - s["start"])))
+    tokens = F.filter(matches(masked, TOKEN, some(masked)), lambda s: ~F.contains(s["value"], F.lit(MASK)))
+    wide = F.concat(tokens, *[F.filter(of(masked, k), lambda s: F.length(s["value"]) > 1) for k in KINDS if k != "email"])
+    return out.withColumn("__wide", wide).drop("__held", "__masked", *[f"__raw_{k}" for k in KINDS])
+
 
+def _flag(c: Column) -> Column:
+    return c.cast("int").cast("double")
 
-def _features(text: Column, span: Column) -> list[Column]:
+
+def _format(span: Column) -> list[Column]:
+    """FORMAT of a span."""
     value = span["value"]
     size = lambda p: F.length(F.regexp_replace(value, p, "")).cast("double")
-    begin = F.greatest(span["start"] - BEFORE, F.lit(0))
-    left = F.substring(text, begin + 1, span["start"] - begin)
-    right = F.substring(text, span["end"] + 1, F.lit(AFTER))
-    flag = lambda c: c.cast("int").cast("double")
     return [
         F.length(value).cast("double"),
         size("[^0-9]"),
@@ -173,29 +274,67 @@ def _features(text: Column, span: Column) -> list[Column]:
         size("[^ ()]"),
         size("[^0-9a-fA-F]"),
         size("[^A-Z]"),
-        flag(value.startswith("+")),
-        flag(left.rlike("[:=]\\s*[\"']?$")),
-        flag(left.rlike(SECRET)),
-        flag(left.rlike(CONTACT)),
-        flag(right.rlike("^[\"']")),
-        flag(value.rlike("[0-9]") & value.rlike("[A-Za-z]")),
+        F.size(F.array_distinct(F.split(value, ""))).cast("double"),
+        _flag(value.startswith("+")),
+        _flag(value.rlike("[0-9]") & value.rlike("[A-Za-z]")),
         size("[A-Za-z0-9.@ ()_+-]"),
     ]
 
 
-def _score(model, names: list[str]) -> Callable[[list[Column]], Column]:
-    """The fitted trees as one expression: the probability of the positive class."""
+def _context(span: Column) -> list[Column]:
+    """CONTEXT of a span."""
+    left, right = span["left"], span["right"]
+    return [
+        _flag(left.rlike("[:=]\\s*[\"']?$")),
+        _flag(left.rlike(SECRET)),
+        _flag(left.rlike(CONTACT)),
+        _flag(left.rlike(IDENTITY)),
+        _flag(right.rlike("^[\"']")),
+    ]
+
+
+def _by_context(span: Column) -> Column:
+    return (span["left"].rlike(SECRET) | span["left"].rlike(IDENTITY)) & (F.length(span["value"]) >= LEAST_LENGTH)
+
+
+def _by_format(span: Column) -> Column:
+    return span["value"].rlike(SHAPE)
+
+
+def _planted(lefts: list[str], number: int = PLANTED, seed: int = 9) -> list[tuple[str, str, str, bool]]:
+    """Seeded values of rare kinds: value, left, right, whether a word before it names its kind."""
+    r = random.Random(seed)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    digit, upper, lower, hexes = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+    kinds = [
+        (lambda: f"{some(digit, 3)}-{some(digit, 2)}-{some(digit, 4)}", ["SSN: ", "ssn ", "Social Security number: "]),
+        (lambda: some(upper, 2) + some(digit, r.randrange(14, 26)), ["IBAN: ", "iban ", "account "]),
+        (lambda: "AKIA" + some(upper + digit, 16), ["access_key = ", "access key: ", 'token: "']),
+        (lambda: some(hexes, r.choice([16, 20, 32, 40, 64])), ["secret=", "api_key: ", "auth = '"]),
+        (lambda: "sk_" + some(lower + upper + digit, r.randrange(20, 40)), ["api-key=", 'secret: "']),
+    ]
+    rows = []
+    for i in range(number):
+        value, before = kinds[i % len(kinds)]
+        named = i // len(kinds) % 2 == 0 or not lefts
+        left = r.choice(before) if named else r.choice(lefts)
+        rows.append((value(), left[-BEFORE:], '"' if left.endswith('"') else "'" if left.endswith("'") else " ", named))
+    return rows
+
+
+def _score(model) -> Callable[[Column], Column]:
+    """The fitted trees as one expression over an array of features: the probability of the positive class."""
 
-    def tree(node, values: list[Column]) -> Column:
+    def tree(node, values: Column) -> Column:
         if node.getClass().getSimpleName() == "LeafNode":
             return F.lit(float(node.prediction()))
         split = node.split()
-        low = values[split.featureIndex()] <= F.lit(float(split.threshold()))
+        low = F.get(values, F.lit(split.featureIndex())) <= F.lit(float(split.threshold()))
         return F.when(low, tree(node.leftChild(), values)).otherwise(tree(node.rightChild(), values))
 
     roots = [(float(w), t._call_java("rootNode")) for w, t in zip(model.treeWeights, model.trees)]
 
-    def probability(values: list[Column]) -> Column:
+    def probability(values: Column) -> Column:
         margin = F.lit(0.0)
         for weight, root in roots:
             margin = margin + F.lit(weight) * tree(root, values)
@@ -204,41 +343,77 @@ def _score(model, names: list[str]) -> Callable[[list[Column]], Column]:
     return probability
 
 
-Selector = Callable[[Column, Column], Column]
+Selector = Callable[[Column], Column]
+VIEWS: dict[str, tuple[list[str], Callable[[Column], list[Column]]]] = {"format": (FORMAT, _format), "context": (CONTEXT, _context)}
+
+
+def threshold_of(bins: list[tuple[int, int, int]]) -> float:
+    """Least threshold from 0.5 on above which PRECISION of the counted (bin of BINS, number, personal ones) is kept."""
+    bins = sorted(bins, reverse=True)
+    number = good = 0
+    lowest = -1
+    for i, (_, n, y) in enumerate(bins):
+        number, good = number + n, good + y
+        if good >= PRECISION * number:
+            lowest = i
+    return 0.5 if lowest + 1 == len(bins) else max(0.5, (bins[lowest + 1][0] + 1) / BINS)
 
 
 def train_selector(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Selector | None:
-    """Fit the trees on at most ``sample`` proposals (least hash first); a test of (text, span)."""
-    rows = _proposed(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")), "text")
-    kept = F.col("__kept")
-    both = F.concat(F.transform("__wide", lambda s: s), kept)
-    labelled = F.transform(
-        both,
-        lambda s: F.struct(
-            *[f.alias(n) for f, n in zip(_features(F.col("__text"), s), NAMES)],
-            _overlaps(s, kept).cast("int").alias("known"),
-            F.xxhash64(F.col("id"), s["start"], s["value"]).alias("turn"),
+    """Fit the trees on at most ``sample`` proposals of about as many documents (least hash first); a test of a span."""
+    spark = docs.sparkSession
+    docs = docs.select(F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`")).alias("doc"), F.col(f"`{text}`").alias("text"))
+    held_out = F.pmod("doc", F.lit(FOLDS)) == 0
+    # Documents are cut by their hash before anything is sorted, so that a task holds its share of the sample and not the whole.
+    cut = 2 * int(min(1.0, sample / max(docs.count(), 1) * FOLDS / (FOLDS - 1)) * 2**62) - 1
+    chosen = docs.filter(~held_out & (F.shiftrightunsigned("doc", 1) <= cut)).dropDuplicates(["doc"])
+    rows = _proposed(chosen, "text")
+    marked = lambda c, known: F.transform(c, lambda s: F.struct(s.alias("s"), F.lit(known).alias("known")))
+    kept = F.concat(*[marked(f"__{k}", True) for k in KINDS])
+    rows = rows.select("doc", F.explode(F.concat(marked("__wide", False), kept)).alias("x")).select("doc", "x.s", "x.known")
+    turn = F.xxhash64("doc", F.col("s.start"), F.col("s.value"))
+    rows = materialize(rows.orderBy(turn, "known").limit(sample).select("s", "known"), "proposals")
+    lefts = [r["l"] for r in rows.filter("not known").select(F.col("s.left").alias("l")).limit(200).collect()]
+    if not lefts:
+        return None
+    planted = spark.createDataFrame(_planted(lefts), "value string, left string, right string, named boolean")
+    span = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), "value", "left", "right")
+    planted = planted.select(span.alias("s"), "named")
+    s, known = F.col("s"), F.col("known")
+    labelled = {
+        "format": rows.select("s", (known | _by_context(s)).alias("y")).union(planted.select("s", F.lit(True))),
+        "context": rows.select("s", (known | _by_format(s)).alias("y")).union(planted.filter("named").select("s", F.lit(True))),
+    }
+    scores = {}
+    for view, (names, features) in VIEWS.items():
+        table = labelled[view].select(F.col("y").cast("double").alias("label"), *[f.alias(n) for n, f in zip(names, features(s))])
+        table = materialize(VectorAssembler(inputCols=names, outputCol="features").transform(table).select("label", "features"), "views")
+        if table.select("label").distinct().count() < 2:
+            continue
+        scores[view] = _score(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(table))
+    probability = lambda view, x: let(F.array(*VIEWS[view][1](x)), scores[view])
+    # Thresholds: proposals of all documents that are held out, counted by bin of their scores.
+    judged = F.transform(
+        "__wide",
+        lambda x: F.struct(
+            (_by_context(x) | _by_format(x)).alias("y"), *[F.floor(probability(v, x) * BINS).cast("int").alias(v) for v in scores]
         ),
     )
-    flat = rows.select(F.explode(labelled).alias("x")).select("x.*")
-    flat = flat.orderBy("turn").limit(sample)
-    label = F.greatest("known", ((F.col("secret") > 0) & (F.col("length") >= 6)).cast("int")).cast("double")
-    flat = materialize(flat.withColumn("label", label), "proposals")
-    fit, held = flat.filter("pmod(turn, 4) <> 0"), flat.filter("pmod(turn, 4) = 0")
-    if fit.select("label").distinct().count() < 2:
-        return None
-    join = VectorAssembler(inputCols=NAMES, outputCol="features")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(join.transform(fit))
-    scored = model.transform(join.transform(held)).select(vector_to_array("probability")[1].alias("p"), "label")
-    pairs = sorted(((r["p"], r["label"]) for r in scored.collect()), reverse=True)  # at most the sample
-    good, threshold = 0.0, 1.1
-    for i, (p, y) in enumerate(pairs):
-        good += y
-        last = i + 1 == len(pairs) or pairs[i + 1][0] < p
-        if last and good >= PRECISION * (i + 1) and p >= 0.5:
-            threshold = p
-    score = _score(model, NAMES)
-    return lambda t, span: score(_features(t, span)) >= F.lit(threshold - 1e-9)
+    held = _proposed(docs.filter(held_out), "text").select(F.explode(judged).alias("x")).select("x.*")
+    limits = {}
+    counted = [F.struct(F.lit(v).alias("view"), F.col(v).alias("bin")) for v in scores]
+    if counted:
+        counts = held.select("y", F.explode(F.array(*counted)).alias("x")).filter(F.col("x.bin") >= BINS // 2)
+        counts = counts.groupBy("x.view", "x.bin").agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("good")).collect()  # at most BINS a view
+        limits = {v: threshold_of([(c["bin"], c["n"], c["good"]) for c in counts if c["view"] == v]) for v in scores}
+
+    def selects(x: Column) -> Column:
+        out = F.lit(False)
+        for view, limit in limits.items():
+            out = out | (probability(view, x) >= F.lit(limit))
+        return out
+
+    return selects
 
 
 def _spans(docs: DataFrame, text: str, selector: Selector | None) -> DataFrame:
@@ -246,15 +421,7 @@ def _spans(docs: DataFrame, text: str, selector: Selector | None) -> DataFrame:
     rows = _proposed(docs, text)
     if selector is None:
         return rows.withColumn("__other", F.array().cast(EMPTY))
-    chosen = F.filter("__wide", lambda s: selector(F.col("__text"), s))
-    rows = rows.withColumn("__chosen", chosen)
-    free = F.array_sort(F.filter("__chosen", lambda s: ~_overlaps(s, F.col("__kept"))))
-    apart = F.aggregate(
-        free,
-        F.array().cast(EMPTY),
-        lambda acc, s: F.when((F.size(acc) == 0) | (s["start"] >= F.element_at(acc, -1)["end"]), F.concat(acc, F.array(s))).otherwise(acc),
-    )
-    return rows.withColumn("__other", F.when(F.size("__chosen") == 0, F.array().cast(EMPTY)).otherwise(apart))
+    return rows.withColumn("__chosen", F.filter("__wide", selector)).withColumn("__other", apart(F.col("__chosen")))
 
 
 def personal_data(docs: DataFrame, selector: Selector | None, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,10 +440,6 @@ def personal_data(docs: DataFrame, selector: Selector | None, id: str = "doc_id"
     )
 
 
-def _tagged(kind: str) -> Callable[[Column], Column]:
-    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("tag"))
-
-
 def redact(docs: DataFrame, selector: Selector | None, text: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets; same columns.
 
@@ -284,39 +447,7 @@ def redact(docs: DataFrame, selector: Selector | None, text: str = "text") -> Da
     """
     names = docs.columns
     rows = _spans(docs, text, selector)
-    tagged = F.concat(
-        *[
-            F.transform(f"__{k}", _tagged(k))
-            for k in [*KINDS, "other"]
-        ]
-    )
-    merged = F.aggregate(
-        F.array_sort(tagged),
-        F.array().cast("array<struct<start:int,end:int,tag:string>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(acc, -1)["start"].alias("start"),
-                        F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"),
-                        F.element_at(acc, -1)["tag"].alias("tag"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    rows = rows.withColumn("__merged", F.when(F.size(tagged) == 0, F.array().cast("array<struct<start:int,end:int,tag:string>>")).otherwise(merged))
-    spans, value = F.col("__merged"), F.col("__text")
-    pieces = F.transform(
-        spans,
-        lambda s, i: let(
-            F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"]),
-            lambda last: F.concat(F.substring(value, last + 1, s["start"] - last), s["tag"]),
-        ),
-    )
-    tail = F.substring(value, F.element_at(spans, -1)["end"] + 1, F.length(value))
-    done = F.when(F.size(spans) == 0, F.col(f"`{text}`")).otherwise(F.concat(F.array_join(pieces, ""), tail))
-    rows = rows.withColumn("__done", done)
+    rows = rows.withColumn("__merged", merged(F.concat(*[F.transform(f"__{k}", _tagged(k)) for k in [*KINDS, "other"]])))
+    done = replaced(F.col("__text"), F.col("__merged"), lambda s: s["tag"])
+    rows = rows.withColumn("__done", F.when(F.col(f"`{text}`").isNotNull(), done))
     return rows.select(*[F.col("__done").alias(text) if c == text else F.col(f"`{c}`") for c in names])
