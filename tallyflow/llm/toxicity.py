@@ -117,6 +117,13 @@ def fold(id: str) -> Column:
     return F.crc32(F.col(id).cast("string").cast("binary")) % FOLDS
 
 
+def _least(turn: Column, want: int, total: int) -> Column:
+    """Whether a hash is among somewhat more than the ``want`` least of ``total``: a cut before a sort, so that a task
+    of the sort holds its share of the sample and not the whole."""
+    share = (1.3 * want + 1000) / max(total, 1)
+    return F.lit(True) if share >= 1 else turn <= F.lit(int(share * 2**64) - 2**63)
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -136,9 +143,12 @@ def train(
         return nothing
     prior = min(max(total["p"] / total["n"], 1e-4), 0.5)
     turn = F.xxhash64("id")
-    toxic = ids.filter("toxic = 1").select("id", F.lit(1).alias("p")).orderBy(turn).limit(positives)
-    any_ = docs.select(F.col(id).alias("id")).filter(fold("id") != 0).distinct()
-    any_ = any_.select("id", F.lit(0).alias("p")).orderBy(F.xxhash64("id", F.lit(1))).limit(unlabelled)
+    toxic = ids.filter("toxic = 1").filter(_least(turn, positives, total["p"]))
+    toxic = toxic.select("id", F.lit(1).alias("p")).orderBy(turn).limit(positives)
+    other = F.xxhash64("id", F.lit(1))
+    training = docs.select(F.col(id).alias("id")).filter(fold("id") != 0)
+    any_ = training.filter(_least(other, unlabelled, training.agg(F.approx_count_distinct("id")).first()[0])).distinct()
+    any_ = any_.select("id", F.lit(0).alias("p")).orderBy(other).limit(unlabelled)
     chosen = toxic.union(any_)  # at most positives + unlabelled ids, so it may be broadcast
     sample = materialize(
         docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("p", "text"), "toxicity"
