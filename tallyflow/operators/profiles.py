@@ -6,6 +6,11 @@ holds the counted value and the traffic of a single busy address spreads over
 all tasks. The second only adds up what is left per address, after a map-side
 combine. The same plan runs on a stream, where every distinct value is one small
 state row and no address owns an ever-growing set.
+
+In batch, sources that are not busy in their window take a shorter way: their few
+values are gathered as sets in one aggregation, so a flow is shuffled once and not
+once per counted column. A sample finds the busy ones; it decides only which way a
+source goes, and both ways count exactly.
 """
 
 from __future__ import annotations
@@ -91,7 +96,9 @@ def _null_free(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str], list
     return df.withColumns(columns), list(columns), back
 
 
-SOURCE_COUNTED = ["sampledFlow", "dstAddr", "dstPort", "vlanID"]  # in a stream
+SOURCE_COUNTED = ["sampledFlow", "dstAddr", "dstPort", "vlanID"]
+SAMPLED = 1024  # one of so many flows, told by a hash of what is counted, is looked at for busy sources
+BUSY = 64  # flows in that sample from which on a source is busy in its window
 DEST_COUNTED = ["sampledFlow", "srcAddr", "srcPort"]
 SOURCE_FROM = {
     "sumOfFlows": "sampledFlow",
@@ -114,27 +121,43 @@ def source_profile(
 ) -> DataFrame:
     """Six measures per source; one row per VLAN of the source, each with whole-source totals.
 
-    ``sumOfFlows`` counts distinct sequence numbers; NULL counts as a value. In
-    batch the VLANs come from a second, three-column scan joined on the unique
-    (window, source). A stream cannot join two aggregates cheaply, so there the
-    VLANs are a fourth grouping set, gathered per source; the list is bounded by
-    the VLAN id space (12 bits).
+    ``sumOfFlows`` counts distinct sequence numbers; NULL counts as a value. VLANs
+    are gathered per source; the list is bounded by the VLAN id space (12 bits).
     """
     flows, window = with_window(flows, seconds)
     by = window + ["srcAddr"]
-    counted = ["sampledFlow", "dstAddr", "dstPort"]
-    if not flows.isStreaming:
-        flows, keys, back = _null_free(flows, by)
-        if approx:
-            totals = flows.groupBy(*keys).agg(*_approximate(SOURCE_FROM))
-        else:
-            totals = _distinct_values(flows, keys, counted).groupBy(*keys).agg(*_measures(counted, SOURCE_FROM))
-        vlans = flows.select(*keys, "vlanID").distinct()
-        return totals.join(vlans, keys).select(*back[:-1], "vlanID", back[-1], *SOURCE_FROM)
-    if not approx:
+    if approx:
+        totals = flows.groupBy(*by).agg(F.collect_set(F.struct("vlanID")).alias("vlans"), *_approximate(SOURCE_FROM))
+        return _source_rows(totals, by)
+    if flows.isStreaming:
         return source_of_values(_distinct_values(flows, by, SOURCE_COUNTED), by)
-    totals = flows.groupBy(*by).agg(F.collect_set(F.struct("vlanID")).alias("vlans"), *_approximate(SOURCE_FROM))
-    return _source_rows(totals, by)
+    flows, keys, back = _null_free(flows, by)
+    busy = F.broadcast(_busy(flows, keys))  # AQE drops the second branch if there is none
+    few = _source_rows(_gathered(flows.join(busy, keys, "left_anti"), keys), keys)
+    many = source_of_values(_distinct_values(flows.join(busy, keys, "left_semi"), keys, SOURCE_COUNTED), keys)
+    return few.unionByName(many).select(*back[:-1], "vlanID", back[-1], *SOURCE_FROM)
+
+
+def _busy(flows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sources with about ``SAMPLED * BUSY`` different flows or more in a window: at most one row for so many flows."""
+    drawn = F.pmod(F.xxhash64(*SOURCE_COUNTED), F.lit(SAMPLED)) == 0
+    counted = flows.filter(drawn).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter(F.col("n") >= BUSY).select(*keys)
+
+
+def _gathered(flows: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals and VLANs of sources that are not busy, from sets of their values, in one shuffle."""
+    sums = {"bytes": "numBytes", "packets": "numPackets"}
+    made = [
+        F.sum(sums[what]).alias(output) if what in sums else _few_distinct(what).alias(output)
+        for output, what in SOURCE_FROM.items()
+    ]
+    return flows.groupBy(*keys).agg(F.collect_set(F.struct("vlanID")).alias("vlans"), *made)
+
+
+def _few_distinct(name: str) -> Column:
+    """How many values a column has; NULL counts as one. For few values: they are gathered."""
+    return F.size(F.collect_set(name)) + F.max(F.col(name).isNull().cast("bigint"))
 
 
 def source_of_values(values: DataFrame, by: list[str]) -> DataFrame:
@@ -146,7 +169,7 @@ def source_of_values(values: DataFrame, by: list[str]) -> DataFrame:
 
 def _source_rows(totals: DataFrame, by: list[str]) -> DataFrame:
     rows = totals.select(*by, F.explode("vlans").alias("vlan"), *SOURCE_FROM)
-    return _name_window(rows.select(*by[:-1], "vlan.vlanID", "srcAddr", *SOURCE_FROM))
+    return _name_window(rows.select(*by[:-1], "vlan.vlanID", by[-1], *SOURCE_FROM))
 
 
 def dest_profile(

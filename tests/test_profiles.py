@@ -117,3 +117,25 @@ def test_distinct_values_are_spread_before_they_are_counted(spark):
     assert "Expand" in plan and "collect_" not in plan
     scan = [line for line in plan.splitlines() if "ReadSchema" in line]
     assert all("l_discount" not in line and "l_linestatus" not in line for line in scan)
+
+
+@pytest.mark.parametrize("limits", [(1, 1), (1, 40), (4, 10)])
+def test_busy_sources_are_counted_alike(spark, monkeypatch, limits):
+    nulls = F.when(F.col("dstPort") != 7, F.col("dstPort"))
+    df = flows_from_lineitem(spark, SMALL).withColumn("dstPort", nulls)
+    df = df.withColumn("srcAddr", F.when(F.col("srcPort") % 3 > 0, F.col("srcAddr")))  # a third of all flows in one NULL source
+    want = source(df, seconds=None)
+    monkeypatch.setattr(profiles, "SAMPLED", limits[0])
+    monkeypatch.setattr(profiles, "BUSY", limits[1])
+    assert source(df, seconds=None) == want
+    windows = profiles.source_profile(df, 7776000)
+    again = profiles.source_profile(df.repartition(5), 7776000)
+    assert windows.exceptAll(again).isEmpty() and again.exceptAll(windows).isEmpty()
+
+
+def test_flows_of_sources_that_are_not_busy_are_shuffled_once(spark):
+    profile = profiles.source_profile(flows_from_lineitem(spark, SMALL), 7776000)
+    profile.collect()
+    plan = profile._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Expand" not in plan and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning") <= 2  # the sample for busy sources, and the flows
