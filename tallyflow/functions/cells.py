@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 BLOCK = 200_000  # distances held at once; a block stays in the processor cache
+PAIRS = 200_000  # (row, box) pairs whose distances are held at once
+QUERIES = 2048  # queries that an index answers at once
 LARGEST = np.finfo(float).max  # infinite and missing distances are not found
 
 
@@ -81,20 +83,32 @@ class Cells:
         return np.minimum(np.sqrt(far), LARGEST)
 
     def within(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(row, cell)`` pairs whose box comes as near as the row's radius."""
-        row, node = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
-        for level in range(self.depth + 1):
-            gap = np.maximum(np.maximum(self.low[node] - x[row], x[row] - self.high[node]), 0.0)
+        """``(row, cell)`` pairs whose box comes as near as the row's radius.
+
+        Goes down the tree by at most ``PAIRS`` boxes at a time, so besides the pairs found it holds
+        little, however many rows or boxes there are.
+        """
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        waiting = [(0, np.arange(len(x)), np.zeros(len(x), dtype=np.int64))]
+        while waiting:
+            level, row, node = waiting.pop()
+            if len(row) > PAIRS:
+                half = len(row) // 2
+                waiting += [(level, row[half:], node[half:]), (level, row[:half], node[:half])]
+                continue
             near = np.zeros(len(row))
             for j in range(x.shape[1]):
-                near += gap[:, j] * gap[:, j]
+                gap = np.maximum(self.low[node, j] - x[row, j], x[row, j] - self.high[node, j])
+                np.maximum(gap, 0.0, out=gap)
+                near += gap * gap
             near = np.sqrt(near)
             keep = np.isfinite(near) & (near <= radius[row])
             row, node = row[keep], node[keep]
-            if level < self.depth:
-                row = np.repeat(row, 2)
-                node = np.column_stack([2 * node + 1, 2 * node + 2]).ravel()
-        return row, node - (self.leaves - 1)
+            if level == self.depth:
+                found.append((row, node - (self.leaves - 1)))
+            elif len(row):
+                waiting.append((level + 1, np.repeat(row, 2), np.column_stack([2 * node + 1, 2 * node + 2]).ravel()))
+        return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
 def depth_for(rows: int, cell_rows: int) -> int:
@@ -251,8 +265,16 @@ class Index:
         """``(query, row, dist)`` of the k nearest rows, nearest first.
 
         With ``radius``, only rows that near. Without, the query's own cell gives the radius, or, if it has
-        fewer than k rows to meet, the smallest box around it that has them.
+        fewer than k rows to meet, the smallest box around it that has them. ``QUERIES`` at a time.
         """
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for begin in range(0, len(x), QUERIES):
+            part = slice(begin, begin + QUERIES)
+            query, row, dist = self._search(x[part], apart[part], k, None if radius is None else radius[part])
+            found.append((query + begin, row, dist))
+        return tuple(np.concatenate(parts) for parts in zip(*found))
+
+    def _search(self, x: np.ndarray, apart: np.ndarray, k: int, radius: np.ndarray | None):
         home = np.full(len(x), -1)
         known = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         if radius is None:

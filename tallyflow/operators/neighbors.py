@@ -57,6 +57,7 @@ def unusable(reference: DataFrame, features: list[str] = FEATURES) -> int:
     return reference.filter(~usable(features)).count()
 
 
+SLICE = 256  # queries whose cells in reach a task holds at once
 NO_GROUP, ANY_GROUP = -1, -2  # apart value of queries and of rows when nothing is excluded
 
 
@@ -234,11 +235,10 @@ class NeighborModel:
         home = self._meet(points.withColumn("radius", F.lit(None).cast("double")), k)
         if self.crowded:  # otherwise every query has met its cell in one task
             home = home.groupBy("query").agg(_best("neighbors", k).alias("neighbors"))
-        home = points.join(home, "query", "left")
-        kth = F.get("neighbors", F.lit(k - 1))["dist"]
-        found = _visits(self.shared_cells, k)(*self.features, "apart", "cell", kth)
-        home = materialize(home.withColumn("reach", found), "neighbor-home")
-        reach = home.select(*self.features, "apart", "query", "reach.radius", F.explode("reach.cells").alias("cell"))
+        home = materialize(points.join(home, "query", "left"), "neighbor-home")
+        kth = F.get("neighbors", F.lit(k - 1))["dist"].alias("kth")
+        reach = materialize(_visits(home.select(*points.columns, kth), self.shared_cells, self.features, k), "neighbor-reach")
+        reach = reach.select(*self.features, "apart", "query", "radius", F.explode("cells").alias("cell"))
         far = self._meet(reach, k)
         every = home.filter("neighbors IS NOT NULL").select("query", "neighbors").unionByName(far)
         # at most k entries per visited cell and block
@@ -295,27 +295,34 @@ def _best(lists: str, k: int) -> Column:
     return F.slice(F.sort_array(F.flatten(F.collect_list(lists))), 1, k)
 
 
-def _visits(shared, k: int):
-    """Radius within which a query has its neighbours, and the other cells in it. The last column is the k-th distance found, if any."""
-    kind = T.StructType([T.StructField("radius", T.DoubleType()), T.StructField("cells", T.ArrayType(T.LongType()))])
+def _visits(home: DataFrame, shared, features: list[str], k: int) -> DataFrame:
+    """Queries (vector, apart, query) with the ``radius`` within which they have their neighbours, and the other ``cells`` in it.
 
-    @F.arrow_udf(kind)
-    def visits(*columns: pa.Array) -> pa.Array:
+    ``kth`` is the k-th distance that a query has found in its own cell, if any. A task works through ``SLICE``
+    queries at a time and hands them on, so what it holds does not grow with the cells.
+    """
+    kept = [*features, "apart", "query"]
+
+    def visits(batches):
         cells = Cells(*shared.value)
-        x, n = _matrix(columns[:-3]), len(columns[0])
-        apart, home = (c.to_numpy(zero_copy_only=False) for c in columns[-3:-1])
-        radius = columns[-1].to_numpy(zero_copy_only=False).astype(float)
-        short = np.flatnonzero(np.isnan(radius))
-        radius[short] = cells.reach(x[short], home[short], apart[short] >= 0, k)
-        near, cell = cells.within(x, radius)
-        other = cell != home[near]
-        near, cell = near[other], cell[other]
-        order = np.argsort(near, kind="stable")
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(near, minlength=n))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell[order]))
-        return pa.StructArray.from_arrays([pa.array(radius), lists], names=["radius", "cells"])
-
-    return visits.asNondeterministic()
+        for whole in batches:
+            for begin in range(0, len(whole), SLICE):
+                batch = whole.slice(begin, SLICE)
+                x, n = _matrix([batch.column(f) for f in features]), len(batch)
+                apart, own, radius = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("apart", "cell", "kth"))
+                radius = radius.astype(float)
+                short = np.flatnonzero(np.isnan(radius))
+                radius[short] = cells.reach(x[short], own[short], apart[short] >= 0, k)
+                near, cell = cells.within(x, radius)
+                other = cell != own[near]
+                near, cell = near[other], cell[other]
+                order = np.argsort(near, kind="stable")
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(near, minlength=n))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell[order]))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(radius), lists], [*kept, "radius", "cells"])
+
+    found = [T.StructField("radius", T.DoubleType()), T.StructField("cells", T.ArrayType(T.LongType()))]
+    return home.mapInArrow(visits, T.StructType([home.schema[c] for c in kept] + found))
 
 
 _QUERY_FIELDS = [T.StructField("query", T.LongType()), T.StructField("neighbors", NEIGHBOR_TYPE)]

@@ -157,3 +157,23 @@ def test_reach_is_finite_and_holds_the_neighbours():
             dist = np.sqrt(sum((v[j] - ref[:, j]) ** 2 for j in range(5)))
             for g in range(3):
                 assert (dist[group != g] <= reach[i]).sum() >= min(k, (group != g).sum())
+
+
+def test_boxes_in_reach_are_found_in_bounded_memory():
+    import tracemalloc
+
+    ref, x = _data(15, 4000, "normal"), _data(16, 4000, "normal")
+    cells = build_cells(ref, 8)
+    cell = cells.assign(ref)
+    used, size = np.unique(cell, return_counts=True)
+    low, high = (np.array([f(ref[cell == c], axis=0) for c in used]) for f in (np.min, np.max))
+    cells.set_boxes(used, low, high, size, size)
+    radius = np.full(len(x), 1.5)
+    tracemalloc.start()
+    row, found = cells.within(x, radius)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    gap = np.maximum(np.maximum(low[None] - x[:, None], x[:, None] - high[None]), 0)
+    want = np.argwhere(np.sqrt((gap * gap).sum(axis=2)) <= 1.5)
+    assert sorted(zip(row, found)) == [(r, used[c]) for r, c in want]
+    assert len(row) > 300_000 and peak < 100 * len(row)
