@@ -224,7 +224,7 @@ def source_profile(spark, sf_dir):
 
 @query
 def dest_profile(spark, sf_dir):
-    return profiles.dest_profile(flows_from_lineitem(spark, sf_dir), BATCH_WIDTH)
+    return profiles.dest_profile(flows_from_lineitem(spark, sf_dir), BATCH_WIDTH, gather=True)
 
 
 def _near(kind: str, exact: DataFrame, flows: DataFrame) -> DataFrame:

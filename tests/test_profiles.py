@@ -139,3 +139,15 @@ def test_flows_of_sources_that_are_not_busy_are_shuffled_once(spark):
     plan = profile._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "Expand" not in plan and "SortMergeJoin" not in plan
     assert plan.count("Exchange hashpartitioning") <= 2  # the sample for busy sources, and the flows
+
+
+@pytest.mark.parametrize("limits", [(1, 1), (1, 3), (1024, 64)])
+def test_gathered_destinations_equal_those_by_grouping_sets(spark, monkeypatch, limits):
+    monkeypatch.setattr(profiles, "SAMPLED", limits[0])
+    monkeypatch.setattr(profiles, "BUSY", limits[1])
+    df = flows_from_lineitem(spark, SMALL).withColumn("srcPort", F.when(F.col("srcPort") != 1030, F.col("srcPort")))
+    df = df.withColumn("dstAddr", F.when(F.col("dstPort") % 3 > 0, F.col("dstAddr")))
+    for seconds in (None, 7776000):
+        want, got = (profiles.dest_profile(df, seconds, gather=g) for g in (False, True))
+        assert want.schema.names == got.schema.names
+        assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
