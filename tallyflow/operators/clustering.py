@@ -94,6 +94,12 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES])
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows without those equal to the row before, and how many each stands for: the VLAN rows of a source are equal."""
+    first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(axis=1)))[: len(x)]
+    return x[first], np.diff(np.append(first, len(x))).astype(float)
+
+
 def cluster_moments(df: DataFrame, centers: Centers) -> DataFrame:
     """Rows, feature sums and sum of squared lengths per k and centre, in one pass for all k.
 
@@ -107,8 +113,8 @@ def cluster_moments(df: DataFrame, centers: Centers) -> DataFrame:
         total = np.zeros((len(every), len(FEATURES) + 2))
         for batch in batches:
             for begin in range(0, len(batch), ROWS):
-                x = _matrix(batch.slice(begin, ROWS))
-                held = np.column_stack([np.ones(len(x)), x, (x * x).sum(axis=1)])
+                x, many = _runs(_matrix(batch.slice(begin, ROWS)))
+                held = np.column_stack([np.ones(len(x)), x, (x * x).sum(axis=1)]) * many[:, None]
                 for _, first, last in places:
                     near = _nearest(x, every, first, last)
                     for j in range(held.shape[1]):
@@ -159,8 +165,8 @@ def silhouettes(df: DataFrame, centers: Centers) -> DataFrame:
         totals, n = np.zeros(len(places)), 0
         for batch in batches:
             for begin in range(0, len(batch), ROWS):
-                x = _matrix(batch.slice(begin, ROWS))
-                n += len(x)
+                x, many = _runs(_matrix(batch.slice(begin, ROWS)))
+                n += int(many.sum())
                 length = (x * x).sum(axis=1)
                 for i, (_, first, last) in enumerate(places):
                     m = held[first:last]
@@ -174,7 +180,7 @@ def silhouettes(df: DataFrame, centers: Centers) -> DataFrame:
                     outside = away.min(axis=1)
                     largest = np.maximum(inside, outside)
                     share = np.divide(outside - inside, largest, out=np.zeros(len(x)), where=largest > 0)
-                    totals[i] += share[own > 1].sum() if np.isfinite(outside).all() else np.nan
+                    totals[i] += (share * many)[own > 1].sum() if np.isfinite(outside).all() else np.nan
         columns = [pa.array([k for k, _, _ in places], pa.int32()), pa.array(totals), pa.array(np.full(len(places), n))]
         yield pa.RecordBatch.from_arrays(columns, ["k", "total", "n"])
 

@@ -92,6 +92,26 @@ def test_one_pass_moves_the_centres_of_every_k(spark, monkeypatch, few):
     assert all(scores[k] == pytest.approx(plain_silhouette(x, plain_lloyd(x, c)[1])) for k, c in centers.items())
 
 
+def test_equal_rows_in_a_row_are_placed_once(spark, monkeypatch):
+    x, _, df = blobs(spark, rows=90)
+    real = clustering._nearest
+
+    def few(x, *where):
+        assert len(x) <= 90, "every copy was placed"
+        return real(x, *where)
+
+    monkeypatch.setattr(clustering, "_nearest", few)
+    thrice = df.coalesce(1).selectExpr("*", "explode(array(1, 2, 3)) AS vlan")  # as VLAN rows of a source
+    x, centers = np.repeat(x, 3, axis=0), {k: x[::7][:k].copy() for k in (2, 5)}
+    got = clustering.lloyd_step(thrice, centers)
+    moments = {(r.k, r.prediction): r.n for r in clustering.cluster_moments(thrice, centers).collect()}
+    scores = {r.k: r.silhouette for r in clustering.silhouettes(thrice, centers).collect()}
+    for k, c in centers.items():
+        want, near = plain_lloyd(x, c)
+        assert np.allclose(got[k], want) and [moments[k, i] for i in range(k)] == np.bincount(near, minlength=k).tolist()
+        assert scores[k] == pytest.approx(plain_silhouette(x, near))
+
+
 def test_sweep_settles_every_k(spark):
     x, _, df = blobs(spark, rows=300, classes=5, spread=0.2)
     fitted = clustering.fit_sweep(df, [2, 5, 8], max_iter=50)
