@@ -13,6 +13,7 @@ several tasks. Both give the same rows.
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -196,15 +197,22 @@ class NeighborModel:
 
     # ---- search ----
 
-    def neighbors(self, df: DataFrame, k: int | None = None, apart: str | None = None) -> DataFrame:
-        """``df`` with an array ``neighbors`` of its k nearest reference rows, nearest first."""
+    def neighbors(
+        self, df: DataFrame, k: int | None = None, apart: str | None = None, answer: Callable[[Column], Column] | None = None
+    ) -> DataFrame:
+        """``df`` with an array ``neighbors`` of its k nearest reference rows, nearest first.
+
+        With ``answer``, an array worked out from the neighbours takes their place. It must be empty for no neighbours; in the
+        distributed plan it is worked out once for every different vector.
+        """
         k = self.k if k is None else k
         if k > self.k:
             raise ValueError(f"fitted for up to {self.k} neighbours, asked for {k}")
         group = F.col(apart).cast("bigint") if apart else F.lit(NO_GROUP).cast("bigint")
         if self.index is not None:
-            return df.withColumn("neighbors", self._search_in_place(k, group))
-        return self._search_by_cell(df, k, group)
+            found = df.withColumn("neighbors", self._search_in_place(k, group))
+            return found.withColumn("neighbors", answer(F.col("neighbors"))) if answer else found
+        return self._search_by_cell(df, k, group, answer or (lambda neighbors: neighbors))
 
     def _search_in_place(self, k: int, group: Column) -> Column:
         shared = self.index
@@ -223,7 +231,7 @@ class NeighborModel:
         once = search.asNondeterministic()
         return once(*[F.col(f).cast("double") for f in self.features], group)
 
-    def _search_by_cell(self, df: DataFrame, k: int, group: Column) -> DataFrame:
+    def _search_by_cell(self, df: DataFrame, k: int, group: Column, answer: Callable[[Column], Column]) -> DataFrame:
         """Two co-grouped passes over distinct query vectors: own cell, then cells in reach."""
         keyed = df.withColumn("apart", group)
         vectors = [F.col(f).cast("double").alias(f) for f in self.features]
@@ -245,11 +253,12 @@ class NeighborModel:
         lists = every.groupBy("query").agg(_best("neighbors", k).alias("neighbors"))
         answers = home.select(*self.features, "apart", "query").join(lists, "query").drop("query")
         answers = answers.select(
-            *[F.col(f).alias(f"_{f}") for f in self.features], F.col("apart").alias("_apart"), "neighbors"
+            *[F.col(f).alias(f"_{f}") for f in self.features], F.col("apart").alias("_apart"), answer(F.col("neighbors")).alias("neighbors")
         )
+        kind = answers.schema["neighbors"].dataType
         match = [F.col(f).cast("double") == F.col(f"_{f}") for f in self.features]
         joined = keyed.join(answers, [*match, F.col("apart") == F.col("_apart")], "left")
-        neighbors = F.coalesce("neighbors", F.array().cast(NEIGHBOR_TYPE)).alias("neighbors")
+        neighbors = F.coalesce("neighbors", F.array().cast(kind)).alias("neighbors")
         return joined.select(*[keyed[c] for c in df.columns], neighbors)
 
     def _meet(self, queries: DataFrame, k: int) -> DataFrame:

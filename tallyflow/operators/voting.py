@@ -66,8 +66,8 @@ def knn_shares(
     df: DataFrame, model: NeighborModel, k: int = NEIGHBORS, weights: str = "distance", apart: str | None = None
 ) -> DataFrame:
     """``df`` with its class probabilities as the array ``shares``."""
-    found = model.neighbors(df, k, apart)
-    return found.withColumn("shares", class_shares(F.col("neighbors"), weights)).drop("neighbors")
+    found = model.neighbors(df, k, apart, lambda neighbors: class_shares(neighbors, weights))
+    return found.withColumnRenamed("neighbors", "shares")
 
 
 def knn_class_prob(df: DataFrame, model: NeighborModel, k: int = NEIGHBORS, weights: str = "distance") -> DataFrame:

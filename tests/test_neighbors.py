@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyflow.functions.cells import Index, Rows, build_cells
+from tallyflow.operators import voting
 from tallyflow.operators.neighbors import NeighborModel, unusable
 from tallyflow.schemas import FEATURES
 
@@ -177,3 +178,21 @@ def test_boxes_in_reach_are_found_in_bounded_memory():
     want = np.argwhere(np.sqrt((gap * gap).sum(axis=2)) <= 1.5)
     assert sorted(zip(row, found)) == [(r, used[c]) for r, c in want]
     assert len(row) > 300_000 and peak < 100 * len(row)
+
+
+def test_answer_once_for_every_different_vector(spark):
+    """Votes are worked out below the join that gives every row its answer, and are the same in both plans."""
+    ref, x = _data(1, 400, "heavy"), np.repeat(_data(2, 20, "heavy"), 30, axis=0)
+    rows = _frame(spark, x).unionByName(spark.createDataFrame([(600, None, 1.0, 1.0, 1.0, 1.0, 0, 0)], _frame(spark, x).schema))
+    reference = _frame(spark, ref, np.arange(400) % 5)
+    shares = [
+        voting.knn_shares(rows, NeighborModel.fit(reference, k=12, cell_rows=40, **limits), 12).select("id", "shares") for limits in LIMITS
+    ]
+    for found in shares[1:]:
+        above, _, below = found._jdf.queryExecution().optimizedPlan().toString().partition("Join")
+        assert "lambdafunction" not in above
+        assert "lambdafunction" in below
+    here, *others = [{r.id: [(s.Class, round(s.Prob, 9)) for s in r.shares] for r in found.collect()} for found in shares]
+    assert len(here) == 601
+    assert here[600] == []
+    assert all(other == here for other in others)
