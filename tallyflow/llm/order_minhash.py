@@ -55,6 +55,7 @@ SMALL = 8
 PAIRS_A_TASK = 500
 BROADCAST_NODES = 1_000_000  # 8 MB
 BLOCK_SHINGLES = 100_000  # of the texts in one block of a crowd, about
+SKETCHED_BYTES = 1 << 18  # of texts sketched together, about
 POOL = 24.0  # expected shingles below the threshold of the quick search
 
 
@@ -129,7 +130,7 @@ def _sketches(docs: DataFrame, text: str, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(1)):
+            for a, b, data, offsets in chunks(batch.column(1), SKETCHED_BYTES):
                 values, first = shingles(Words(data, offsets, ALNUM), width)
                 signs = sketch(values, first, seeds, KEPT)
                 yield pa.RecordBatch.from_arrays(
@@ -309,8 +310,10 @@ def near_links(docs: DataFrame, text: str = "text", width: int = WIDTH, similari
     band = lambda j: F.xxhash64(F.lit(j), *[F.col("signs")[j * ROWS + r] for r in range(ROWS)])
     fits = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
     keys = signs.select("node", "n", F.explode(F.array(*[band(j) for j in range(BANDS)])).alias("key"))
-    links = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
+    # Not from a Python list: that starts another pair of Python workers in every executor.
+    none = F.col("id")
+    links = spark.range(0).select(none.alias("a"), none.alias("b"))
+    roots = spark.range(0).select(none.alias("node"), none.alias("root"))
     members, tasks = _members(keys)
     texts = _texts(docs, text, members.select("node"))
     star = members.filter("node <> leader").filter(fits("n", "leader_n"))

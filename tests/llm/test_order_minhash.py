@@ -107,3 +107,15 @@ def test_odd_documents(spark):
 def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g")] * 3 + [(2, "x y z")] * 2, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in O.drop_near_duplicates(docs).collect()) == [1, 2]
+
+
+def test_no_frames_from_python_lists(spark, monkeypatch):
+    """A frame made of a Python list runs in Python workers of its own, which stay beside those of the sketches."""
+    docs = spark.createDataFrame(corpus()[:60], "doc_id long, text string").repartition(3).localCheckpoint()
+
+    def refused(*_, **__):
+        raise AssertionError("frame from a Python list")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    assert O.near_duplicates(docs).count() == 60
+    assert O.drop_near_duplicates(docs).count() < 60
