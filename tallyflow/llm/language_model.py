@@ -46,6 +46,9 @@ PIECE, SLOT = 1_000_000, 16_384  # tokens cut into lanes together; weights in on
 HIDDEN = 16
 LANES, WINDOW = 256, 64
 TRAIN_LANES, TRAIN_WINDOW, EPOCHS, RATE = 64, 24, 2, 0.01
+ROWS, BLOCK = 2048, 16_384  # states scored, weights moved at once: what a core's cache holds
+FEW = 8  # rows of a class that go with others in one product
+HALF = np.float32(0.5)
 FOLDS, HELD_OUT = 7, 2
 
 
@@ -80,8 +83,12 @@ class Lexicon:
         return np.where(hit, self.rank[at], self.words).astype(np.int32), np.where(hit, self.counts[at], -1)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+def _sigmoid_of_half(x: np.ndarray) -> np.ndarray:
+    """sigmoid(2 x), in place."""
+    np.tanh(x, out=x)
+    x *= HALF
+    x += HALF
+    return x
 
 
 class Network:
@@ -109,33 +116,38 @@ class Network:
     def classes(self, words: np.ndarray) -> np.ndarray:
         return np.where(words < self.words, words // CLASS, self.blocks + words - self.words)
 
-    def step(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-        h = self.hidden
-        back = state @ self.wh
-        z = _sigmoid(x[:, :h] + back[:, :h])
-        r = _sigmoid(x[:, h : 2 * h] + back[:, h : 2 * h])
-        n = np.tanh(x[:, 2 * h :] + r * back[:, 2 * h :])
-        return n + z * (state - n), z, r, n, back[:, 2 * h :]
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the classes and of the words in each class, the biases as a last input."""
+        return np.vstack([self.uc, self.bc]), np.concatenate([self.ui, self.bi[..., None]], 2)
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logs of the class-factored probabilities of targets after states."""
-        classes = self.classes(targets)
-        logits = states @ self.uc
-        logits += self.bc
-        rows = np.arange(len(targets))
-        out = logits[rows, classes].astype(np.float64)
-        np.exp(logits, out=logits)
-        out -= np.log(logits.sum(1))
+        outer, within = self._tables()
+        classes = self.classes(targets).astype(np.int16)
         order = np.argsort(classes, kind="stable")
         ends = np.searchsorted(classes[order], np.arange(self.blocks + 1))
+        states = np.concatenate([states, np.ones((len(states), 1), np.float32)], 1)[order]
+        targets, classes = targets[order], classes[order]
+        logs, sums = np.empty(len(order), np.float32), np.empty(len(order), np.float32)
+        ones = np.ones(max(outer.shape[1], CLASS), np.float32)
+        for a in range(0, len(order), ROWS):
+            logits = states[a : a + ROWS] @ outer
+            logs[a : a + ROWS] = logits[np.arange(len(logits)), classes[a : a + ROWS]]
+            np.exp(logits, out=logits)
+            np.dot(logits, ones[: outer.shape[1]], out=sums[a : a + ROWS])
+        total = logs - np.log(sums.astype(np.float64))
+        last = ends[self.blocks]
+        inside = targets[:last] - classes[:last] * CLASS
         for c in range(self.blocks):
-            at = order[ends[c] : ends[c + 1]]
-            if len(at):
-                inner = states[at] @ self.ui[c].T
-                inner += self.bi[c]
-                out[at] += inner[np.arange(len(at)), targets[at] - c * CLASS]
+            for a in range(ends[c], ends[c + 1], ROWS):
+                b = min(a + ROWS, ends[c + 1])
+                inner = states[a:b] @ within[c].T
+                logs[a:b] = inner[np.arange(b - a), inside[a:b]]
                 np.exp(inner, out=inner)
-                out[at] -= np.log(inner.sum(1))
+                np.dot(inner, ones[:CLASS], out=sums[a:b])
+        total[:last] += logs[:last] - np.log(sums[:last].astype(np.float64))
+        out = np.empty(len(order))
+        out[order] = total
         return out
 
     def weights(self) -> np.ndarray:
@@ -155,83 +167,22 @@ class Network:
         its own. ``share`` tokens are expected, by which the rate falls.
         """
         end = self.words + 1
-        moment = {p: np.zeros((2, *getattr(self, p).shape), np.float32) for p in self.PARTS}
-        turn = done = 0
+        learner = Learner(self)
+        done = 0
         for piece in pieces:
             lanes = min(TRAIN_LANES, max(1, len(piece) // (4 * TRAIN_WINDOW)))
             whole = len(piece) // lanes * lanes
             for part, lanes in ((piece[:whole], lanes), (piece[whole:], 1)):  # noqa: B020, PLW2901
                 stream = part.reshape(lanes, -1).T
                 given = np.concatenate([np.full((1, lanes), end), stream[:-1]])
-                state = np.zeros((lanes, self.hidden), np.float32)
+                state = np.zeros((self.hidden, lanes), np.float32)
                 for a in range(0, len(stream), TRAIN_WINDOW):
-                    turn += 1
-                    state, slopes = self._slopes(given[a : a + TRAIN_WINDOW], stream[a : a + TRAIN_WINDOW], state, end)
-                    rate = RATE * (1 - 0.9 * (epoch + min(1.0, done / max(share, 1.0))) / epochs)
-                    for p, g in slopes.items():
-                        m = moment[p]
-                        m[0] += 0.1 * (g - m[0])
-                        m[1] += 0.01 * (g * g - m[1])
-                        move = m[0] / (1 - 0.9**turn) / (np.sqrt(m[1] / (1 - 0.99**turn)) + 1e-6)
-                        setattr(self, p, (getattr(self, p) - rate * move).astype(np.float32))
+                    state = learner.slopes(given[a : a + TRAIN_WINDOW], stream[a : a + TRAIN_WINDOW], state)
+                    learner.move(RATE * (1 - 0.9 * (epoch + min(1.0, done / max(share, 1.0))) / epochs))
                     done += stream[a : a + TRAIN_WINDOW].size
+        learner.give(self)
         return done
 
-    def _slopes(self, given: np.ndarray, targets: np.ndarray, state: np.ndarray, end: int):
-        steps, lanes, h = *given.shape, self.hidden
-        x = self.embed[given]
-        xs = x @ self.wx + self.b
-        kept = []
-        states = np.empty((steps, lanes, h), np.float32)
-        for t in range(steps):
-            state = state * (given[t] != end)[:, None]
-            new, z, r, n, back = self.step(xs[t], state)
-            kept.append((state, z, r, n, back))
-            states[t] = state = new
-        flat, goal = states.reshape(-1, h), targets.reshape(-1)
-        m = len(goal)
-        classes = self.classes(goal)
-        logits = flat @ self.uc + self.bc
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(m), classes] -= 1
-        p /= m
-        slopes = {"uc": flat.T @ p, "bc": p.sum(0)}
-        dh = p @ self.uc.T
-        slopes["ui"], slopes["bi"] = np.zeros_like(self.ui), np.zeros_like(self.bi)
-        order = np.argsort(classes, kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(self.blocks + 1))
-        for c in range(self.blocks):
-            at = order[ends[c] : ends[c + 1]]
-            if len(at):
-                inner = flat[at] @ self.ui[c].T + self.bi[c]
-                q = np.exp(inner - inner.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(at)), goal[at] - c * CLASS] -= 1
-                q /= m
-                slopes["ui"][c], slopes["bi"][c] = q.T @ flat[at], q.sum(0)
-                dh[at] += q @ self.ui[c]
-        dh = dh.reshape(steps, lanes, h)
-        dxs = np.empty_like(xs)
-        slopes["wh"] = np.zeros_like(self.wh)
-        carry = np.zeros((lanes, h), np.float32)
-        for t in range(steps - 1, -1, -1):
-            before, z, r, n, back = kept[t]
-            d = dh[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * back * r * (1 - r)
-            dxs[t] = np.concatenate([dz, dr, dn], 1)
-            into = np.concatenate([dz, dr, dn * r], 1)
-            slopes["wh"] += before.T @ into
-            carry = (d * z + into @ self.wh.T) * (given[t] != end)[:, None]
-        two = dxs.reshape(-1, 3 * h)
-        slopes["wx"], slopes["b"] = x.reshape(-1, h).T @ two, two.sum(0)
-        slopes["embed"] = np.zeros_like(self.embed)
-        np.add.at(slopes["embed"], given.reshape(-1), two @ self.wx.T)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in slopes.values()))
-        return state, {p: g * np.float32(min(1.0, 1.0 / (norm + 1e-9))) for p, g in slopes.items()}
-
     def score(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log-likelihood of each text: its words, then the end."""
         end, texts = self.words + 1, len(first) - 1
@@ -255,9 +206,12 @@ class Network:
                 parts += [words[first[t] : first[t + 1]], [end]]
                 owners.append(t)
             streams.append((np.concatenate(parts).astype(np.int32), np.repeat(owners, sizes[owners]).astype(np.int32)))
-        before = self.embed @ self.wx + self.b  # input part of the gates, by word
+        h = self.hidden
+        halves = np.repeat(np.array([0.5, 0.5, 1], np.float32), h)  # of the gates, see Learner
+        before = (self.embed @ self.wx + self.b) * halves  # input part of the gates, by word
+        back = np.ascontiguousarray((self.wh * halves).T)
         out = np.zeros(texts)
-        state = np.zeros((lanes, self.hidden), np.float32)
+        state = np.zeros((h, lanes), np.float32)
         previous = np.full(lanes, end, np.int32)
         for a in range(0, longest, WINDOW):
             active = int(np.searchsorted(-lengths, -a, "left"))  # lanes longer than a
@@ -270,22 +224,199 @@ class Network:
                 goal[: len(part), lane] = part
                 owner[: len(part), lane] = owners[a : a + steps]
             given = np.concatenate([previous[None, :active], np.maximum(goal[:-1], 0)])
-            states = np.empty((steps, active, self.hidden), np.float32)
-            now = state[:active]
+            states = np.empty((steps, active, h), np.float32)
+            now = np.ascontiguousarray(state[:, :active])
             fresh = given == end
             resets = fresh.any(1)
             for t in range(steps):
                 if resets[t]:
-                    now = now * ~fresh[t][:, None]
-                now = self.step(before[given[t]], now)[0]
-                states[t] = now
-            state[:active], previous[:active] = now, goal[-1]
-            real = goal.reshape(-1) >= 0
-            logs = self.log_probabilities(states.reshape(-1, self.hidden)[real], goal.reshape(-1)[real])
+                    now = now * ~fresh[t]
+                x, known = before[given[t]].T, back @ now
+                gates = _sigmoid_of_half(x[: 2 * h] + known[: 2 * h])
+                known = known[2 * h :]
+                known *= gates[h:]
+                known += x[2 * h :]
+                new = np.tanh(known, out=known)
+                now -= new
+                now *= gates[:h]
+                now += new
+                states[t] = now.T
+            state[:, :active], previous[:active] = now, goal[-1]
+            real = np.flatnonzero(goal.reshape(-1) >= 0)
+            logs = self.log_probabilities(states.reshape(-1, h)[real], goal.reshape(-1)[real])
             out += np.bincount(owner.reshape(-1)[real], logs, minlength=texts)
         return out
 
 
+class Learner:
+    """Weights, slopes and moments of a network in one flat array each; a step of Adam moves them all in place.
+
+    In a window lanes are columns, so the gates of all lanes are whole rows; words are sorted by class, so
+    each class is one product of matrices. The first two gates are taken at half their input:
+    sigmoid(x) = (1 + tanh(x / 2)) / 2.
+    """
+
+    def __init__(self, net: Network):
+        outer, within = net._tables()
+        start = {"embed": net.embed, "wx": net.wx, "wh": net.wh, "b": net.b, "outer": outer, "within": within}
+        size = sum(x.size for x in start.values())
+        self.weights, self.slope, self.first, self.second = np.zeros((4, size), np.float32)
+        self.w, self.g, at = {}, {}, 0
+        for name, x in start.items():
+            self.w[name] = self.weights[at : at + x.size].reshape(x.shape)
+            self.g[name] = self.slope[at : at + x.size].reshape(x.shape)
+            self.w[name][...] = x
+            at += x.size
+        self.hidden, self.blocks, self.end, self.turn = net.hidden, net.blocks, net.words + 1, 0
+        self.class_of = net.classes(np.arange(net.words + 2)).astype(np.int16)
+        self.halves = np.repeat(np.array([0.5, 0.5, 1], np.float32), net.hidden)
+        self.spare = np.empty((2, BLOCK), np.float32)
+        self.stack = [np.empty((net.blocks, FEW, k), np.float32) for k in (net.hidden + 1, net.hidden + 1, CLASS)]
+
+    def give(self, net: Network) -> None:
+        for name in ("embed", "wx", "wh", "b"):
+            setattr(net, name, self.w[name].copy())
+        net.uc, net.bc = self.w["outer"][:-1].copy(), self.w["outer"][-1].copy()
+        net.ui, net.bi = self.w["within"][..., :-1].copy(), self.w["within"][..., -1].copy()
+
+    def move(self, rate: float) -> None:
+        """One step of Adam, with the slopes cut to a norm of 1."""
+        self.turn += 1
+        norm = float(np.sqrt(np.dot(self.slope, self.slope)))
+        cut = min(1.0, 1.0 / (norm + 1e-9))
+        even = np.sqrt(1 - 0.99**self.turn)
+        pace, least = np.float32(rate * even / (1 - 0.9**self.turn)), np.float32(1e-6 * even)
+        for a in range(0, len(self.weights), BLOCK):
+            g, m, v = self.slope[a : a + BLOCK], self.first[a : a + BLOCK], self.second[a : a + BLOCK]
+            one, two = self.spare[0, : len(g)], self.spare[1, : len(g)]
+            np.multiply(g, np.float32(0.1 * cut), out=one)
+            m *= np.float32(0.9)
+            m += one
+            np.multiply(one, one, out=one)
+            v *= np.float32(0.99)
+            v += one  # 0.1 squared is 0.01
+            np.sqrt(v, out=two)
+            two += least
+            np.divide(m, two, out=two)
+            two *= pace
+            self.weights[a : a + BLOCK] -= two
+
+    def slopes(self, given: np.ndarray, targets: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Sets the slopes of the mean loss of a window; the state after it."""
+        w, g, h = self.w, self.g, self.hidden
+        (steps, lanes), m = given.shape, given.size
+        by_lane = lambda x: np.ascontiguousarray(x.reshape(steps, lanes, -1).transpose(0, 2, 1))
+        by_row = lambda x: x.transpose(0, 2, 1).reshape(m, -1)
+        words = given.reshape(-1)
+        keep = (given != self.end).astype(np.float32)
+        resets = (keep.min(1) == 0).tolist()
+        x = w["embed"][words]
+        xs = by_lane((x @ w["wx"] + w["b"]) * self.halves)
+        recur = np.ascontiguousarray((w["wh"] * self.halves).T)
+        back, gates = np.empty((steps, 3 * h, lanes), np.float32), np.empty((steps, 2 * h, lanes), np.float32)
+        news, states, befores = np.empty((3, steps, h, lanes), np.float32)
+        befores[0] = state
+        for t, (x_gate, x_new, known, new, now, gate) in enumerate(zip(xs[:, : 2 * h], xs[:, 2 * h :], back, news, states, gates)):
+            if resets[t]:
+                state = state * keep[t]
+            np.dot(recur, state, out=known)
+            np.add(x_gate, known[: 2 * h], out=gate)
+            _sigmoid_of_half(gate)
+            np.multiply(gate[h:], known[2 * h :], out=new)
+            new += x_new
+            np.tanh(new, out=new)
+            np.subtract(state, new, out=now)
+            now *= gate[:h]
+            now += new
+            state = now
+        befores[1:] = states[:-1]
+        befores *= keep[:, None]
+        flat = np.ones((m, h + 1), np.float32)
+        flat[:, :h] = by_row(states)
+        dh = by_lane(self._outputs(flat, targets.reshape(-1)))
+        z, r = gates[:, :h], gates[:, h:]
+        rest = 1 - z
+        to_new = rest * (1 - news * news)
+        to_z = (befores - news) * z * rest
+        to_r = back[:, 2 * h :] * r * (1 - r)
+        into, dn = np.empty((steps, 3 * h, lanes), np.float32), np.empty((steps, h, lanes), np.float32)
+        carry = np.zeros((h, lanes), np.float32)
+        for t in range(steps - 1, -1, -1):
+            d, dnew, flow = dh[t], dn[t], into[t]
+            d += carry
+            np.multiply(d, to_z[t], out=flow[:h])
+            np.multiply(d, to_new[t], out=dnew)
+            np.multiply(dnew, to_r[t], out=flow[h : 2 * h])
+            np.multiply(dnew, r[t], out=flow[2 * h :])
+            np.dot(w["wh"], flow, out=carry)
+            d *= z[t]
+            carry += d
+            if resets[t]:
+                carry *= keep[t]
+        two = by_row(into)
+        np.dot(befores.transpose(1, 0, 2).reshape(h, m), two, out=g["wh"])
+        two[:, 2 * h :] = by_row(dn)
+        np.dot(x.T, two, out=g["wx"])
+        np.dot(np.ones(m, np.float32), two, out=g["b"])
+        order = np.argsort(words.astype(np.uint16) if self.end < 1 << 16 else words, kind="stable")
+        sorted_words = words[order]
+        starts = np.flatnonzero(np.append(True, sorted_words[1:] != sorted_words[:-1]))
+        g["embed"][...] = 0
+        g["embed"][sorted_words[starts]] = np.add.reduceat((two @ w["wx"].T)[order], starts, axis=0)
+        return state
+
+    def _outputs(self, flat: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """Slopes of the classes, of the words in them, and of the states (returned)."""
+        w, g, h, m = self.w, self.g, self.hidden, len(goal)
+        classes = self.class_of[goal]
+        order = np.argsort(classes, kind="stable")
+        flat, goal, classes = flat[order], goal[order], classes[order]
+        ends = np.searchsorted(classes, np.arange(self.blocks + 1)).tolist()
+        rows = np.arange(m)
+        ds = self._softmax(flat @ w["outer"], rows, classes, m)
+        np.dot(flat.T, ds, out=g["outer"])
+        ds = ds @ w["outer"][:h].T
+        last = ends[-1]
+        # Classes of few rows go as one stack with places for FEW rows each, the others one after another.
+        many = [(c, a, b) for c, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b - a > FEW]
+        size = np.diff(ends)
+        few = np.flatnonzero(np.repeat(size <= FEW, size))
+        place = classes[few].astype(np.int64) * FEW + few - np.array(ends)[classes[few]]
+        inner, within = np.empty((last, CLASS), np.float32), w["within"]
+        given, more, slopes = self.stack
+        given[...] = 0
+        given.reshape(-1, h + 1)[place] = flat[few]
+        np.matmul(given, within.transpose(0, 2, 1), out=slopes)
+        inner[few] = slopes.reshape(-1, CLASS)[place]
+        for c, a, b in many:
+            np.dot(flat[a:b], within[c].T, out=inner[a:b])
+        inner = self._softmax(inner, rows[:last], goal[:last] - classes[:last].astype(np.int64) * CLASS, m)
+        slopes[...] = 0
+        slopes.reshape(-1, CLASS)[place] = inner[few]
+        np.matmul(slopes.transpose(0, 2, 1), given, out=g["within"])
+        np.matmul(slopes, within, out=more)
+        back = np.empty((last, h + 1), np.float32)
+        back[few] = more.reshape(-1, h + 1)[place]
+        for c, a, b in many:
+            np.dot(inner[a:b].T, flat[a:b], out=g["within"][c])
+            np.dot(inner[a:b], within[c], out=back[a:b])
+        ds[:last] += back[:, :h]
+        out = np.empty_like(ds)
+        out[order] = ds
+        return out
+
+    @staticmethod
+    def _softmax(logits: np.ndarray, rows: np.ndarray, goal: np.ndarray, m: int) -> np.ndarray:
+        """Slopes of the mean loss over ``m`` rows by the logits, which are overwritten."""
+        if logits.size and logits.max() > 60:
+            logits -= logits.max(1, keepdims=True)
+        np.exp(logits, out=logits)
+        sums = logits @ np.ones(logits.shape[1], np.float32)
+        logits *= (1 / (sums * np.float32(m)))[:, None]
+        logits[rows, goal] -= np.float32(1 / m)
+        return logits
+
+
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word`` (hash) and ``count`` over all rows."""
 

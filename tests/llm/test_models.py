@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -103,6 +104,61 @@ def test_language_model_probabilities_sum_to_one():
         assert abs(np.exp(logs).sum() - 1) < 1e-4
 
 
+def test_language_model_slopes_are_those_of_the_loss():
+    r = np.random.default_rng(5)
+    lexicon = L.Lexicon(np.arange(1, 301, dtype=np.uint64), np.arange(400, 100, -1), 10, 80_000, 401, vocabulary=200)
+    network = L.Network(lexicon)
+    stream = r.choice([*range(24), 70, 150, 200, 201], (7, 9))  # classes of few and of many rows, texts that end
+    given = np.concatenate([np.full((1, 9), 201), stream[:-1]])
+    learner = L.Learner(network)
+    end = learner.slopes(given, stream, np.zeros((L.HIDDEN, 9), np.float32))
+
+    def loss() -> float:
+        net = L.Network(lexicon)
+        learner.give(net)
+        sigmoid = lambda x: 1 / (1 + np.exp(-x))
+        state, states, h = np.zeros((9, L.HIDDEN)), [], L.HIDDEN
+        for words in given:
+            state = state * (words != 201)[:, None]
+            x, back = net.embed[words].astype(float) @ net.wx + net.b, state @ net.wh.astype(float)
+            z, reset = sigmoid(x[:, :h] + back[:, :h]), sigmoid(x[:, h : 2 * h] + back[:, h : 2 * h])
+            new = np.tanh(x[:, 2 * h :] + reset * back[:, 2 * h :])
+            state = new + z * (state - new)
+            states.append(state)
+        assert np.allclose(end.T, state, atol=1e-5) or not np.array_equal(learner.weights, kept)
+        total = net.log_probabilities(np.concatenate(states).astype(np.float32), stream.reshape(-1))
+        return -total.mean()
+
+    kept = learner.weights.copy()
+    loss()
+    largest = np.argsort(-np.abs(learner.slope))
+    for i in [*largest[:40], *largest[40:4000:100]]:
+        learner.weights[i] = kept[i] + 0.01
+        up = loss()
+        learner.weights[i] = kept[i] - 0.01
+        down = loss()
+        learner.weights[i] = kept[i]
+        assert abs((up - down) / 0.02 - learner.slope[i]) < 2e-4 + 0.01 * abs(learner.slope[i])
+
+
+def test_language_model_trains_in_a_few_times_what_its_exponentials_take():
+    r = np.random.default_rng(6)
+    counts = np.sort(r.zipf(1.3, 20_000).clip(1, 100_000))[::-1]
+    lexicon = L.Lexicon(np.arange(1, 20_001, dtype=np.uint64), counts, 100, int(counts.sum()) + 100, 20_001)
+    words = np.minimum(r.choice(20_000, 60_000, p=counts / counts.sum()), L.VOCABULARY)
+    logits = r.standard_normal((1536, 2 + L.VOCABULARY // L.CLASS + L.CLASS)).astype(np.float32)
+    ratios = []
+    for _ in range(3):
+        begun = time.process_time()
+        for _ in range(60_000 // 1536):
+            np.exp(logits)
+        least = time.process_time() - begun
+        begun = time.process_time()
+        L.Network(lexicon).train([words], 60_000)
+        ratios.append((time.process_time() - begun) / least)
+    assert min(ratios) < 20  # 30 when every class was a chain of small steps and moments were made anew
+
+
 def test_licences(spark):
     r = random.Random(3)
     rows = [(i, "\n".join(" ".join(r.choice(["ta", "re", "mo", "li", "under", "the", "version"]) for _ in range(12)) for _ in range(5))) for i in range(300)]
