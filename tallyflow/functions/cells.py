@@ -14,6 +14,7 @@ import numpy as np
 
 BLOCK = 200_000  # distances held at once; a block stays in the processor cache
 PAIRS = 200_000  # (row, box) pairs whose distances are held at once
+LEAF = 512  # rows aimed at in a cell of an index
 QUERIES = 2048  # queries that an index answers at once
 LARGEST = np.finfo(float).max  # infinite and missing distances are not found
 
@@ -64,18 +65,30 @@ class Cells:
             self.count[node] = self.count[left] + self.count[right]
             self.most[node] = self.most[left] + self.most[right]
 
-    def reach(self, x: np.ndarray, cell: np.ndarray, grouped: np.ndarray, k: int) -> np.ndarray:
-        """A distance within which every row of ``x`` has its k nearest permitted rows, or all if there are fewer.
+    def enclosing(self, cell: np.ndarray, grouped: np.ndarray, k: int) -> np.ndarray:
+        """Node of the smallest box around every cell with k rows that a row may meet, the root if there are fewer.
 
-        It is that of the far corner of the smallest box around the row's cell with k rows that the row may
-        meet; ``grouped`` rows may not meet those of one group.
+        ``grouped`` rows may not meet those of one group.
         """
         node = cell + (self.leaves - 1)
         while True:
             few = (node > 0) & (self.count[node] - np.where(grouped, self.most[node], 0) < k)
             if not few.any():
-                break
+                return node
             node = np.where(few, (node - 1) // 2, node)
+
+    def under(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First cell below every node, and the one after the last."""
+        below = self.depth + 1 - np.frexp(node + 1.0)[1]
+        first = ((node + 1) << below) - self.leaves
+        return first, first + (1 << below)
+
+    def reach(self, x: np.ndarray, cell: np.ndarray, grouped: np.ndarray, k: int) -> np.ndarray:
+        """A distance within which every row of ``x`` has its k nearest permitted rows, or all if there are fewer.
+
+        It is that of the far corner of the smallest box around the row's cell with k rows that the row may meet.
+        """
+        node = self.enclosing(cell, grouped, k)
         gap = np.maximum(np.abs(x - self.low[node]), np.abs(self.high[node] - x))
         far = np.zeros(len(x))
         for j in range(x.shape[1]):
@@ -216,13 +229,13 @@ def kth_distance(query: np.ndarray, dist: np.ndarray, n: int, k: int) -> np.ndar
 
 
 class Index:
-    """Reference rows that fit in a task, grouped by small cells of their own."""
+    """Reference rows that fit in a task, grouped by small cells of their own; at most ``block_rows`` of them meet queries at once."""
 
-    def __init__(self, cells: Cells, rows: Rows, start: np.ndarray):
-        self.cells, self.rows, self.start = cells, rows, start
+    def __init__(self, cells: Cells, rows: Rows, start: np.ndarray, block_rows: int = BLOCK):
+        self.cells, self.rows, self.start, self.block_rows = cells, rows, start, block_rows
 
     @classmethod
-    def build(cls, rows: Rows, leaf_rows: int = 512) -> "Index":
+    def build(cls, rows: Rows, leaf_rows: int = LEAF, block_rows: int = BLOCK) -> "Index":
         cells = build_cells(rows.x, depth_for(len(rows), leaf_rows))
         cell = cells.assign(rows.x)
         order = np.argsort(cell, kind="stable")
@@ -234,7 +247,7 @@ class Index:
         most = np.zeros(cells.leaves, np.int64)
         np.maximum.at(most, groups[:, 0], np.where(groups[:, 1] < 0, 0, size))
         cells.set_boxes(used, low, high, np.diff(start)[used], most[used])
-        return cls(cells, rows, start)
+        return cls(cells, rows, start, block_rows)
 
     def state(self) -> tuple:
         rows = self.rows
@@ -246,7 +259,7 @@ class Index:
         return cls(Cells(*cells), Rows(*rows), start)
 
     def _visit(self, x, apart, query, cell, k, radius=None):
-        """Nearest rows for ``(query, cell)`` pairs, one cell at a time."""
+        """Nearest rows for ``(query, cell)`` pairs, one cell or block of a cell at a time."""
         order = np.argsort(cell, kind="stable")
         query, cell = query[order], cell[order]
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
@@ -255,39 +268,53 @@ class Index:
             if first == last:
                 continue
             mine = query[first:last]
-            begin, end = self.start[cell[first]], self.start[cell[first] + 1]
             reach = None if radius is None else radius[mine]
-            q, r, d = nearest(x[mine], apart[mine], self.rows.take(slice(begin, end)), k, reach)
-            found.append((mine[q], r + begin, d))
+            end = self.start[cell[first] + 1]
+            for begin in range(self.start[cell[first]], end, self.block_rows):
+                block = self.rows.take(slice(begin, min(begin + self.block_rows, end)))
+                q, r, d = nearest(x[mine], apart[mine], block, k, reach)
+                found.append((mine[q], r + begin, d))
         return tuple(np.concatenate(parts) for parts in zip(*found))
 
-    def search(self, x: np.ndarray, apart: np.ndarray, k: int, radius: np.ndarray | None = None):
+    def search(self, x: np.ndarray, apart: np.ndarray, k: int, radius: np.ndarray | None = None, queries: int = QUERIES):
         """``(query, row, dist)`` of the k nearest rows, nearest first.
 
         With ``radius``, only rows that near. Without, the query's own cell gives the radius, or, if it has
-        fewer than k rows to meet, the smallest box around it that has them. ``QUERIES`` at a time.
+        fewer than k rows to meet, those of the smallest box around it that has them. ``queries`` at a time.
         """
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        for begin in range(0, len(x), QUERIES):
-            part = slice(begin, begin + QUERIES)
+        for begin in range(0, len(x), queries):
+            part = slice(begin, begin + queries)
             query, row, dist = self._search(x[part], apart[part], k, None if radius is None else radius[part])
             found.append((query + begin, row, dist))
         return tuple(np.concatenate(parts) for parts in zip(*found))
 
     def _search(self, x: np.ndarray, apart: np.ndarray, k: int, radius: np.ndarray | None):
-        home = np.full(len(x), -1)
+        first = last = np.zeros(len(x), np.int64)  # cells from first to before last have been visited
         known = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         if radius is None:
             home = self.cells.assign(x)
             known = self._first(self._visit(x, apart, np.arange(len(x)), home, k), k)
             if self.cells.depth == 0:
                 return known
+            first, last = home, home + 1
             radius = kth_distance(known[0], known[2], len(x), k)
-            short = np.flatnonzero(np.isinf(radius))
-            radius[short] = self.cells.reach(x[short], home[short], apart[short] >= 0, k)
+            short = np.isinf(radius)
+            if short.any():
+                node = np.where(short, self.cells.enclosing(home, apart >= 0, k), home + (self.cells.leaves - 1))
+                first, last = self.cells.under(node)
+                query = np.repeat(np.arange(len(x)), last - first)
+                cell = np.arange(len(query)) - np.repeat(np.cumsum(last - first) - last, last - first)
+                other = cell != home[query]
+                known = self._joined(known, self._visit(x, apart, query[other], cell[other], k), k)
+                radius = kth_distance(known[0], known[2], len(x), k)
+                short = np.flatnonzero(np.isinf(radius))
+                radius[short] = self.cells.reach(x[short], home[short], apart[short] >= 0, k)
         near, cell = self.cells.within(x, radius)
-        other = cell != home[near]
-        more = self._visit(x, apart, near[other], cell[other], k, radius)
+        other = (cell < first[near]) | (cell >= last[near])
+        return self._joined(known, self._visit(x, apart, near[other], cell[other], k, radius), k)
+
+    def _joined(self, known, more, k: int):
         return self._first(tuple(np.concatenate(parts) for parts in zip(known, more)), k)
 
     def _first(self, found, k: int):

@@ -6,8 +6,9 @@ tells which other cells can hold something nearer, and only those are visited.
 
 A reference set whose row count is checked to be small is broadcast and searched
 where the queries lie, without any shuffle. A larger one stays distributed:
-queries and rows meet by cell in co-grouped tasks, with busy cells split over
-several tasks. Both give the same rows.
+queries and rows meet in co-grouped tasks by region, a run of neighbouring cells
+that fills a task, however small its cells are; a busy region is split over several
+tasks. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 
 from tallyflow.functions import cells as cell_helpers
 from tallyflow.functions.cells import (
+    LEAF,
+    QUERIES,
     Cells,
     Index,
     Rows,
@@ -58,6 +61,7 @@ def unusable(reference: DataFrame, features: list[str] = FEATURES) -> int:
     return reference.filter(~usable(features)).count()
 
 
+ROOM = 4  # times its aimed rows that a region may hold, and so many queries, before it is cut
 SLICE = 256  # queries whose cells in reach a task holds at once
 NO_GROUP, ANY_GROUP = -1, -2  # apart value of queries and of rows when nothing is excluded
 
@@ -88,7 +92,10 @@ class NeighborModel:
     ``cell_rows`` is the aimed size of a distributed cell, ``broadcast_rows`` the largest row count
     that is broadcast, ``max_depth`` bounds the number of cells (and with it all
     that the driver ever holds of a distributed model), ``slot_rows`` the queries and ``block_rows``
-    the reference rows that meet in a task: a cell with more of either is cut on both sides.
+    the reference rows that meet at once. ``region_rows`` is the aimed size of a region: smaller cells travel
+    together, so a query goes once to a region and not to each of its cells. A region with more than ``slot_rows``
+    queries or ``block_rows`` rows, and more than ``ROOM`` times ``region_rows``, is cut over tasks on both sides;
+    below that a task goes through its rows and queries by so many at a time.
     """
 
     def __init__(
@@ -100,6 +107,7 @@ class NeighborModel:
         broadcast_rows: int = 200_000,
         slot_rows: int = 20_000,
         block_rows: int = 200_000,
+        region_rows: int = 4096,
     ):
         self.rows, self.cells, self.k, self.features = rows, cells, k, features
         self.slot_rows, self.block_rows = slot_rows, block_rows
@@ -126,8 +134,12 @@ class NeighborModel:
         low = _matrix([boxes.column(f"low_{f}").combine_chunks() for f in features])
         high = _matrix([boxes.column(f"high_{f}").combine_chunks() for f in features])
         self.cells.set_boxes(cell, low, high, size, most)
-        crowded = size > block_rows
-        self.crowded = list(zip(cell[crowded].tolist(), (-(-size[crowded] // block_rows)).tolist()))
+        self.shift = max(0, cells.depth - depth_for(self.count, region_rows))  # a cell's number without these bits is its region's
+        self.task_queries, self.task_rows = max(slot_rows, ROOM * region_rows), max(block_rows, ROOM * region_rows)
+        region, own = np.unique(cell >> self.shift, return_inverse=True)
+        held = np.bincount(own, size, len(region)).astype(np.int64)
+        crowded = held > self.task_rows
+        self.crowded = list(zip(region[crowded].tolist(), (-(-held[crowded] // self.task_rows)).tolist()))
         self.index = None
         if self.count <= broadcast_rows:
             held = Index.build(_rows(rows.toArrow(), features))
@@ -232,7 +244,7 @@ class NeighborModel:
         return once(*[F.col(f).cast("double") for f in self.features], group)
 
     def _search_by_cell(self, df: DataFrame, k: int, group: Column, answer: Callable[[Column], Column]) -> DataFrame:
-        """Two co-grouped passes over distinct query vectors: own cell, then cells in reach."""
+        """Two co-grouped passes over distinct query vectors: own region, then other regions with cells in reach."""
         keyed = df.withColumn("apart", group)
         vectors = [F.col(f).cast("double").alias(f) for f in self.features]
         points = keyed.select(*vectors, "apart").dropna().distinct()
@@ -240,16 +252,16 @@ class NeighborModel:
         points = points.withColumn("cell", _assigner(self.shared_cells)(*self.features))
         points = materialize(points, "neighbor-queries")
 
-        home = self._meet(points.withColumn("radius", F.lit(None).cast("double")), k)
-        if self.crowded:  # otherwise every query has met its cell in one task
+        home = self._meet(points.withColumns({"radius": F.lit(None).cast("double"), "region": self._region(F.col("cell"))}), k)
+        if self.crowded:  # otherwise every query has met its region in one task
             home = home.groupBy("query").agg(_best("neighbors", k).alias("neighbors"))
         home = materialize(points.join(home, "query", "left"), "neighbor-home")
         kth = F.get("neighbors", F.lit(k - 1))["dist"].alias("kth")
-        reach = materialize(_visits(home.select(*points.columns, kth), self.shared_cells, self.features, k), "neighbor-reach")
-        reach = reach.select(*self.features, "apart", "query", "radius", F.explode("cells").alias("cell"))
+        reach = materialize(_visits(home.select(*points.columns, kth), self.shared_cells, self.features, k, self.shift), "neighbor-reach")
+        reach = reach.select(*self.features, "apart", "query", "radius", F.explode("regions").alias("region"))
         far = self._meet(reach, k)
         every = home.filter("neighbors IS NOT NULL").select("query", "neighbors").unionByName(far)
-        # at most k entries per visited cell and block
+        # at most k entries per visited region and block
         lists = every.groupBy("query").agg(_best("neighbors", k).alias("neighbors"))
         answers = home.select(*self.features, "apart", "query").join(lists, "query").drop("query")
         answers = answers.select(
@@ -261,38 +273,47 @@ class NeighborModel:
         neighbors = F.coalesce("neighbors", F.array().cast(kind)).alias("neighbors")
         return joined.select(*[keyed[c] for c in df.columns], neighbors)
 
+    def _region(self, cell: Column) -> Column:
+        return F.shiftright(cell, self.shift)
+
     def _meet(self, queries: DataFrame, k: int) -> DataFrame:
-        """Neighbour lists of queries (vector, apart, query, cell, radius) in their cells, one per block that has any.
+        """Neighbour lists of queries (vector, apart, query, radius, region) in their regions, one per block that has any.
 
-        Queries and rows are co-grouped by cell; the queries of a busy cell go to several slots, the rows of a crowded cell to
-        several blocks, and every slot meets every block.
+        Queries and rows are co-grouped by region; the queries of a busy region go to several slots, the rows of a crowded
+        region to several blocks, and every slot meets every block.
         """
-        busy = queries.groupBy("cell").count().filter(F.col("count") > self.slot_rows)
-        slots = F.broadcast(busy.select("cell", F.ceil(F.col("count") / self.slot_rows).alias("slots")))  # at most one row per cell
-        blocks = F.broadcast(self.spark.createDataFrame(self.crowded, "cell long, blocks long"))  # likewise
+        most = self.task_queries
+        busy = queries.groupBy("region").count().filter(F.col("count") > most)
+        slots = F.broadcast(busy.select("region", F.ceil(F.col("count") / most).alias("slots")))  # at most one row per region
+        blocks = F.broadcast(self.spark.createDataFrame(self.crowded, "region long, blocks long"))  # likewise
         slot_count, block_count = F.coalesce(F.col("slots"), F.lit(1)), F.coalesce(F.col("blocks"), F.lit(1))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-        used = [*self.features, "apart", "query", "radius", "cell"]
-        left = queries.join(slots, "cell", "left").withColumn("slot", F.pmod(F.xxhash64("query"), slot_count))
-        left = left.join(blocks, "cell", "left").select(*used, "slot", every(block_count).alias("block"))
-        right = self.rows.join(blocks, "cell", "left").withColumn("block", F.pmod(F.xxhash64("id", "apart"), block_count))
-        right = right.join(slots, "cell", "left").select(*self.rows.columns, "block", every(slot_count).alias("slot"))
-        key = ["cell", "slot", "block"]
+        used = [*self.features, "apart", "query", "radius", "region"]
+        left = queries.join(slots, "region", "left").withColumn("slot", F.pmod(F.xxhash64("query"), slot_count))
+        left = left.join(blocks, "region", "left").select(*used, "slot", every(block_count).alias("block"))
+        held = [*self.features, "id", "label", "apart", "region"]
+        right = self.rows.withColumn("region", self._region(F.col("cell"))).join(blocks, "region", "left")
+        right = right.withColumn("block", F.pmod(F.xxhash64("id", "apart"), block_count))
+        right = right.join(slots, "region", "left").select(*held, "block", every(slot_count).alias("slot"))
+        key = ["region", "slot", "block"]
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(self._search_task(k), T.StructType(_QUERY_FIELDS))
 
     def _search_task(self, k: int):
-        features = self.features
+        features, at_once, block_rows = self.features, min(QUERIES, self.slot_rows), self.block_rows
 
         def run(queries: pa.Table, reference: pa.Table) -> pa.Table:
             n = queries.num_rows
             if n == 0 or reference.num_rows == 0:
                 none = np.zeros(0, np.int64)
                 return pa.table({"query": pa.array([], pa.int64()), "neighbors": _neighbor_lists(0, none, np.zeros(0), none, none)})
-            x = _matrix([queries.column(f).combine_chunks() for f in features])
-            index = Index.build(_rows(reference, features))
+            index = Index.build(_rows(reference, features), min(LEAF, block_rows), block_rows)
             rows = index.rows
+            x = _matrix([queries.column(f).combine_chunks() for f in features])
+            order = np.argsort(index.cells.assign(x), kind="stable")  # those that meet at once lie together
+            x, queries = x[order], queries.take(pa.array(order))
             radius = queries.column("radius").to_numpy()
-            query, row, dist = index.search(x, queries.column("apart").to_numpy(), k, None if np.isnan(radius).all() else radius)
+            apart = queries.column("apart").to_numpy()
+            query, row, dist = index.search(x, apart, k, None if np.isnan(radius).all() else radius, at_once)
             lists = _neighbor_lists(n, query, dist, rows.id[row], rows.label[row])
             found = pa.table({"query": queries.column("query").combine_chunks(), "neighbors": lists})
             return found.filter(pa.array(np.bincount(query, minlength=n) > 0))
@@ -304,10 +325,10 @@ def _best(lists: str, k: int) -> Column:
     return F.slice(F.sort_array(F.flatten(F.collect_list(lists))), 1, k)
 
 
-def _visits(home: DataFrame, shared, features: list[str], k: int) -> DataFrame:
-    """Queries (vector, apart, query) with the ``radius`` within which they have their neighbours, and the other ``cells`` in it.
+def _visits(home: DataFrame, shared, features: list[str], k: int, shift: int) -> DataFrame:
+    """Queries (vector, apart, query) with the ``radius`` within which they have their neighbours, and the other ``regions`` with cells in it.
 
-    ``kth`` is the k-th distance that a query has found in its own cell, if any. A task works through ``SLICE``
+    ``kth`` is the k-th distance that a query has found in its own region, if any. A task works through ``SLICE``
     queries at a time and hands them on, so what it holds does not grow with the cells.
     """
     kept = [*features, "apart", "query"]
@@ -323,14 +344,14 @@ def _visits(home: DataFrame, shared, features: list[str], k: int) -> DataFrame:
                 short = np.flatnonzero(np.isnan(radius))
                 radius[short] = cells.reach(x[short], own[short], apart[short] >= 0, k)
                 near, cell = cells.within(x, radius)
-                other = cell != own[near]
-                near, cell = near[other], cell[other]
-                order = np.argsort(near, kind="stable")
+                region = cell >> shift
+                other = region != own[near] >> shift
+                near, region = np.divmod(np.unique(near[other] * cells.leaves + region[other]), cells.leaves)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(near, minlength=n))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell[order]))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(radius), lists], [*kept, "radius", "cells"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(region))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(radius), lists], [*kept, "radius", "regions"])
 
-    found = [T.StructField("radius", T.DoubleType()), T.StructField("cells", T.ArrayType(T.LongType()))]
+    found = [T.StructField("radius", T.DoubleType()), T.StructField("regions", T.ArrayType(T.LongType()))]
     return home.mapInArrow(visits, T.StructType([home.schema[c] for c in kept] + found))
 
 

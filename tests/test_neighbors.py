@@ -196,3 +196,60 @@ def test_answer_once_for_every_different_vector(spark):
     assert len(here) == 601
     assert here[600] == []
     assert all(other == here for other in others)
+
+
+REGIONS = [{"region_rows": 1}, {"region_rows": 60}, {"region_rows": 200, "slot_rows": 10**6, "block_rows": 10**6}]
+
+
+@pytest.mark.parametrize("limits", REGIONS, ids=["cells", "cut", "whole"])
+@pytest.mark.parametrize("kind", ["normal", "grid", "heavy"])
+def test_regions_of_small_cells(spark, kind, limits):
+    """Regions of one cell and of many, some of them cut by rows and by queries."""
+    x = _data(17, 1500, kind)
+    fold = np.arange(1500) % 10
+    frame = _frame(spark, x, fold=fold)
+    model = NeighborModel.fit(frame, k=9, apart="fold", cell_rows=20, broadcast_rows=0, **{"slot_rows": 20, "block_rows": 7} | limits)
+    assert model.cells.depth > model.shift and (model.shift > 0) == (limits["region_rows"] > 20)
+    assert _got(model.neighbors(frame, apart="fold")) == dict(enumerate(_brute(x, x, 9, (fold, fold))))
+
+
+def test_a_query_is_not_sent_to_every_small_cell(spark, monkeypatch):
+    """What is shuffled is counted: cells smaller than k hold no near k-th neighbour, and a region is visited once for all of its cells."""
+    sent, found = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    task = NeighborModel._search_task
+
+    def counted(self, k):
+        run = task(self, k)
+
+        def count(queries, reference):
+            answers = run(queries, reference)
+            sent.add(queries.num_rows)
+            found.add(sum(answers.column("neighbors").combine_chunks().value_lengths().to_pylist()))
+            return answers
+
+        return count
+
+    monkeypatch.setattr(NeighborModel, "_search_task", counted)
+    frame = _frame(spark, _data(18, 6000, "normal"), fold=np.arange(6000) % 10)
+    model = NeighborModel.fit(frame, k=20, apart="fold", cell_rows=16, broadcast_rows=0, slot_rows=100, block_rows=8)
+    assert model.neighbors(frame, apart="fold").filter("size(neighbors) = 20").count() == 6000
+    assert sent.value < 6000 * 10
+    assert found.value < 6000 * 20 * 5
+
+
+def test_cells_under_a_node():
+    cells = build_cells(_data(19, 500, "normal"), 3)
+    first, last = cells.under(np.arange(15))
+    assert list(zip(first, last)) == [(0, 8), (0, 4), (4, 8), (0, 2), (2, 4), (4, 6), (6, 8), *((c, c + 1) for c in range(8))]
+
+
+@pytest.mark.parametrize("kind", ["normal", "grid", "heavy"])
+def test_index_by_blocks_of_few_rows(kind):
+    """Cells smaller than k, cut in blocks, met by few queries at a time; one group alone in a corner."""
+    ref, x = _data(20, 600, kind), _data(21, 100, kind)
+    group, own = (ref[:, 0] > np.median(ref[:, 0])).astype(int), np.arange(100) % 3
+    index = Index.build(Rows(ref, np.arange(600), np.zeros(600, int), group), 6, 4)
+    got = [[] for _ in x]
+    for q, r, d in zip(*index.search(x, own, 12, queries=7)):
+        got[q].append((float(d), int(index.rows.id[r])))
+    assert got == _brute(x, ref, 12, (own, group))
